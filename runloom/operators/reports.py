@@ -15,9 +15,9 @@ def details_report(runs: DataFrame) -> DataFrame:
         "execution_id",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
         "status",
-        F.bround("execution_time", 3).alias("execution_time"),
+        F.round("execution_time", 3).alias("execution_time"),
         "tokens_used",
-        F.bround("cost", 4).alias("cost"),
+        F.round("cost", 4).alias("cost"),
         F.coalesce("error_message", F.lit("")).alias("error_message"),
     )
 
@@ -29,10 +29,10 @@ def performance_report(runs: DataFrame) -> DataFrame:
         "workflow_id",
         F.col("total_executions").alias("executions"),
         F.format_string("%.2f%%", F.col("success_rate") * 100).alias("success_rate"),
-        F.bround("avg_execution_time", 3).alias("avg_time"),
-        F.bround("p95_execution_time", 3).alias("p95_time"),
+        F.round("avg_execution_time", 3).alias("avg_time"),
+        F.round("p95_execution_time", 3).alias("p95_time"),
         "total_tokens",
-        F.bround("total_cost", 4).alias("total_cost"),
+        F.round("total_cost", 4).alias("total_cost"),
     )
 
 

@@ -143,8 +143,8 @@ def grade_distribution(spark, folder):
 @query(
     "details_report",
     f"""{WITH_RUNS} SELECT workflow_id, execution_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, status,
-  CAST(printf('%.3f', execution_time) AS DOUBLE) AS execution_time, tokens_used,
-  CAST(printf('%.4f', cost) AS DOUBLE) AS cost,
+  CAST(round(CAST(CAST(execution_time AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE) AS execution_time, tokens_used,
+  CAST(round(CAST(CAST(cost AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS cost,
   CASE WHEN status = 'success' THEN '' ELSE status || ' in ' || event_type END AS error_message
 FROM runs""",
 )
@@ -156,9 +156,9 @@ def details_report(spark, folder):
     "performance_report",
     f"""{WITH_RUNS} SELECT workflow_id, count(*) AS executions,
   printf('%.2f%%', count(*) FILTER (status = 'success') * 100 / CAST(count(*) AS DOUBLE)) AS success_rate,
-  CAST(printf('%.3f', avg(execution_time)) AS DOUBLE) AS avg_time,
-  CAST(printf('%.3f', quantile_cont(execution_time, 0.95)) AS DOUBLE) AS p95_time,
-  CAST(sum(tokens_used) AS BIGINT) AS total_tokens, CAST(printf('%.4f', sum(cost)) AS DOUBLE) AS total_cost
+  CAST(round(CAST(CAST(avg(execution_time) AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE) AS avg_time,
+  CAST(round(CAST(CAST(quantile_cont(execution_time, 0.95) AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE) AS p95_time,
+  CAST(sum(tokens_used) AS BIGINT) AS total_tokens, CAST(round(CAST(CAST(sum(cost) AS VARCHAR) AS DECIMAL(38, 18)), 4) AS DOUBLE) AS total_cost
 FROM runs GROUP BY workflow_id""",
 )
 def performance_report(spark, folder):

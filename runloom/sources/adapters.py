@@ -102,3 +102,91 @@ samples AS (
          d.lang
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 )"""
+
+
+def _quoted(*parts: Column | str) -> Column:
+    """Concatenate literal pieces and columns into JSON text."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Schemaless run payloads, in the shapes services answer with, one per event."""
+    events = table(spark, folder, "events").withColumn("k", _k())
+    k, kind, text = F.col("k"), F.col("event_type"), _quoted("out ", F.col("event_id"))
+    body = (
+        F.when(kind == "click", _quoted('{"status":" Completed ","output":"', text, '","metrics":{"duration_seconds":', k, "}}"))
+        .when(
+            kind == "view",
+            _quoted(
+                '{"result":{"data":{"status":"succeeded","state":"x"}},"output":{"text":"', text,
+                '"},"inputs":{"q":"u', F.col("user_id"), '"}}',
+            ),
+        )
+        .when(
+            kind == "purchase",
+            _quoted('{"data":{"inputs":{"q":"p"},"metrics":{"duration_seconds":', k, '},"state":"partial"},"response":"', text, '"}'),
+        )
+        .when((kind == "signup") & (k % 2 == 0), _quoted('{"output":"', text, '"}'))
+        .when(kind == "signup", F.lit('{"input":"a","state":"Weird"}'))
+        .when(k < 30, F.lit('{"state":"Timed_Out","result":{"status":"FAILED","text":"boom"}}'))
+        .when(k < 60, F.lit('{"data":{"request":"r"},"status":"cancelled"}'))
+        .when(k < 80, F.lit('{"note":"n"}'))
+        .otherwise(F.lit("not json"))
+    )
+    return events.select(
+        F.concat(F.lit("wf_"), (F.col("user_id") % 10).cast("string")).alias("workflow_id"),
+        "event_id", "ts", body.alias("payload"),
+    )
+
+
+def tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """Task records in all eight states, one per event."""
+    events = table(spark, folder, "events").withColumn("k", _k())
+    k, kind = F.col("k"), F.col("event_type")
+    state = (
+        F.when(kind.isin("click", "view"), "succeeded")
+        .when(kind == "purchase", F.element_at(F.array(*map(F.lit, ("pending", "queued", "running", "cancelled"))), (k % 4 + 1).cast("int")))
+        .when(kind == "signup", "failed")
+        .when(k < 30, "timeout")
+        .otherwise("error")
+    )
+    started = F.when(~state.isin("pending", "queued"), F.expr("ts + make_dt_interval(0, 0, 0, 1)"))
+    finished = F.when(~state.isin("pending", "queued", "running"), F.expr("ts + make_dt_interval(0, 0, 0, 1 + k)"))
+    return events.select(
+        F.concat(F.lit("task_"), F.col("event_id").cast("string")).alias("task_id"),
+        F.concat(F.lit("wf_"), (F.col("user_id") % 10).cast("string")).alias("workflow_id"),
+        F.concat(F.lit("ds_"), (F.col("event_id") % 5).cast("string")).alias("dataset"),
+        F.lit("normal").alias("scenario"),
+        state.alias("task_status"),
+        (k % 4 + 1).cast("int").alias("attempt_count"),
+        F.col("ts").alias("created_at"),
+        started.alias("started_at"),
+        finished.alias("finished_at"),
+        F.when(state == "failed", F.lit("own error")).alias("error_message"),
+        F.when(kind != "view", k * 5).alias("tokens_used"),
+        F.when(kind != "view", F.col("value") / F.lit(1000.0)).alias("cost"),
+        F.create_map(F.lit("prompt_variant"), F.concat(F.lit("v"), (F.col("event_id") % 3).cast("string")),
+                     F.lit("error_message"), F.when(state == "error", F.lit("from metadata"))).alias("metadata"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+TASKS_SQL = """
+ev AS (
+  SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events
+),
+tasks AS (
+  SELECT *, CASE WHEN state NOT IN ('pending', 'queued') THEN ts + INTERVAL 1 SECOND END AS started_at,
+         CASE WHEN state NOT IN ('pending', 'queued', 'running') THEN ts + to_seconds(1 + k) END AS finished_at
+  FROM (
+    SELECT *, 'task_' || event_id AS task_id, 'wf_' || (user_id % 10) AS workflow_id,
+           CASE WHEN event_type IN ('click', 'view') THEN 'succeeded'
+                WHEN event_type = 'purchase' AND k % 4 = 0 THEN 'pending'
+                WHEN event_type = 'purchase' AND k % 4 = 1 THEN 'queued'
+                WHEN event_type = 'purchase' AND k % 4 = 2 THEN 'running'
+                WHEN event_type = 'purchase' THEN 'cancelled'
+                WHEN event_type = 'signup' THEN 'failed'
+                WHEN k < 30 THEN 'timeout' ELSE 'error' END AS state
+    FROM ev
+  )
+)"""
