@@ -190,3 +190,77 @@ tasks AS (
     FROM ev
   )
 )"""
+
+
+def _tagged(prefix: str, number: Column) -> Column:
+    return F.concat(F.lit(prefix), number.cast("string"))
+
+
+def datasets(spark: SparkSession, folder: str) -> DataFrame:
+    """Plan datasets, one per supplier."""
+    return table(spark, folder, "supplier").select(
+        _tagged("ds_", F.col("s_suppkey")).alias("dataset"), F.lit("normal").alias("scenario"), "s_suppkey"
+    )
+
+
+def parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """Five parameters per dataset: a list, a range, a fixed list, a default and a list that may be empty."""
+    key = F.col("s_suppkey")
+    none_list, none_long, none_text = F.lit(None).cast("array<string>"), F.lit(None).cast("long"), F.lit(None).cast("string")
+
+    def row(ordinal, name, values=none_list, low=none_long, high=none_long, step=none_long, default=none_text, pairwise=True):
+        return F.struct(
+            F.lit(ordinal).alias("ordinal"), F.lit(name).alias("param"), values.alias("values"), low.alias("min"),
+            high.alias("max"), step.alias("step"), default.alias("default"), F.lit(pairwise).alias("pairwise"),
+        )
+
+    tone = F.transform(F.sequence(F.lit(0), (key % 4).cast("int")), lambda i: F.concat(F.lit("t"), i.cast("string")))
+    topic = F.when(key % 5 != 0, F.array(F.lit("a"), F.lit("b")))
+    rows = F.array(
+        row(0, "tone", values=tone),
+        row(1, "length", low=F.lit(1).cast("long"), high=1 + key % 9, step=1 + key % 3),
+        row(2, "lang", values=F.array(F.lit("en"), F.lit("fr"), F.lit("de"))),
+        row(3, "temperature", default=F.lit("0.7"), pairwise=False),
+        row(4, "topic", values=topic),
+    )
+    return datasets(spark, folder).select("dataset", F.inline(rows))
+
+
+def flows(spark: SparkSession, folder: str) -> DataFrame:
+    """Two conversation flows for every seventh dataset."""
+    shaped = datasets(spark, folder).where(F.col("s_suppkey") % 7 == 0)
+    return shaped.select("dataset", F.posexplode(F.array(F.lit("greeting"), F.lit("complaint"))).alias("flow_no", "title"))
+
+
+def plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Plan workflows, one per customer: two dataset references, up to two variants, some disabled."""
+    key = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        _tagged("flow_", key).alias("catalog_id"),
+        (F.col("c_acctbal") >= 0).alias("enabled"),
+        F.array(_tagged("ds_", key % 97), _tagged("ds_", key % 100 + 50)).alias("dataset_refs"),
+        F.when(key % 3 != 0, F.slice(F.array(F.lit("base"), F.lit("long")), F.lit(1), (key % 3).cast("int"))).alias("variants"),
+    )
+
+
+PLAN_SQL = """
+ds AS (SELECT s_suppkey AS sk, 'ds_' || s_suppkey AS dataset FROM supplier),
+dim AS (
+  SELECT dataset, sk, 0 AS ordinal, 'tone' AS param, 't' || i AS v, i AS pos FROM ds, range(0, 4) r(i) WHERE i <= sk % 4
+  UNION ALL SELECT dataset, sk, 1, 'length', CAST(1 + i * (1 + sk % 3) AS VARCHAR), i FROM ds, range(0, 20) r(i)
+    WHERE 1 + i * (1 + sk % 3) < 1 + sk % 9 + 1 + sk % 3
+  UNION ALL SELECT dataset, sk, 2, 'lang', CASE i WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'de' END, i FROM ds, range(0, 3) r(i)
+  UNION ALL SELECT dataset, sk, 3, 'temperature', '0.7', 0 FROM ds
+  UNION ALL SELECT dataset, sk, 4, 'topic', CASE i WHEN 0 THEN 'a' ELSE 'b' END, i FROM ds, range(0, 2) r(i) WHERE sk % 5 <> 0
+),
+fl AS (SELECT dataset, i AS flow_no, CASE i WHEN 0 THEN 'greeting' ELSE 'complaint' END AS title
+       FROM ds, range(0, 2) r(i) WHERE sk % 7 = 0),
+refs AS (
+  SELECT 'flow_' || c_custkey AS catalog_id, c_custkey AS ck, c_acctbal >= 0 AS enabled, i AS ref_order,
+         'ds_' || CASE i WHEN 0 THEN c_custkey % 97 ELSE c_custkey % 100 + 50 END AS dataset
+  FROM customer, range(0, 2) r(i)
+),
+vars AS (
+  SELECT 'flow_' || c_custkey AS catalog_id, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN i = 0 THEN 'base' ELSE 'long' END AS variant_id
+  FROM customer, range(0, 2) r(i) WHERE i < greatest(c_custkey % 3, 1)
+)"""
