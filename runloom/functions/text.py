@@ -82,8 +82,8 @@ def bullets(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(found)
 
 
-def rules(text: Column) -> Column:
-    """Bullets ``key: value`` as entries in order of first mention; the last value of a key wins."""
+def rule_pairs(text: Column) -> Column:
+    """Bullets of the form ``key: value`` as structs."""
     pairs = F.transform(
         F.filter(bullets(text), lambda b: b.contains(":")),
         lambda b: F.struct(
@@ -91,12 +91,15 @@ def rules(text: Column) -> Column:
             strip(F.regexp_replace(b, r"(?s)^[^:]*:", "")).alias("value"),
         ),
     )
-    whole = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
-    names = F.array_distinct(F.transform(whole, lambda p: p["key"]))
+    return F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
+
+
+def rules_of(pairs: Column) -> Column:
+    """Entries in order of first mention; the last value of a key wins."""
     return F.transform(
-        names,
+        F.array_distinct(F.transform(pairs, lambda p: p["key"])),
         lambda k: F.struct(
-            k.alias("key"), F.element_at(F.filter(whole, lambda p: p["key"] == k), -1)["value"].alias("value")
+            k.alias("key"), F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"].alias("value")
         ),
     )
 

@@ -264,3 +264,25 @@ vars AS (
   SELECT 'flow_' || c_custkey AS catalog_id, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN i = 0 THEN 'base' ELSE 'long' END AS variant_id
   FROM customer, range(0, 2) r(i) WHERE i < greatest(c_custkey % 3, 1)
 )"""
+
+
+def reference_specs(spark: SparkSession, folder: str) -> DataFrame:
+    """Reference of a workflow from each ``benchmark`` item; some of these workflows have no runs."""
+    item = F.col("item_id")
+    return table(spark, folder, "benchmark").select(
+        _tagged("wf_src", item).alias("workflow_id"),
+        F.array("text").alias("expected_outputs"),
+        F.array(F.lit("the "), F.lit("Return JSON"), _tagged("zq", item)).alias("constraints"),
+        F.lit(0.72).alias("similarity_threshold"),
+        (F.lit(0.05) * (item % 4)).alias("max_failure_rate"),
+        F.when(item % 3 != 0, item.cast("double") + 5.0).alias("max_latency_seconds"),
+    )
+
+
+SPECS_SQL = """
+specs AS (
+  SELECT 'wf_src' || item_id AS workflow_id, text AS expected, item_id,
+         CAST(0.05 AS DOUBLE) * (item_id % 4) AS max_failure_rate,
+         CASE WHEN item_id % 3 <> 0 THEN CAST(item_id AS DOUBLE) + 5.0 END AS max_latency_seconds
+  FROM benchmark
+)"""
