@@ -286,3 +286,53 @@ specs AS (
          CASE WHEN item_id % 3 <> 0 THEN CAST(item_id AS DOUBLE) + 5.0 END AS max_latency_seconds
   FROM benchmark
 )"""
+
+
+def dsl_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """One workflow definition per document, as VARIANT, in three shapes."""
+    docs = table(spark, folder, "documents")
+    lang, source = F.col("lang"), F.col("source")
+
+    def message(role: str | None, text: Column | None) -> Column:
+        fields = [] if role is None else [F.lit(role).alias("role")]
+        return F.to_json(F.struct(*fields, *([] if text is None else [text.alias("text")])))
+
+    def joined(*items: Column) -> Column:
+        return F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+
+    first = F.concat(
+        F.lit('{"id":"a","type":"llm","data":{"title":"Writer","role":"author","inputs":{"x":1},"output_schema":{"y":1},'
+              '"prompt_template":{"messages":'),
+        joined(
+            message("system", F.concat(F.lit("You write "), lang, F.lit(" {{ lang }}"))), message("user", F.col("text")), message("user", None)
+        ),
+        F.lit("}}}"),
+    )
+    second = F.concat(
+        F.lit('{"id":"b","type":"llm","data":{"label":"Checker","prompt_template":'),
+        joined(message("user", F.concat(F.lit("Check ${"), source, F.lit("}"))), message(None, source)),
+        F.lit("}}"),
+    )
+    third = F.concat(F.lit('{"type":"code","data":{"system_prompt":"sys '), lang, F.lit('"}}'))
+    nodes = joined(first, second, third, F.lit("7"))
+    extra = F.lit('[{"id":"d","type":"llm","data":{"prompt_template":{"messages":[]}}},{"id":"e","data":{"system_prompt":"tail"}}]')
+    key = F.col("doc_id") % 3
+    tree = (
+        F.when(key == 0, F.concat(F.lit('{"graph":{"nodes":'), nodes, F.lit("}}")))
+        .when(key == 1, F.concat(F.lit('{"graph":3,"workflow":{"graph":{"nodes":'), nodes, F.lit("}}}")))
+        .otherwise(F.concat(F.lit('{"graph":{"nodes":'), nodes, F.lit(',"data":'), extra, F.lit("}}")))
+    )
+    return docs.select("doc_id", "lang", "source", F.try_parse_json(tree).alias("tree"))
+
+
+LOCATIONS_SQL = """
+d AS (SELECT *, CASE WHEN doc_id % 3 = 1 THEN '/workflow/graph' ELSE '/graph' END AS g FROM documents),
+loc AS (
+  SELECT doc_id, lang, source, 'a' AS node_id, 0 AS node_no, 0 AS bucket_no, 0 AS message_no, 0 AS idx, 'system' AS role,
+         g || '/nodes/0/data/prompt_template/messages/0/text' AS path, 'You write ' || lang || ' {{ lang }}' AS text FROM d
+  UNION ALL SELECT doc_id, lang, source, 'a', 0, 0, 1, 1, 'user', g || '/nodes/0/data/prompt_template/messages/1/text', text FROM d
+  UNION ALL SELECT doc_id, lang, source, 'b', 1, 0, 0, 0, 'user', g || '/nodes/1/data/prompt_template/0/text', 'Check ${' || source || '}' FROM d
+  UNION ALL SELECT doc_id, lang, source, 'b', 1, 0, 1, 1, 'user', g || '/nodes/1/data/prompt_template/1/text', source FROM d
+  UNION ALL SELECT doc_id, lang, source, 'node_2', 2, 0, 0, 0, 'system', g || '/nodes/2/data/system_prompt', 'sys ' || lang FROM d
+  UNION ALL SELECT doc_id, lang, source, 'e', 1, 1, 0, 0, 'system', g || '/data/1/data/system_prompt', 'tail' FROM d WHERE doc_id % 3 = 2
+)"""
