@@ -112,23 +112,25 @@ def skip_for_intent(prompt: Column, constraints: Column, expected: Column) -> Co
     return F.when(F.size(wanted) == 0, False).when(F.size(own) == 0, True).otherwise((share < 0.15) & (overlap <= 1))
 
 
-def constraint_hits(samples: DataFrame, specs: DataFrame) -> DataFrame:
+def constraint_hits(samples: DataFrame, specs: DataFrame, key: str = "workflow_id") -> DataFrame:
     """One row per sample and constraint with ``found``; the output text itself is not copied.
 
-    ``specs`` has one row per workflow with its ``constraints``.
+    ``specs`` has one row per ``key`` with its ``constraints``.
     """
-    joined = samples.join(specs.select("workflow_id", "constraints"), "workflow_id")
+    joined = samples.join(specs.select(key, "constraints"), key)
     lowered = joined.withColumn("_low", F.lower(F.coalesce("output_text", F.lit(""))))
     hits = F.transform(
-        F.filter("constraints", T.non_empty),
-        lambda c: F.struct(c.alias("constraint"), F.contains(F.col("_low"), F.lower(c)).alias("found")),
+        F.filter(F.array_distinct("constraints"), T.non_empty),
+        lambda c, i: F.struct(
+            i.alias("constraint_no"), c.alias("constraint"), F.contains(F.col("_low"), F.lower(c)).alias("found")
+        ),
     )
-    return lowered.select("workflow_id", "index", F.inline(hits))
+    return lowered.select(key, "index", F.inline(hits))
 
 
-def constraint_coverage(samples: DataFrame, specs: DataFrame) -> DataFrame:
+def constraint_coverage(samples: DataFrame, specs: DataFrame, key: str = "workflow_id") -> DataFrame:
     """How many outputs of a workflow show each of its constraints."""
-    return constraint_hits(samples, specs).groupBy("workflow_id", "constraint").agg(
+    return constraint_hits(samples, specs, key).groupBy(key, "constraint_no", "constraint").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if("found").alias("found")
     )
 

@@ -95,7 +95,8 @@ SELECT workflow_id, "constraint", count(*) AS runs, count(*) FILTER (contains(lo
 FROM samples JOIN c USING (workflow_id) GROUP BY 1, 2""",
 )
 def constraint_coverage(spark, folder):
-    return X.constraint_coverage(A.text_runs(spark, folder), A.reference_specs(spark, folder))
+    covered = X.constraint_coverage(A.text_runs(spark, folder), A.reference_specs(spark, folder))
+    return covered.drop("constraint_no")
 
 
 # Structured prompts around the document texts. Documents hold no header lines of their own.
