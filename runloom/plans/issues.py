@@ -9,6 +9,7 @@ from runloom.operators import issues as I
 from runloom.operators import texts as X
 from runloom.plans.registry import query
 from runloom.plans.texts import JUDGED_SQL, judge_answers
+from runloom.session import checkpointed
 from runloom.sources import adapters as A
 from runloom.sources.adapters import SPECS_SQL, TEXT_RUNS_SQL, table
 
@@ -132,7 +133,7 @@ WHERE workflow_id IN (SELECT workflow_id FROM m) AND NOT EXISTS (
 )
 def fail_signal(spark, folder):
     issues, specs = native_issues(spark, folder)
-    return I.fail_signal(issues, specs).select("workflow_id", "bucket", "item")
+    return I.fail_signal(checkpointed(issues), specs).select("workflow_id", "bucket", "item")
 
 
 # Per judge shape: 1 names a missing item, 2 two incorrect items and a bad format, 4 and 5 a bad format.
@@ -157,7 +158,7 @@ UNION ALL SELECT workflow_id, type, trim(target), trim(content), evidence_run FR
 )
 def actions_from_issues(spark, folder):
     issues, specs = native_issues(spark, folder)
-    return AC.actions_from_issues(issues, specs).select("workflow_id", "type", "target", "content", "evidence_run")
+    return AC.actions_from_issues(checkpointed(issues), specs).select("workflow_id", "type", "target", "content", "evidence_run")
 
 
 @query(
