@@ -9,6 +9,7 @@ from runloom.functions.text import (
     bullets,
     is_json_object,
     json_object,
+    let,
     non_empty,
     occurrences,
     placeholders,
@@ -195,39 +196,47 @@ def listed(items: Column) -> Column:
 
 def validate_contract(schema: Column, candidate: Column) -> Column:
     """What is wrong with an output under a JSON contract, NULL when nothing is."""
-    output = json_object(candidate)
-    required = F.when(is_json_object(json_object(schema)), F.try_variant_get(json_object(schema), "$.required", "array<string>"))
-    keys = F.coalesce(F.json_object_keys(F.to_json(output)), F.array().cast(_NO_TEXTS))
-    missing = F.array_except(required, keys)
-    return F.when(~is_json_object(output), "ResponseContract requires valid JSON object output").when(
-        F.size(missing) > 0, F.concat(F.lit("ResponseContract missing required fields: "), listed(missing))
+    required = let(
+        json_object(schema), lambda s: F.when(is_json_object(s), F.try_variant_get(s, "$.required", "array<string>"))
     )
 
+    def problem(output: Column) -> Column:
+        keys = F.coalesce(F.json_object_keys(F.to_json(output)), F.array().cast(_NO_TEXTS))
+        missing = let(
+            F.array_except(required, keys),
+            lambda m: F.when(F.size(m) > 0, F.concat(F.lit("ResponseContract missing required fields: "), listed(m))),
+        )
+        return F.when(~is_json_object(output), "ResponseContract requires valid JSON object output").otherwise(missing)
+
+    return let(json_object(candidate), problem)
+
 
 def schema_strength(text: Column) -> Column:
     """How strict a JSON schema is: closed object, required fields, properties and enum values."""
-    schema = json_object(text)
-    closed = F.schema_of_variant(F.try_variant_get(schema, "$.additionalProperties", "variant")) == "BOOLEAN"
-    shut = closed & ~F.try_variant_get(schema, "$.additionalProperties", "boolean")
-    required = F.size(F.try_variant_get(schema, "$.required", "array<variant>"))
-    properties = F.try_variant_get(schema, "$.properties", "map<string,variant>")
-    enums = F.aggregate(
-        F.map_values(properties),
-        F.lit(0),
-        lambda acc, v: acc + F.coalesce(F.greatest(F.size(F.try_variant_get(v, "$.enum", "array<variant>")), F.lit(0)), F.lit(0)),
-    )
-    score = (
-        F.when(F.coalesce(shut, F.lit(False)), 5).otherwise(0)
-        + F.coalesce(F.greatest(required, F.lit(0)), F.lit(0)) * 3
-        + F.coalesce(F.greatest(F.size(properties), F.lit(0)), F.lit(0))
-        + F.coalesce(enums, F.lit(0))
-    )
+
+    def parsed_score(schema: Column) -> Column:
+        extra = F.try_variant_get(schema, "$.additionalProperties", "variant")
+        shut = (F.schema_of_variant(extra) == "BOOLEAN") & ~F.try_variant_get(schema, "$.additionalProperties", "boolean")
+        required = F.size(F.try_variant_get(schema, "$.required", "array<variant>"))
+        enums = let(
+            F.map_values(F.try_variant_get(schema, "$.properties", "map<string,variant>")),
+            lambda values: F.size(values)
+            + F.aggregate(values, F.lit(0), lambda acc, v: acc + _count(F.size(F.try_variant_get(v, "$.enum", "array<variant>")))),
+        )
+        return F.when(F.coalesce(shut, F.lit(False)), 5).otherwise(0) + _count(required) * 3 + _count(enums)
+
     words = (
         occurrences(text, F.lit('"required"')) * 2
         + occurrences(text, F.lit('"enum"')) * 2
         + occurrences(text, F.lit("additionalProperties")) * 3
     )
-    return F.coalesce(F.when(is_json_object(schema), score).otherwise(words), F.lit(0)).cast("int")
+    score = let(json_object(text), lambda schema: F.when(is_json_object(schema), parsed_score(schema)).otherwise(words))
+    return F.coalesce(score, F.lit(0)).cast("int")
+
+
+def _count(size: Column) -> Column:
+    """Size of a list, 0 when there is none."""
+    return F.coalesce(F.greatest(size, F.lit(0)), F.lit(0))
 
 
 # Text blocks and role markers --------------------------------------------------------------------

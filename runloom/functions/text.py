@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ DOLLAR = r"\$\{\s*[^${}]+\s*\}"
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; keeps nested expressions from repeating it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Drop white space at both ends, Unicode spaces included."""
     return F.regexp_replace(text, EDGE_SPACE, "")

@@ -116,3 +116,33 @@ def exact_percentiles(
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((low * (1 - weight) + high * weight).alias(name))
     return folded.select(*keys, *out)
+
+
+def with_session_start(df: DataFrame, keys: Sequence[str], time: str, order: str, pause: float, chunks: int | None = None) -> DataFrame:
+    """Add ``_session``: the time at which the row's session began, sessions being parted by ``pause`` or more.
+
+    The previous row of a chunk's first row, and the session that runs into a chunk, come from small
+    tables of one row per key and chunk.
+    """
+    keys = list(keys)
+    chunked = with_chunks(df, time, chunks)
+    per_key = Window.partitionBy(*keys).orderBy(_CHUNK)
+    ends = chunked.groupBy(*keys, _CHUNK).agg(F.max(time).alias("_end"))
+    lasts = ends.select(*keys, _CHUNK, F.lag("_end").over(per_key).alias("_before"))
+    within = Window.partitionBy(*keys, _CHUNK).orderBy(time, order)
+    previous = F.coalesce(F.lag(time).over(within), F.col("_before"))
+    marked = (
+        chunked.join(lasts, [*keys, _CHUNK])
+        .withColumn("_start", F.when(previous.isNull() | (F.col(time) - previous >= pause), F.col(time)))
+        .drop("_before")
+    )
+    starts = marked.groupBy(*keys, _CHUNK).agg(F.max("_start").alias("_last"))
+    earlier = per_key.rowsBetween(Window.unboundedPreceding, -1)
+    carried = starts.select(*keys, _CHUNK, F.max("_last").over(earlier).alias("_carried"))
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        marked.withColumn("_own", F.last("_start", ignorenulls=True).over(upto))
+        .join(carried, [*keys, _CHUNK])
+        .withColumn("_session", F.coalesce("_own", "_carried"))
+        .drop("_own", "_carried", "_start", _CHUNK)
+    )

@@ -63,16 +63,22 @@ def _as_variant(entries: Column) -> Column:
 
 
 def schema_with_constraint(schema: Column, field: Column, constraint: Column) -> Column:
-    """JSON schema text with a constraint put on one field: its enum, else an addition to its description."""
-    whole = T.json_object(schema)
-    props = _object(F.try_variant_get(whole, "$.properties", "variant"))
-    old = _object(F.try_element_at(props, field))
-    enum = enum_values(constraint)
-    said = T.strip(F.coalesce(at(F.try_element_at(old, F.lit("description")), "$"), F.lit("")))
-    longer = F.when(said.contains(constraint), said).otherwise(T.strip(F.concat(said, F.lit(" "), constraint)))
-    described = _put(old, F.lit("description"), F.try_parse_json(F.concat(F.lit('"'), _escaped(longer), F.lit('"'))))
-    new = F.when(enum.isNotNull(), _put(old, F.lit("enum"), enum)).otherwise(described)
-    return F.to_json(_put(_object(whole), F.lit("properties"), _as_variant(_put(props, field, _as_variant(new)))))
+    """JSON schema with a constraint put on one field: its enum, else an addition to its description."""
+
+    def changed_field(old: Column) -> Column:
+        said = T.strip(F.coalesce(at(F.try_element_at(old, F.lit("description")), "$"), F.lit("")))
+        longer = T.let(said, lambda d: F.when(d.contains(constraint), d).otherwise(T.strip(F.concat(d, F.lit(" "), constraint))))
+        described = F.try_parse_json(F.concat(F.lit('"'), _escaped(longer), F.lit('"')))
+        return T.let(
+            enum_values(constraint),
+            lambda enum: F.when(enum.isNotNull(), _put(old, F.lit("enum"), enum)).otherwise(_put(old, F.lit("description"), described)),
+        )
+
+    def changed_props(props: Column) -> Column:
+        return _put(props, field, _as_variant(T.let(_object(F.try_element_at(props, field)), changed_field)))
+
+    props = T.let(_object(F.try_variant_get(schema, "$.properties", "variant")), changed_props)
+    return F.to_json(_put(_object(schema), F.lit("properties"), _as_variant(props)))
 
 
 def _escaped(text: Column) -> Column:
@@ -81,8 +87,7 @@ def _escaped(text: Column) -> Column:
 
 
 def _is_json(text: Column) -> Column:
-    parsed = F.to_json(T.json_object(text))
-    return F.coalesce(~parsed.isin("{}", "[]", "0", '""', "false", "null"), F.lit(False))
+    return F.coalesce(~F.to_json(T.json_object(text)).isin("{}", "[]", "0", '""', "false", "null"), F.lit(False))
 
 
 def _with_item(items: Column, item: Column) -> Column:
@@ -97,35 +102,53 @@ def _with_rule(rules: Column, key: Column, value: Column) -> Column:
     )
 
 
+STATE_FIELDS = (
+    "base_prompt", "role", "task", "schema", "checkpoint_rules", "strictness_level", "negative_examples", "global_constraints",
+    "placeholders", "structured", "schema_frozen", "schema_tighten_count", "version", "contract",
+)
+
+
+def _tightened(state: Column, target: Column, content: Column) -> Column:
+    """Schema after a tightening action, NULL when the action holds no schema."""
+    on_field = T.let(
+        T.json_object(state["schema"]),
+        lambda now: F.when((target != "") & T.is_json_object(now), schema_with_constraint(now, target, content)),
+    )
+    return F.when(_is_json(content), content).otherwise(on_field)
+
+
 def _applied(state: Column, action: Column, max_strictness: int, schema_limit: int) -> Column:
     """State after one action; actions on protected slots, or that add nothing, leave it as it is."""
-    kind = F.coalesce(action["type"], F.lit(""))
-    target = T.strip(F.coalesce(action["target"], F.lit("")))
-    content = T.strip(F.coalesce(action["content"], F.lit("")))
-    usable = ~F.lower(target).isin(*FORMAT_TARGETS) & (content != "")
+    kind, target, content = action["type"], action["target"], action["content"]
+    open_target = ~F.lower(target).isin(*FORMAT_TARGETS)
+    usable = open_target & (content != "")
     rule = usable & kind.isin(*RULE_ACTIONS) & (target != "")
     plain = usable & kind.isin(*CONSTRAINT_ACTIONS)
     tighten = usable & (kind == "tighten_schema") & state["contract"].isNull() & ~state["schema_frozen"]
-    on_field = (target != "") & ~_is_json(content) & T.is_json_object(T.json_object(state["schema"]))
-    new_schema = F.when(on_field, schema_with_constraint(state["schema"], target, content)).when(_is_json(content), content)
-    spoken = tighten & new_schema.isNull()
-    stronger = tighten & new_schema.isNotNull() & (schema_strength(new_schema) >= schema_strength(state["schema"]))
-    stricter = ~F.lower(target).isin(*FORMAT_TARGETS) & (kind == "increase_strictness")
-    count = state["schema_tighten_count"] + stronger.cast("int")
-    level = F.least(F.lit(max_strictness), state["strictness_level"] + 1)
-    changed = {
-        "schema": F.when(stronger, new_schema).otherwise(state["schema"]),
-        "checkpoint_rules": F.when(rule, _with_rule(state["checkpoint_rules"], target, content)).otherwise(state["checkpoint_rules"]),
-        "strictness_level": F.when(stricter, level).otherwise(state["strictness_level"]),
-        "global_constraints": F.when(plain | spoken, _with_item(state["global_constraints"], content)).otherwise(state["global_constraints"]),
-        "schema_frozen": state["schema_frozen"] | (stronger & (count >= schema_limit)),
-        "schema_tighten_count": count,
-    }
-    fields = (
-        "base_prompt", "role", "task", "schema", "checkpoint_rules", "strictness_level", "negative_examples", "global_constraints",
-        "placeholders", "structured", "schema_frozen", "schema_tighten_count", "version", "contract",
-    )
-    return F.struct(*[changed.get(f, state[f]).alias(f) for f in fields])
+    stricter = open_target & (kind == "increase_strictness")
+
+    def with_schema(new: Column) -> Column:
+        spoken = tighten & new.isNull()
+        stronger = tighten & new.isNotNull() & (schema_strength(new) >= schema_strength(state["schema"]))
+        return F.struct(new.alias("schema"), spoken.alias("spoken"), stronger.alias("stronger"))
+
+    def with_outcome(o: Column) -> Column:
+        count = state["schema_tighten_count"] + o["stronger"].cast("int")
+        level = F.least(F.lit(max_strictness), state["strictness_level"] + 1)
+        changed = {
+            "schema": F.when(o["stronger"], o["schema"]).otherwise(state["schema"]),
+            "checkpoint_rules": F.when(rule, _with_rule(state["checkpoint_rules"], target, content)).otherwise(state["checkpoint_rules"]),
+            "strictness_level": F.when(stricter, level).otherwise(state["strictness_level"]),
+            "global_constraints": F.when(plain | o["spoken"], _with_item(state["global_constraints"], content)).otherwise(
+                state["global_constraints"]
+            ),
+            "schema_frozen": state["schema_frozen"] | (o["stronger"] & (count >= schema_limit)),
+            "schema_tighten_count": count,
+        }
+        return F.struct(*[changed.get(f, state[f]).alias(f) for f in STATE_FIELDS])
+
+    new_schema = F.when(tighten, _tightened(state, target, content))
+    return T.let(T.let(new_schema, with_schema), with_outcome)
 
 
 def apply_actions(
@@ -143,7 +166,8 @@ def apply_actions(
     actions still become a new, structured version.
     """
     chosen = limit_actions(actions.select(key, "seq", "type", "target", "content"), [key], budget)
-    entry = F.struct(action_priority(F.col("type")).alias("prio"), "seq", "type", "target", "content")
+    tidy = [T.strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("type", "target", "content")]
+    entry = F.struct(action_priority(F.col("type")).alias("prio"), "seq", *tidy)
     gathered = chosen.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_actions"))
     joined = states.join(gathered, key, "left")
     none = F.array().cast(gathered.schema["_actions"].dataType)

@@ -23,20 +23,26 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "run
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session without
-    that setting gets a folder of its own; a cluster without one is a configuration error, because a
-    machine-local folder would not survive the loss of an executor.
+    Only a local session without that setting gets a folder of its own; a cluster without one is a
+    configuration error, because a machine-local folder would not survive the loss of an executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+    current = context.getCheckpointDir()
+    if current is None:
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if current is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="runloom-checkpoint-")
-        context.setCheckpointDir(folder)
+            current = tempfile.mkdtemp(prefix="runloom-shared-")
+        context.setCheckpointDir(current)
+        current = context.getCheckpointDir()
+    return current
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` reliably in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -25,7 +25,18 @@ def run_status(event_type: Column, k: Column) -> Column:
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
     """Run facts from ``events``: one row per event."""
-    events = table(spark, folder, "events").withColumn("k", _k())
+    return runs_of(table(spark, folder, "events"))
+
+
+def stream_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same run facts as a stream of the ``events`` file."""
+    schema = table(spark, folder, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return runs_of(source)
+
+
+def runs_of(events: DataFrame) -> DataFrame:
+    events = events.withColumn("k", _k())
     status = run_status(F.col("event_type"), F.col("k"))
     return events.select(
         F.concat(F.lit("wf_"), (F.col("user_id") % 10).cast("string")).alias("workflow_id"),
