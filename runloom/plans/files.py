@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from runloom.operators import metrics as M
 from runloom.operators import reports as R
-from runloom.operators import rounds
 from runloom.plans.metrics import rounded
 from runloom.plans.normalize import DURATION_SQL, EV
 from runloom.plans.registry import query
 from runloom.sources import adapters as A
 from runloom.sources import files as FS
-from runloom.sources.adapters import LOCATIONS_SQL, RUNS_SQL, SPECS_SQL
+from runloom.sources.adapters import RUNS_SQL, SPECS_SQL
 from runloom.session import shared_folder
 
 
@@ -143,22 +142,23 @@ def read_reference_texts(spark, folder):
 
 @query(
     "read_workflow_dsl",
-    f"""WITH {LOCATIONS_SQL} SELECT 'wf_' || doc_id AS workflow_id, g AS pointer, 4 AS nodes FROM d WHERE doc_id IN (SELECT item_id FROM benchmark)""",
+    """SELECT 'wf_' || item_id AS workflow_id, CASE WHEN item_id % 3 = 1 THEN '/workflow/graph' ELSE '/graph' END AS pointer, 4 AS nodes, text FROM benchmark""",
 )
 def read_workflow_dsl(spark, folder):
     from runloom.operators.dsl import extract_graph
 
     out = fresh(spark, "dsl")
-    chosen = A.table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"))
-    trees = A.dsl_trees(spark, folder).join(chosen, "doc_id", "left_semi")
-    named = trees.select(F.concat(F.lit("wf_"), F.col("doc_id").cast("string")).alias("workflow_id"), F.to_json("tree").alias("value"))
-    # one file per definition; Spark names the files, so they are offered to the reader as a listing
+    items = A.table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("bench").alias("source"), "text"
+    )
+    named = A.trees_of(items).select(F.concat(F.lit("wf_"), F.col("doc_id").cast("string")).alias("workflow_id"), F.to_json("tree").alias("value"))
+    # one file per definition; Spark names the files, so the workflow comes from the folder
     named.repartition("workflow_id").write.partitionBy("workflow_id").text(out)
     docs = FS.read_documents(spark, out).withColumn("workflow_id", F.regexp_extract("path", "workflow_id=([^/]+)", 1))
-    parsed = FS.parse_definitions(docs)
-    graphs = parsed.select("workflow_id", extract_graph(F.col("tree")).alias("g"))
-    nodes = F.size(F.try_variant_get(F.col("g.graph"), "$.nodes", "array<variant>"))
-    return graphs.select("workflow_id", "g.pointer", nodes.alias("nodes"))
+    graphs = FS.parse_definitions(docs).select("workflow_id", extract_graph(F.col("tree")).alias("g"))
+    nodes = F.try_variant_get(F.col("g.graph"), "$.nodes", "array<variant>")
+    text = F.try_variant_get(F.col("g.graph"), "$.nodes[0].data.prompt_template.messages[1].text", "string")
+    return graphs.select("workflow_id", "g.pointer", F.size(nodes).alias("nodes"), text.alias("text"))
 
 
 @query("export_results", "SELECT 'details' AS sheet, count(*) AS n FROM events UNION ALL SELECT 'performance', count(DISTINCT user_id % 10) FROM events UNION ALL SELECT 'overview', 15")

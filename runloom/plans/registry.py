@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from runloom.plans import dsl, expand, files, history, issues, metrics, normalize, states, streaming, texts  # noqa: F401
+    from runloom.plans import dsl, expand, files, history, issues, metrics, normalize, states, streaming, texts, usage  # noqa: F401

@@ -300,8 +300,12 @@ specs AS (
 
 
 def dsl_trees(spark: SparkSession, folder: str) -> DataFrame:
-    """One workflow definition per document, as VARIANT, in three shapes."""
-    docs = table(spark, folder, "documents")
+    """One workflow definition per document, as VARIANT."""
+    return trees_of(table(spark, folder, "documents"))
+
+
+def trees_of(docs: DataFrame) -> DataFrame:
+    """Definitions in three shapes from ``doc_id, lang, source, text``."""
     lang, source = F.col("lang"), F.col("source")
 
     def message(role: str | None, text: Column | None) -> Column:
