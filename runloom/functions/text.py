@@ -77,6 +77,12 @@ def prompt_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def draw_order(seed: int, *keys: Column | str) -> Column:
+    """Repeatable pseudo-random order of rows: a digest of seed and keys."""
+    texts = [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *texts))
+
+
 def lines(text: Column) -> Column:
     return F.split(text, "\r\n|\r|\n")
 

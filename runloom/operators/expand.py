@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from runloom.functions.text import draw_order
 from runloom.operators.ordering import with_position
 
 MAX_CASES = 1000  # fixed value: default cap of the cartesian mode
@@ -309,7 +310,7 @@ def limit_cases(cases: DataFrame, keys: Sequence[str], max_cases: int, seed: int
     """
     order = [F.col("case_no")]
     if seed is not None:
-        order.insert(0, F.xxhash64(F.lit(seed), *keys, "case_no"))
+        order.insert(0, draw_order(seed, *keys, "case_no"))
     ranked = cases.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("_rank") <= max_cases).drop("_rank")
 
@@ -459,8 +460,9 @@ def apply_variant_patches(nodes: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def weighted_sample(rows: DataFrame, key: str, weight: str, k: int, seed: int = 0) -> DataFrame:
-    """``k`` rows without replacement, chance in proportion to weight (exponential race on a hash)."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """``k`` rows without replacement, chance in proportion to weight (exponential race on a digest)."""
+    digits = F.conv(F.left(draw_order(seed, key), F.lit(12)), 16, 10).cast("double")
+    u = (digits + 0.5) / float(1 << 48)
     return rows.where(F.col(weight) > 0).orderBy(-F.log(u) / F.col(weight), key).limit(k)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runloom.functions.text import prompt_hash
+from runloom.functions.text import draw_order, prompt_hash
 from runloom.operators.metrics import SUCCESS, is_success, join_on, seconds_between
 
 # Order of action types when only some may be kept.
@@ -328,7 +328,7 @@ def eval_subset(records: DataFrame, keys: Sequence[str], seed: int = 0, minimum:
     """Failed runs, plus up to three passed ones when fewer than three failed.
 
     Keys with fewer than ``minimum`` records or without a failure are evaluated in full. The draw of passed
-    runs is by seeded hash, and a single passed run is not added.
+    runs is by seeded digest, and a single passed run is not added.
     """
     shape = records.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_all"), F.count_if(~F.col("passed")).alias("_failed")
@@ -339,5 +339,5 @@ def eval_subset(records: DataFrame, keys: Sequence[str], seed: int = 0, minimum:
     full = records.join(whole.select(*keys), list(keys), "left_semi")
     failed = records.where(~F.col("passed")).join(cut.select(*keys), list(keys), "left_semi")
     passed = records.where("passed").join(short.select(*keys), list(keys), "left_semi")
-    extra = top_rows(passed, keys, [F.xxhash64(F.lit(seed), "run_index"), F.col("run_index")], 3)
+    extra = top_rows(passed, keys, [draw_order(seed, "run_index"), F.col("run_index")], 3)
     return full.unionByName(failed).unionByName(extra)

@@ -201,7 +201,11 @@ def cases_hierarchical(spark, folder):
     return X.cases_hierarchical(wide_dims(spark, folder)).select("dataset", "case_no", shown(F.col("parameters")))
 
 
-@query("limit_cases")
+@query(
+    "limit_cases",
+    f"""WITH {PLAN_SQL}, {CARTESIAN_SQL} SELECT dataset, case_no, parameters FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('42:' || dataset || ':' || case_no), case_no) AS r FROM cartesian) WHERE r <= 3""",
+)
 def limit_cases(spark, folder):
     cases = X.cases_cartesian(dims(spark, folder))
     return X.limit_cases(cases, ["dataset"], 3, seed=42).select("dataset", "case_no", shown(F.col("parameters")))
@@ -302,7 +306,11 @@ def apply_variant_patches(spark, folder):
     return X.apply_variant_patches(nodes, by_node.unionByName(by_label))
 
 
-@query("weighted_sample")
+@query(
+    "weighted_sample",
+    """SELECT p_partkey, CAST(p_size AS DOUBLE) AS weight FROM part WHERE p_size > 0
+ORDER BY -ln((CAST(('0x' || left(md5('7:' || p_partkey), 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / p_size, p_partkey LIMIT 100""",
+)
 def weighted_sample(spark, folder):
     weighted = table(spark, folder, "part").select("p_partkey", F.col("p_size").cast("double").alias("weight"))
     return X.weighted_sample(weighted, "p_partkey", "weight", 100, seed=7)

@@ -25,9 +25,28 @@ def stream_collect_query(spark, folder):
     return stats.select("workflow_id", "total_executions", "successful_count", "total_tokens", "avg_execution_time")
 
 
-@query("rate_limit_admission")
+@query(
+    "rate_limit_admission",
+    # one step per request of a user, all users side by side
+    """WITH RECURSIVE r AS (
+  SELECT user_id, event_id, epoch_us(ts) / CAST(1e6 AS DOUBLE) AS sec, 1 + CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) % 4 AS need,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
+), w AS (
+  SELECT user_id, event_id, n, sec, need, true AS admitted, CAST(5 - need AS DOUBLE) AS tokens FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.user_id, r.event_id, r.n, r.sec, r.need,
+    least(5.0, w.tokens + CAST(0.05 AS DOUBLE) / 60 * (r.sec - w.sec)) >= r.need,
+    least(5.0, w.tokens + CAST(0.05 AS DOUBLE) / 60 * (r.sec - w.sec))
+      - CASE WHEN least(5.0, w.tokens + CAST(0.05 AS DOUBLE) / 60 * (r.sec - w.sec)) >= r.need THEN r.need ELSE 0 END
+  FROM w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1
+) SELECT user_id, event_id, admitted, round(tokens, 4) AS tokens_left,
+  CASE WHEN admitted THEN 0.0 ELSE round((need - tokens) / (CAST(0.05 AS DOUBLE) / 60), 2) END AS wait_seconds FROM w""",
+)
 def rate_limit_admission_query(spark, folder):
     requests = table(spark, folder, "events").select(
         "user_id", "event_id", "ts", (1 + F.get_json_object("props", "$.k").cast("int") % 4).alias("tokens")
     )
-    return rate_limit_admission(requests, "user_id", "event_id", per_minute=0.05, burst=5.0)
+    done = rate_limit_admission(requests, "user_id", "event_id", per_minute=0.05, burst=5.0)
+    return done.select(
+        "user_id", "event_id", "admitted", F.round("tokens_left", 4).alias("tokens_left"), F.round("wait_seconds", 2).alias("wait_seconds")
+    )
