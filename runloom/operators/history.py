@@ -180,15 +180,13 @@ def plateau_detect(trials: DataFrame, key: str, rounds: int = NO_IMPROVE_ROUNDS)
     )
     islands = marked.withColumn("_island", F.sum(F.col("_up").cast("int")).over(upto))
     stale = F.sum((~F.col("_up")).cast("int")).over(Window.partitionBy(key, "_island").orderBy("step"))
-    counted = islands.withColumn("_stale", stale)
-    stops = counted.groupBy(key).agg(F.min(F.when(F.col("_stale") >= rounds, F.col("step"))).alias("stop_step"))
-    best = (
-        counted.join(stops, key)
-        .where(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step")))
-        .groupBy(key)
-        .agg(F.max_by("step", F.struct(F.col("score"), -F.col("step"))).alias("best_step"), F.max("score").alias("best_score"))
+    stop = F.min(F.when(F.col("_stale") >= rounds, F.col("step"))).over(Window.partitionBy(key))
+    counted = islands.withColumn("_stale", stale).withColumn("stop_step", stop)
+    reached = counted.where(F.col("stop_step").isNull() | (F.col("step") <= F.col("stop_step")))
+    best = F.max_by("step", F.struct(F.col("score"), -F.col("step")))
+    return reached.groupBy(key).agg(
+        F.max("stop_step").alias("stop_step"), best.alias("best_step"), F.max("score").alias("best_score")
     )
-    return stops.join(best, key)
 
 
 def loop_detect(trials: DataFrame, key: str) -> DataFrame:
@@ -201,10 +199,10 @@ def loop_detect(trials: DataFrame, key: str) -> DataFrame:
 
 def growth_guard(trials: DataFrame, key: str, growth: float = MAX_PROMPT_GROWTH) -> DataFrame:
     """First step whose prompt is longer than the allowed multiple of the first one; NULL if none is."""
-    size = F.length("prompt")
-    first = trials.groupBy(key).agg(F.min_by(size, "step").alias("_len0"))
-    allowed = F.floor(F.col("_len0") * growth)
-    return trials.join(first, key).groupBy(key).agg(F.min(F.when(size > allowed, F.col("step"))).alias("stop_step"))
+    steps = Window.partitionBy(key).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    sized = trials.select(key, "step", F.length("prompt").alias("_len"))
+    marked = sized.withColumn("_over", F.col("_len") > F.floor(F.first("_len").over(steps) * growth))
+    return marked.groupBy(key).agg(F.min(F.when(F.col("_over"), F.col("step"))).alias("stop_step"))
 
 
 def stage_progress(trials: DataFrame, key: str) -> DataFrame:
@@ -279,15 +277,12 @@ def block_freeze(blocks: DataFrame, trials: DataFrame, keys: Sequence[str], step
     equals take turns.
     """
     block = [*keys, "block_id"]
-    past = trials.where(F.col("step") < step)
-    gains = past.groupBy(*block).agg(F.max(F.when(F.col("improved"), F.col("step"))).alias("_gain"))
-    fails = (
-        join_on(past, gains, block)
-        .groupBy(*block)
-        .agg(
-            F.first("_gain").alias("_gain"),
-            F.count_if(~F.col("improved") & (F.col("step") > F.coalesce("_gain", F.lit(-1)))).alias("_fails"),
-        )
+    tries = Window.partitionBy(*block)
+    gained = F.max(F.when(F.col("improved"), F.col("step"))).over(tries)
+    past = trials.where(F.col("step") < step).withColumn("_gain", gained)
+    fails = past.groupBy(*block).agg(
+        F.max("_gain").alias("_gain"),
+        F.count_if(~F.col("improved") & (F.col("step") > F.coalesce("_gain", F.lit(-1)))).alias("_fails"),
     )
     gain, failed = F.coalesce("_gain", F.lit(-1)), F.coalesce("_fails", F.lit(0))
     state = join_on(blocks, fails, block).select(

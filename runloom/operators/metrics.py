@@ -25,9 +25,10 @@ def is_success(status: Column, success: Sequence[str] = SUCCESS) -> Column:
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Null-safe equi-join on ``keys``; with no keys both sides are one-row aggregates."""
+    """Null-safe equi-join on ``keys``. Without keys both sides are one-row aggregates and are laid side by side."""
     if not keys:
-        return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
+        both = left.unionByName(right, allowMissingColumns=True)
+        return both.agg(*[F.max(c).alias(c) for c in both.columns]).where(F.col(left.columns[0]).isNotNull())
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
@@ -62,7 +63,8 @@ def run_metrics(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     if not keys:
         base = base.where(F.col("total_executions") > 0)
-    return join_on(base, percentiles(runs, keys), keys)
+    joined = join_on(base, exact_percentiles(runs, keys, "execution_time", PERCENTILES), keys)
+    return joined.withColumns({p: F.coalesce(F.col(p), F.lit(0.0)) for p in PERCENTILES})
 
 
 def metrics_by_dimensions(runs: DataFrame, dimensions: Sequence[Sequence[str]]) -> DataFrame:

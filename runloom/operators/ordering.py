@@ -37,11 +37,15 @@ def chunk_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_chunks(df: DataFrame, lead: str, chunks: int | None = None) -> DataFrame:
-    """Add ``_chunk``, non-decreasing in ``lead``, with about equal row counts over all keys."""
+def with_chunks(df: DataFrame, lead: str, chunks: int | None = None, like: DataFrame | None = None) -> DataFrame:
+    """Add ``_chunk``, non-decreasing in ``lead``, with about equal row counts over all keys.
+
+    ``like`` may name a cheaper table with the same ``lead`` values to take the cut points from.
+    """
     wanted = chunks or chunk_count(df)
     framed = df.withColumn(_AXIS, _axis(df, lead))
-    cuts = framed.select(_AXIS).where(F.col(_AXIS) > float("-inf")).approxQuantile(
+    source = df if like is None else like
+    cuts = source.select(_axis(source, lead).alias(_AXIS)).where(F.col(_AXIS) > float("-inf")).approxQuantile(
         _AXIS, [i / wanted for i in range(1, wanted)], 1.0 / (4 * wanted)
     )
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
@@ -73,7 +77,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, chunks: int | No
     """One row per (key, value): the 0-based rank range ``lo``..``hi`` it covers and the group size ``n``."""
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    chunked = with_chunks(counts, value, chunks)
+    chunked = with_chunks(counts, value, chunks, like=df)
     sizes = chunked.groupBy(*keys, _CHUNK).agg(F.sum("_n").alias("_size"))
     per_key = Window.partitionBy(*keys)
     before = per_key.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)

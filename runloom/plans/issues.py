@@ -170,7 +170,7 @@ FROM cons JOIN (SELECT DISTINCT workflow_id, evidence_run FROM issues) e USING (
 def actions_from_signal(spark, folder):
     samples, specs = inputs(spark, folder)
     issues = I.issue_high_failure_rate(samples, specs).unionByName(I.issue_latency_exceeded(samples, specs))
-    return AC.actions_from_signal(issues, specs).select("workflow_id", "type", "target", "content", "evidence_run")
+    return AC.actions_from_signal(checkpointed(issues), specs).select("workflow_id", "type", "target", "content", "evidence_run")
 
 
 # Sample actions from order lines: node = order, evidence = supplier, text of varying length.

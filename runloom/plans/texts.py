@@ -55,7 +55,10 @@ def paired(spark, folder):
     """Outputs next to the first expected output of their workflow."""
     specs = A.reference_specs(spark, folder)
     expected = specs.select("workflow_id", F.element_at("expected_outputs", 1).alias("expected"))
-    return A.text_runs(spark, folder).join(expected, "workflow_id").select("workflow_id", "index", "expected", "output_text")
+    outputs = table(spark, folder, "documents").select(
+        F.concat(F.lit("wf_"), "source").alias("workflow_id"), F.col("doc_id").alias("index"), F.col("text").alias("output_text")
+    )
+    return outputs.join(expected, "workflow_id")
 
 
 @query("similarity")
