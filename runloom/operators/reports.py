@@ -77,12 +77,10 @@ def run_report(results: DataFrame) -> DataFrame:
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
-    """``df`` unchanged, but the job fails with ``message`` when it has no rows."""
-    marks = df.select(F.lit(1).alias("_x")).limit(1).agg(F.count(F.lit(1)).alias("_rows"))
-    guard = marks.select(
-        F.when(F.col("_rows") == 0, F.raise_error(F.lit(message)).cast("int")).otherwise(F.lit(1)).alias("_one")
-    )
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(guard), "_one").drop("_one")
+    """``df`` unchanged, but a job that reads it fails with ``message`` when it has no rows."""
+    found = df.select(F.lit(1).alias("_x")).limit(1).agg(F.count(F.lit(1)).alias("_rows"))
+    broken = [F.raise_error(F.lit(message)).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return df.unionByName(found.where(F.col("_rows") == 0).select(*broken))
 
 
 def export_statistics(metrics: DataFrame, grades: DataFrame, folder: str) -> None:
