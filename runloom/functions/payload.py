@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from runloom.functions.text import let, strip
+
 # Status synonyms. The fine table tells timeouts, errors and cancellations apart, the
 # coarse one knows only success and failure and leaves every other word as it is.
 FINE_STATUS = {
@@ -43,7 +45,7 @@ def synonym(text: Column, table: dict[str, Sequence[str]]) -> Column:
 
 
 def normalize_status(text: Column) -> Column:
-    plain = F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    plain = F.lower(strip(text))
     return F.coalesce(synonym(plain, FINE_STATUS), plain)
 
 
@@ -53,17 +55,13 @@ def status(payload: Column, table: dict[str, Sequence[str]], trim: bool) -> Colu
     A payload that has an output and no status at all succeeded.
     """
     found = F.array_compact(F.array(*[at(payload, f"{place}.{key}") for place in STATUS_PLACES for key in STATUS_KEYS]))
-    plain = F.transform(
-        found, lambda s: F.lower(F.regexp_replace(s, r"(?U)^\s+|\s+$", "") if trim else s)
-    )
-    known = F.transform(plain, lambda s: synonym(s, table))
-    first_known = F.try_element_at(F.array_compact(known), F.lit(1))
-    return F.coalesce(
-        first_known,
-        F.try_element_at(plain, F.lit(1)),
-        F.when(at(payload, "$.output").isNotNull(), "success"),
-        F.lit("unknown"),
-    )
+    plain = F.transform(found, lambda s: F.lower(strip(s) if trim else s))
+
+    def first_known(words: Column) -> Column:
+        known = F.array_compact(F.transform(words, lambda s: synonym(s, table)))
+        return F.coalesce(F.try_element_at(known, F.lit(1)), F.try_element_at(words, F.lit(1)))
+
+    return F.coalesce(let(plain, first_known), F.when(at(payload, "$.output").isNotNull(), "success"), F.lit("unknown"))
 
 
 def output_text(payload: Column, raw: Column) -> Column:

@@ -57,8 +57,8 @@ def sections_of(pairs: Column) -> Column:
 
 
 def with_sections(rows: DataFrame, text: str, name: str = "sections") -> DataFrame:
-    """Add the section map. The pieces get a column of their own, so that the text is scanned once."""
-    return rows.withColumn("_pairs", header_pairs(F.col(text))).withColumn(name, sections_of(F.col("_pairs"))).drop("_pairs")
+    """Add the section map; the text is scanned once."""
+    return rows.withColumn(name, let(header_pairs(F.col(text)), sections_of))
 
 
 def negative_examples(text: Column) -> Column:

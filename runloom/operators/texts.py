@@ -105,11 +105,14 @@ def guard_rewrite(rows: DataFrame, text: str, rewritten: str, name: str = "guard
 
 def skip_for_intent(prompt: Column, constraints: Column, expected: Column) -> Column:
     """Whether a prompt shares too few keywords with its reference to be worth changing."""
+    def decided(words: Column) -> Column:
+        wanted, own = words["wanted"], words["own"]
+        overlap = F.size(F.array_intersect(wanted, own))
+        far = (F.try_divide(overlap, F.size(wanted)) < 0.15) & (overlap <= 1)
+        return F.when(F.size(wanted) == 0, False).when(F.size(own) == 0, True).otherwise(far)
+
     wanted = T.keywords(F.array_join(F.concat(constraints, expected), " "))
-    own = T.keywords(prompt)
-    overlap = F.size(F.array_intersect(wanted, own))
-    share = F.try_divide(overlap, F.size(wanted))
-    return F.when(F.size(wanted) == 0, False).when(F.size(own) == 0, True).otherwise((share < 0.15) & (overlap <= 1))
+    return T.let(F.struct(wanted.alias("wanted"), T.keywords(prompt).alias("own")), decided)
 
 
 def constraint_hits(samples: DataFrame, specs: DataFrame, key: str = "workflow_id") -> DataFrame:
@@ -118,14 +121,17 @@ def constraint_hits(samples: DataFrame, specs: DataFrame, key: str = "workflow_i
     ``specs`` has one row per ``key`` with its ``constraints``.
     """
     joined = samples.join(specs.select(key, "constraints"), key)
-    lowered = joined.withColumn("_low", F.lower(F.coalesce("output_text", F.lit(""))))
-    hits = F.transform(
-        F.filter(F.array_distinct("constraints"), T.non_empty),
-        lambda c, i: F.struct(
-            i.alias("constraint_no"), c.alias("constraint"), F.contains(F.col("_low"), F.lower(c)).alias("found")
+    wanted = F.filter(F.array_distinct("constraints"), T.non_empty)
+    hits = T.let(
+        F.lower(F.coalesce("output_text", F.lit(""))),
+        lambda low: F.transform(
+            wanted,
+            lambda c, i: F.struct(
+                i.alias("constraint_no"), c.alias("constraint"), F.contains(low, F.lower(c)).alias("found")
+            ),
         ),
     )
-    return lowered.select(key, "index", F.inline(hits))
+    return joined.select(key, "index", F.inline(hits))
 
 
 def constraint_coverage(samples: DataFrame, specs: DataFrame, key: str = "workflow_id") -> DataFrame:
