@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from runloom.functions.text import draw_order, prompt_hash
 from runloom.operators.metrics import SUCCESS, is_success, join_on, seconds_between
+from runloom.operators.ordering import with_position
 
 # Order of action types when only some may be kept.
 ACTION_PRIORITY = {
@@ -30,11 +31,16 @@ ACTION_BUDGET = 5
 MAX_CONSTRAINTS = 20
 NO_IMPROVE_ROUNDS = 3
 MAX_PROMPT_GROWTH = 1.5
+GROUP_LIMIT = 1000  # up to this rank Spark limits groups before the shuffle
 FAILED_STATES = ("failed", "error", "timeout")
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
-    """First ``k`` rows per key in ``order``."""
+    """First ``k`` rows per key in ``order``.
+
+    Spark cuts each task's rows to the limit before the shuffle as long as ``k`` does not exceed
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 unless set).
+    """
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("_rank") <= k).drop("_rank")
 
@@ -71,11 +77,14 @@ def stop_max_failures(tasks: DataFrame, max_failures: int) -> DataFrame:
     are looked at, not a running total over all of them.
     """
     failures = tasks.where(F.col("task_status").isin(*FAILED_STATES)).select("workflow_id", "index", "batch")
-    nth = F.row_number().over(Window.partitionBy("workflow_id").orderBy("index"))
-    last = failures.withColumn("_n", nth).where(F.col("_n") <= max(max_failures, 1)).groupBy("workflow_id").agg(
-        F.max("_n").alias("_n"), F.max("batch").alias("_last")
-    )
-    return _cancel_after(tasks, last.where(F.col("_n") == max(max_failures, 1)).drop("_n"), max_failures <= 0)
+    needed = max(max_failures, 1)
+    if needed <= GROUP_LIMIT:
+        nth = F.row_number().over(Window.partitionBy("workflow_id").orderBy("index"))
+        counted = failures.withColumn("_n", nth).where(F.col("_n") <= needed)
+    else:
+        counted = with_position(failures, ["workflow_id"], ["index"], "_n")
+    last = counted.where(F.col("_n") == needed).select("workflow_id", F.col("batch").alias("_last"))
+    return _cancel_after(tasks, last, max_failures <= 0)
 
 
 def stop_timeout(tasks: DataFrame, timeout_seconds: float) -> DataFrame:

@@ -46,11 +46,15 @@ def issue_insufficient_data(specs: DataFrame, samples: DataFrame, key: str = "wo
 
 
 def issue_high_failure_rate(samples: DataFrame, specs: DataFrame, key: str = "workflow_id", success=SUCCESS) -> DataFrame:
-    """Workflows whose share of failed runs exceeds the limit; evidence are the failed runs."""
+    """Workflows whose share of failed runs exceeds the limit; evidence are the failed runs.
+
+    A workflow without reference is held to the default limit.
+    """
     failed = ~is_success(F.col("status"), success)
     rates = samples.groupBy(key).agg(F.avg(failed.cast("double")).alias("_rate"))
-    limit = F.coalesce("max_failure_rate", F.lit(MAX_FAILURE_RATE))
-    over = rates.join(specs.select(key, limit.alias("_limit")), key).where(F.col("_rate") > F.col("_limit"))
+    limits = rates.join(specs.select(key, "max_failure_rate"), key, "left")
+    limited = limits.withColumn("_limit", F.coalesce("max_failure_rate", F.lit(MAX_FAILURE_RATE)))
+    over = limited.where(F.col("_rate") > F.col("_limit"))
     message = F.format_string("Failure rate %.2f exceeds threshold %.2f", "_rate", "_limit")
     hits = over.join(samples.where(failed).select(key, "index"), key)
     return hits.select(key, *_issue("high_failure_rate", "high", message, F.col("index")))

@@ -19,15 +19,23 @@ from pyspark.sql.window import Window
 _AXIS, _CHUNK = "_axis", "_chunk"
 
 
+def epoch_seconds(df: DataFrame, column: str) -> Column:
+    """Seconds of a timestamp of either type as a double, whatever the session time zone."""
+    col = F.col(column)
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):  # a cast could fold over at a clock change
+        day = F.unix_date(F.to_date(col)).cast("double")
+        second = F.extract(F.lit("SECOND"), col).cast("double")
+        return day * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + second
+    return F.unix_micros(col) / F.lit(1e6)
+
+
 def _axis(df: DataFrame, column: str) -> Column:
     """Leading order column as a double; timestamps become seconds, NULL sorts first as in Spark."""
     kind = df.schema[column].dataType
     col = F.col(column)
-    if isinstance(kind, T.TimestampNTZType):  # field by field: a cast could fold over at a clock change
-        day = F.unix_date(F.to_date(col)).cast("double")
-        second = F.extract(F.lit("SECOND"), col).cast("double")
-        col = day * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + second
-    elif not isinstance(kind, (T.NumericType, T.TimestampType)):
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        col = epoch_seconds(df, column)
+    elif not isinstance(kind, T.NumericType):
         raise TypeError(f"leading order column {column} must be numeric or a timestamp, not {kind.simpleString()}")
     return F.coalesce(col.cast("double"), F.lit(float("-inf")))
 

@@ -19,8 +19,8 @@ RATE_SQL = """rate AS (SELECT workflow_id, avg(CASE WHEN status = 'success' THEN
 INSUFFICIENT_SQL = """SELECT workflow_id, 'insufficient_data' AS kind, 'low' AS severity, 'No execution samples available' AS message, CAST(NULL AS BIGINT) AS evidence_run
 FROM specs WHERE workflow_id NOT IN (SELECT workflow_id FROM samples)"""
 FAILURE_SQL = """SELECT s.workflow_id, 'high_failure_rate' AS kind, 'high' AS severity,
-  printf('Failure rate %.2f exceeds threshold %.2f', r, max_failure_rate) AS message, s."index" AS evidence_run
-FROM samples s JOIN rate USING (workflow_id) JOIN specs USING (workflow_id) WHERE r > max_failure_rate AND s.status <> 'success'"""
+  printf('Failure rate %.2f exceeds threshold %.2f', r, coalesce(max_failure_rate, 0.2)) AS message, s."index" AS evidence_run
+FROM samples s JOIN rate USING (workflow_id) LEFT JOIN specs USING (workflow_id) WHERE r > coalesce(max_failure_rate, 0.2) AND s.status <> 'success'"""
 MISSING_SQL = """SELECT s.workflow_id, 'constraint_missing' AS kind, 'high' AS severity, 'Constraint not observed in outputs: ' || c AS message, s."index" AS evidence_run
 FROM samples s JOIN (SELECT workflow_id, c FROM cons JOIN samples USING (workflow_id) GROUP BY 1, 2 HAVING NOT bool_or(contains(lower(output_text), lower(c)))) m USING (workflow_id)"""
 LATENCY_SQL = """SELECT s.workflow_id, 'latency_exceeded' AS kind, 'medium' AS severity,

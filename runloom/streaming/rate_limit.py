@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from runloom.operators.ordering import with_session_start
+from runloom.operators.ordering import epoch_seconds, with_session_start
 
 ADMISSION = "admitted boolean, tokens_left double, wait_seconds double"
 
@@ -37,8 +37,7 @@ def rate_limit_admission(requests: DataFrame, key: str, order: str, per_minute:
     """Admission of every request of ``key, ts, tokens``; ``order`` breaks ties of equal times."""
     rate = per_minute / 60.0
     pause = burst / rate
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = with_session_start(requests.withColumn("_at", seconds), [key], "_at", order, pause)
+    rows = with_session_start(requests.withColumn("_at", epoch_seconds(requests, "ts")), [key], "_at", order, pause)
     sorted_rows = rows.repartition(key, "_session").sortWithinPartitions(key, "_session", "_at", order)
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +87,7 @@ def stream_admission(requests: DataFrame, key: str, order: str, per_minute: floa
         out[["admitted", "tokens_left", "wait_seconds", "late"]] = pd.DataFrame(rows, index=out.index)
         yield out
 
-    timed = requests.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    timed = requests.withColumn("_at", epoch_seconds(requests, "ts"))
     return timed.groupBy(key).applyInPandasWithState(
         walk, f"{fields}, {ADMISSION}, late boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout
     )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from runloom.operators.ordering import exact_percentiles, with_position, with_session_start
+from runloom.operators.ordering import exact_percentiles, value_ranks, with_chunks, with_position, with_session_start
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,20 @@ def test_sessions_by_brute_force(skewed):
 def test_text_order_is_refused(spark):
     with pytest.raises(TypeError):
         with_position(spark.createDataFrame([("a", "b")], "k string, t string"), ["k"], ["t"])
+
+
+def test_a_hot_key_is_spread_over_chunks(spark):
+    """Nine of ten rows have one key, yet no chunk holds much more than its share of them."""
+    df = spark.range(0, 20000).select(F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("key"), "id", (F.col("id") % 1000).cast("double").alias("v"))
+    sizes = with_chunks(df, "id", 16).groupBy("key", "_chunk").count().where("key = 'hot'").collect()
+    assert len(sizes) == 16
+    assert max(r["count"] for r in sizes) < 2 * 18000 / 16
+
+
+def test_one_value_in_most_rows(spark):
+    """Equal values are counted before the ranks, so they do not pile up."""
+    df = spark.range(0, 9000).select(F.lit("k").alias("key"), F.when(F.col("id") % 3 < 2, F.lit(0.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    row = exact_percentiles(df, ["key"], "v", {"a": 0.5, "b": 0.95}, 8).first()
+    exact = df.agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.95)))).first()[0]
+    assert [row.a, row.b] == pytest.approx(exact)
+    assert value_ranks(df, ["key"], "v", 8).count() == 3001
