@@ -105,14 +105,19 @@ def prompt_locations(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def prompt_blocks(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per node with prompts: its messages, merged text and brief."""
-    merged = F.array_join(
-        F.transform("messages", lambda m: P.marked(m["role"], m["index"], m["text"])), "\n"
-    )
-    blocks = with_messages(nodes).where(F.size("messages") > 0).withColumn("merged_text", merged)
-    return blocks.withColumn("brief", node_brief(F.col("node"), F.col("node_id"), F.col("_raw"), F.col("merged_text"))).select(
-        *keys, "bucket_no", "node_no", "node_id", "messages", "merged_text", "brief"
-    )
+    """One row per node with prompts: its messages, merged text and brief.
+
+    Nodes without prompts yield no row of the inline; a filter would be pushed down and read the tree twice.
+    """
+
+    def block(messages: Column) -> Column:
+        merged = F.array_join(F.transform(messages, lambda m: P.marked(m["role"], m["index"], m["text"])), "\n")
+        return F.when(F.size(messages) > 0, F.array(F.struct(messages.alias("messages"), merged.alias("merged_text"))))
+
+    places = (*keys, "bucket_no", "node_no", "node_id")
+    found = with_messages(nodes).select(*places, "node", "_raw", F.inline(T.let(F.col("messages"), block)))
+    brief = node_brief(F.col("node"), F.col("node_id"), F.col("_raw"), F.col("merged_text"))
+    return found.select(*places, "messages", "merged_text", brief.alias("brief"))
 
 
 def _keys_of(value: Column, path: str) -> Column:
@@ -223,18 +228,28 @@ def diff_prompts(blocks: DataFrame, keys: Sequence[str], rewritten: str) -> Data
 
     A rewrite that lost a marker, or lost or gained a placeholder, gives no patches at all.
     """
-    new = F.col(rewritten)
-    changed = T.strip(new) != T.strip(F.col("merged_text"))
-    sound = T.placeholders_preserved(F.col("brief.placeholders"), new)
-    found = F.transform(
-        "messages",
-        lambda m: F.struct(
-            m["path"].alias("path"), m["text"].alias("old"), P.between_markers(new, m["role"], m["index"]).alias("new")
-        ),
-    )
-    staged = blocks.where(changed & sound).withColumn("_found", found)
-    whole = staged.where(F.forall("_found", lambda m: m["new"].isNotNull()))
-    return whole.select(*keys, "node_id", F.inline("_found")).where(T.strip(F.col("new")) != T.strip(F.col("old")))
+
+    def message_patches(new: Column) -> Column:
+        return F.transform(
+            "messages",
+            lambda m: F.struct(
+                m["path"].alias("path"), m["text"].alias("old"), P.between_markers(new, m["role"], m["index"]).alias("new")
+            ),
+        )
+
+    def block_patches(new: Column) -> Column:
+        changed = T.strip(new) != T.strip(F.col("merged_text"))
+        sound = T.placeholders_preserved(F.col("brief.placeholders"), new)
+        kept = T.let(
+            message_patches(new),
+            lambda found: F.when(
+                F.forall(found, lambda m: m["new"].isNotNull()),
+                F.filter(found, lambda m: T.strip(m["new"]) != T.strip(m["old"])),
+            ),
+        )
+        return F.when(changed & sound, kept)
+
+    return blocks.select(*keys, "node_id", F.inline(T.let(F.col(rewritten), block_patches)))
 
 
 def order_patches(patches: DataFrame, locations: DataFrame, keys: Sequence[str]) -> DataFrame:

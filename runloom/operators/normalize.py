@@ -64,14 +64,18 @@ def typed_inputs(rows: DataFrame, keys: Sequence[str], inputs: str) -> DataFrame
     names = F.transform(F.map_keys(as_map), input_key)
     exploded = rows.select(*keys, names.alias("_names"), F.explode(as_map).alias("_key", "_raw"))
     name = input_key(F.col("_key"))
-    wrapped = F.try_parse_json("_raw")
-    has_value = F.coalesce(F.schema_of_variant(wrapped).rlike(r"^OBJECT<(.*, )?value: "), F.lit(False))
+
+    def unwrapped(wrapped: Column) -> Column:
+        has_value = F.coalesce(F.schema_of_variant(wrapped).rlike(r"^OBJECT<(.*, )?value: "), F.lit(False))
+        declared = F.struct(P.at(wrapped, "$.value").alias("value"), F.lower(P.at(wrapped, "$.type")).alias("declared_type"))
+        plain = F.struct(F.col("_raw").alias("value"), F.lit(None).cast("string").alias("declared_type"))
+        return F.when(has_value, declared).otherwise(plain)
+
     return exploded.select(
         *keys,
         name.alias("name"),
-        F.when(has_value, P.at(wrapped, "$.value")).otherwise(F.col("_raw")).alias("value"),
-        F.when(has_value, F.lower(P.at(wrapped, "$.type"))).alias("declared_type"),
         (F.size(F.filter("_names", lambda n: n == name)) > 1).alias("duplicate"),
+        F.inline(F.transform(F.array(F.try_parse_json("_raw")), unwrapped)),
     )
 
 

@@ -184,13 +184,18 @@ def merge_messages(messages: DataFrame, keys: Sequence[str], part_messages: int
 
 def split_messages(blocks: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Messages of a merged text by its markers; a block that lost a marker is left out entirely."""
-    found = F.transform(
-        "messages",
-        lambda m: F.struct(m["role"].alias("role"), m["index"].alias("index"), P.between_markers(F.col(text), m["role"], m["index"]).alias("text")),
+    def found(new: Column) -> Column:
+        return F.transform(
+            "messages",
+            lambda m: F.struct(
+                m["role"].alias("role"), m["index"].alias("index"), P.between_markers(new, m["role"], m["index"]).alias("text")
+            ),
+        )
+
+    whole = T.let(
+        T.let(F.col(text), found), lambda parts: F.when(F.forall(parts, lambda m: m["text"].isNotNull()), parts)
     )
-    parts = blocks.select(*keys, found.alias("_m"))
-    whole = parts.where(F.forall("_m", lambda m: m["text"].isNotNull()))
-    return whole.select(*keys, F.inline("_m"))
+    return blocks.select(*keys, F.inline(whole))
 
 
 # Model answers -----------------------------------------------------------------------------------

@@ -98,7 +98,7 @@ def stats_by_dimensions(spark, folder):
 
 @query(
     "token_efficiency",
-    f"{WITH_RUNS} SELECT execution_id, round({EFFICIENCY_SQL}, 6) AS efficiency FROM runs",
+    f"{WITH_RUNS} SELECT execution_id, CAST(round(CAST(CAST({EFFICIENCY_SQL} AS VARCHAR) AS DECIMAL(38, 18)), 6) AS DOUBLE) AS efficiency FROM runs",
 )
 def token_efficiency(spark, folder):
     efficiency = M.token_efficiency(F.col("outputs"), F.col("tokens_used"))
@@ -107,7 +107,7 @@ def token_efficiency(spark, folder):
 
 @query(
     "classify_runs",
-    f"{WITH_RUNS}, {grade_sql()} SELECT execution_id, round(efficiency, 6) AS efficiency, grade FROM graded",
+    f"{WITH_RUNS}, {grade_sql()} SELECT execution_id, CAST(round(CAST(CAST(efficiency AS VARCHAR) AS DECIMAL(38, 18)), 6) AS DOUBLE) AS efficiency, grade FROM graded",
 )
 def classify_runs(spark, folder):
     graded = M.classify_runs(runs(spark, folder))
@@ -174,13 +174,13 @@ SELECT 'total_executions' AS metric, CAST(total_executions AS VARCHAR) AS value
 UNION ALL SELECT 'successful_count', CAST(successful_count AS VARCHAR) FROM s
 UNION ALL SELECT 'failed_count', CAST(failed_count AS VARCHAR) FROM s
 UNION ALL SELECT 'success_rate', printf('%.2f%%', success_rate * 100) FROM s
-UNION ALL SELECT 'avg_execution_time', printf('%.3fs', avg_execution_time) FROM s
-UNION ALL SELECT 'p50_execution_time', printf('%.3fs', p50_execution_time) FROM s
-UNION ALL SELECT 'p95_execution_time', printf('%.3fs', p95_execution_time) FROM s
-UNION ALL SELECT 'p99_execution_time', printf('%.3fs', p99_execution_time) FROM s
+UNION ALL SELECT 'avg_execution_time', printf('%.3fs', CAST(round(CAST(CAST(avg_execution_time AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE)) FROM s
+UNION ALL SELECT 'p50_execution_time', printf('%.3fs', CAST(round(CAST(CAST(p50_execution_time AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE)) FROM s
+UNION ALL SELECT 'p95_execution_time', printf('%.3fs', CAST(round(CAST(CAST(p95_execution_time AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE)) FROM s
+UNION ALL SELECT 'p99_execution_time', printf('%.3fs', CAST(round(CAST(CAST(p99_execution_time AS VARCHAR) AS DECIMAL(38, 18)), 3) AS DOUBLE)) FROM s
 UNION ALL SELECT 'total_tokens', format('{{:,}}', total_tokens) FROM s
-UNION ALL SELECT 'total_cost', printf('$%.2f', total_cost) FROM s
-UNION ALL SELECT 'avg_tokens_per_request', printf('%.1f', avg_tokens_per_request) FROM s
+UNION ALL SELECT 'total_cost', printf('$%.2f', CAST(round(CAST(CAST(total_cost AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DOUBLE)) FROM s
+UNION ALL SELECT 'avg_tokens_per_request', printf('%.1f', CAST(round(CAST(CAST(avg_tokens_per_request AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE)) FROM s
 UNION ALL SELECT 'grade_' || grade, printf('%d (%.2f%%)', n, n * 100 / CAST(total AS DOUBLE)) FROM d""",
 )
 def overview_report(spark, folder):

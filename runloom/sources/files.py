@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions import payload as P
-from runloom.functions.text import is_json_object
+from runloom.functions.text import is_json_object, let
 from runloom.operators.metrics import runs_failures
 from runloom.operators.normalize import safe_dirname
 
@@ -43,15 +43,17 @@ def write_run_records(records: DataFrame, folder: str) -> None:
     split.write.mode("overwrite").partitionBy("workflow_dir").json(folder)
 
 
-def _shaped(v: Column, raw: Column, path: Column) -> list[Column]:
+def _record(v: Column, raw: Column, path: Column) -> Column:
+    """Array with the one record of a JSON object, NULL for anything else."""
     inner = F.try_variant_get(v, "$.result", "variant")
     has_result = F.try_variant_get(v, "$.result", "string").isNotNull()
     number = F.regexp_extract(path, r"run_(\d+)\.json$", 1)
-    return [
+    record = F.struct(
         F.coalesce(P.at(v, "$.workflow_id"), F.regexp_extract(path, r"([^/]+)/runs/[^/]+$", 1)).alias("workflow_id"),
         F.coalesce(F.try_variant_get(v, "$.index", "long"), F.nullif(number, F.lit("")).try_cast("long")).alias("index"),
         F.when(has_result, F.to_json(inner)).otherwise(raw).alias("payload"),
-    ]
+    )
+    return F.when(is_json_object(v), F.array(record))
 
 
 def read_run_records(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
@@ -62,8 +64,10 @@ def read_run_records(spark: SparkSession, path: str, one_per_file: bool = False)
     ``index``: file names sort run 10 before run 2.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=one_per_file)
-    parsed = lines.select(F.col("value").alias("_raw"), F.try_parse_json("value").alias("_v"), F.col("_metadata.file_path").alias("_path"))
-    return parsed.where(is_json_object(F.col("_v"))).select(*_shaped(F.col("_v"), F.col("_raw"), F.col("_path")))
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_path"))
+    return placed.select(
+        F.inline(let(F.try_parse_json("value"), lambda v: _record(v, F.col("value"), F.col("_path"))))
+    )
 
 
 def write_runs_summary(results: DataFrame, folder: str) -> None:
