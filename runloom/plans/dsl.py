@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runloom.functions import prompts as P
 from runloom.operators import dsl as D
 from runloom.plans.registry import query
 from runloom.sources.adapters import LOCATIONS_SQL, dsl_trees

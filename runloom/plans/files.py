@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from runloom.operators import metrics as M
 from runloom.operators import reports as R
-from runloom.plans.metrics import rounded
 from runloom.plans.normalize import DURATION_SQL, EV
 from runloom.plans.registry import query
 from runloom.sources import adapters as A

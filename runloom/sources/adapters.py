@@ -210,7 +210,7 @@ def _tagged(prefix: str, number: Column) -> Column:
 def datasets(spark: SparkSession, folder: str) -> DataFrame:
     """Plan datasets, one per supplier."""
     return table(spark, folder, "supplier").select(
-        _tagged("ds_", F.col("s_suppkey")).alias("dataset"), F.lit("normal").alias("scenario"), "s_suppkey"
+        _tagged("ds_", F.col("s_suppkey")).alias("dataset"), F.lit("normal").alias("scenario"), "s_suppkey", "s_acctbal"
     )
 
 
@@ -238,9 +238,9 @@ def parameters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, folder: str) -> DataFrame:
-    """Two conversation flows for every seventh dataset."""
-    shaped = datasets(spark, folder).where(F.col("s_suppkey") % 7 == 0)
-    return shaped.select("dataset", F.posexplode(F.array(F.lit("greeting"), F.lit("complaint"))).alias("flow_no", "title"))
+    """Two conversation flows for every dataset of a supplier with a low balance."""
+    titles = F.when(F.col("s_acctbal") < 1500, F.array(F.lit("greeting"), F.lit("complaint")))
+    return datasets(spark, folder).select("dataset", F.posexplode(titles).alias("flow_no", "title"))
 
 
 def plan(spark: SparkSession, folder: str) -> DataFrame:
@@ -255,7 +255,7 @@ def plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PLAN_SQL = """
-ds AS (SELECT s_suppkey AS sk, 'ds_' || s_suppkey AS dataset FROM supplier),
+ds AS (SELECT s_suppkey AS sk, s_acctbal AS balance, 'ds_' || s_suppkey AS dataset FROM supplier),
 dim AS (
   SELECT dataset, sk, 0 AS ordinal, 'tone' AS param, 't' || i AS v, i AS pos FROM ds, range(0, 4) r(i) WHERE i <= sk % 4
   UNION ALL SELECT dataset, sk, 1, 'length', CAST(1 + i * (1 + sk % 3) AS VARCHAR), i FROM ds, range(0, 20) r(i)
@@ -265,7 +265,7 @@ dim AS (
   UNION ALL SELECT dataset, sk, 4, 'topic', CASE i WHEN 0 THEN 'a' ELSE 'b' END, i FROM ds, range(0, 2) r(i) WHERE sk % 5 <> 0
 ),
 fl AS (SELECT dataset, i AS flow_no, CASE i WHEN 0 THEN 'greeting' ELSE 'complaint' END AS title
-       FROM ds, range(0, 2) r(i) WHERE sk % 7 = 0),
+       FROM ds, range(0, 2) r(i) WHERE balance < 1500),
 refs AS (
   SELECT 'flow_' || c_custkey AS catalog_id, c_custkey AS ck, c_acctbal >= 0 AS enabled, i AS ref_order,
          'ds_' || CASE i WHEN 0 THEN c_custkey % 97 ELSE c_custkey % 100 + 50 END AS dataset
