@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably in the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_runloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="runloom-package-")) / "runloom.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._runloom_shipped = True
