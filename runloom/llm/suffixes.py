@@ -110,8 +110,8 @@ def _bucketed(block: int, keys: np.ndarray, buckets: int):
     first[1:] = ranked[1:] != ranked[:-1]
     one = ranked[first]
     often = np.diff(np.append(np.flatnonzero(first), len(ranked))) > 1
-    width = np.uint64((1 << 64) // buckets + 1)
-    cuts = np.searchsorted(one, [np.uint64(min(int(width) * b, (1 << 64) - 1)) for b in range(1, buckets)])
+    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+    cuts = np.searchsorted(one, bounds)
     rows = [(b, block, part.tobytes(), np.packbits(o).tobytes()) for b, (part, o) in enumerate(zip(np.split(one, cuts), np.split(often, cuts))) if len(part)]
     columns = list(zip(*rows)) or [()] * 4
     kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
