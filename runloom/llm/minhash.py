@@ -18,7 +18,8 @@ SKETCH = 64
 DEVIATIONS = 5.0
 #: Lists of at most so many texts give all their pairs; longer ones meet a centre first, then in blocks of ``BLOCK``.
 SHORT_LIST = 8
-BLOCK = 256
+BLOCK = 512
+_TILE = 256
 
 
 def _shingles(column: pa.Array, size: int):
@@ -89,11 +90,14 @@ def inverted_lists(classes: DataFrame, percent: int, k: int = SKETCH) -> DataFra
     kept = F.least("n_shingles", F.lit(k)).cast("int")
     # the values that no other text has come first in the order
     room = kept - _least_shared(F.col("n_shingles"), percent, k) + 1 - (kept - F.size("held"))
-    listed = shared.where(room > 0).select("node", F.explode(F.slice(F.sort_array("held"), F.lit(1), room)).alias("h"))
-    members = stored(listed.select("h.value", "node"), "near-members")
-    sizes = members.groupBy("value").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
+    # the text whose values most others share is nearest to all of them: the best centre of a group of near copies
+    common = F.aggregate("held", F.lit(0).cast("long"), lambda total, h: total + h["c"])
+    listed = shared.where(room > 0).select("node", common.alias("common"), F.explode(F.slice(F.sort_array("held"), F.lit(1), room)).alias("h"))
+    members = stored(listed.select("h.value", "node", "common"), "near-members")
+    centre = F.max(F.struct("common", "node"))["node"]
+    sizes = members.groupBy("value").agg(F.count("*").alias("members"), centre.alias("centre")).where("members > 1")
     sizes = stored(sizes.withColumnRenamed("value", "v"), "near-lists")
-    return stored(members.join(sizes, F.col("value") == F.col("v")).drop("v"), "near-listed")
+    return stored(members.join(sizes, F.col("value") == F.col("v")).drop("v", "common"), "near-listed")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int, k: int) -> bool:
@@ -143,48 +147,49 @@ def _block_links(percent: int, k: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node, comp, side, value = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "side", "value"))
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        listed = [np.array(x.as_py(), np.int64) for x in table.column("listed")]
-        earlier = _held([x[x < value[0]] for x in listed])
-        open_ = (comp[left][:, None] != comp[right][None, :]) & (earlier[left] @ earlier[right].T == 0)
+        whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("whole").combine_chunks()]
+        earlier = [(x := np.array(y.as_py(), np.int64))[x < value[0]] for y in table.column("listed")]
+        parent: dict[int, int] = {}
         links: list[tuple[int, int]] = []
-        if open_.any():
-            whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("whole")]
-            held = _held([x[:k] for x in whole])
-            size = np.array([len(x) for x in whole])
-            kept = np.minimum(size, k)
-            low = np.minimum(kept[left][:, None], kept[right][None, :])
-            least, most = (f(size[left][:, None], size[right][None, :]) for f in (np.minimum, np.maximum))
-            p = percent / 100
-            # sketches share at least what the sketch of their union does
-            open_ &= held[left] @ held[right].T >= low * p - DEVIATIONS * np.sqrt(low * p * (1 - p)) - 1e-6
-            open_ &= 100 * least >= percent * most
-            parent: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while (up := parent.get(c, c)) != c:
-                    c = up
-                return c
-
-            for x, y in zip(*np.nonzero(open_)):
-                i, j = left[x], right[y]
-                a, b = root(int(comp[i])), root(int(comp[j]))
-                if a != b:
-                    both = len(np.intersect1d(whole[i], whole[j], assume_unique=True))
-                    if 100 * both >= percent * (size[i] + size[j] - both):
-                        parent[max(a, b)] = min(a, b)
-                        links.append((int(node[i]), int(node[j])))
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        for low in range(0, len(left), _TILE):
+            for high in range(0, len(right), _TILE):
+                a, b = left[low : low + _TILE], right[high : high + _TILE]
+                open_ = comp[a][:, None] != comp[b][None, :]
+                if not open_.any() or not (open_ := open_ & (_shared(earlier, a, b) == 0)).any():
+                    continue
+                size_a, size_b = (np.array([len(whole[i]) for i in at]) for at in (a, b))
+                least, p = np.minimum(size_a[:, None], size_b[None, :]), percent / 100
+                kept = np.minimum(least, k)
+                # sketches share at least what the sketch of their union does
+                open_ &= 100 * least >= percent * np.maximum(size_a[:, None], size_b[None, :])
+                open_ &= _shared([x[:k] for x in whole], a, b) >= kept * p - DEVIATIONS * np.sqrt(kept * p * (1 - p)) - 1e-6
+                for x, y in zip(*np.nonzero(open_)):
+                    i, j = a[x], b[y]
+                    c, d = root(int(comp[i])), root(int(comp[j]))
+                    if c != d:
+                        both = len(np.intersect1d(whole[i], whole[j], assume_unique=True))
+                        if 100 * both >= percent * (len(whole[i]) + len(whole[j]) - both):
+                            parent[max(c, d)] = min(c, d)
+                            links.append((int(node[i]), int(node[j])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
 
-def _held(sets: list[np.ndarray]) -> np.ndarray:
-    """A row for each set, a column for each value that any has: 1 where the set has the value."""
-    value, column = np.unique(np.concatenate(sets), return_inverse=True)
-    out = np.zeros((len(sets), max(1, len(value))), np.float32)
-    out[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
-    return out
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values each of the ``left`` sets shares with each of the ``right`` ones."""
+    rows = [sets[i] for i in [*left, *right]]
+    value, column = np.unique(np.concatenate(rows), return_inverse=True)
+    held = np.zeros((len(rows), max(1, len(value))), np.float32)
+    held[np.repeat(np.arange(len(rows)), [len(r) for r in rows]), column] = 1
+    return held[: len(left)] @ held[len(left) :].T
 
 
 def _open_links(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
