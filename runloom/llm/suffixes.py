@@ -206,7 +206,7 @@ def _removals(v, cover, short, length, buckets, finer):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, r: int = 2, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, r: int = 1, block_bytes: int = BLOCK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): texts without bytes in a ``length``-byte string that starts twice.
 
     Suffixes are sorted as far as ``length`` bytes, in buckets that are sorted one at a time:
