@@ -15,7 +15,7 @@ UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPARK_LETTERS = r"\p{L}+"
 #: Words whose scores a Python worker remembers.
-_REMEMBER = 200_000
+_REMEMBER = 500_000
 
 
 def held_out_fold(doc_id, folds: int = 5):
@@ -29,7 +29,10 @@ class Model:
     def __init__(self, languages: list[str], words: dict, grams: dict[int, dict]):
         self.languages, self.words, self.grams = languages, words, grams
         self.rows: dict[str, int] = {}
-        self.matrix = np.zeros((1024, len(languages)))
+        self.matrix = np.zeros((0, len(languages)))
+        tables = {n: list(t.values()) for n, t in grams.items()}
+        self.places = {n: dict(zip(t, range(len(t)))) for n, t in grams.items()}
+        self.weights = {n: np.array(t, np.float64).reshape(len(t), len(languages)) for n, t in tables.items()}
 
     def __getstate__(self):
         return self.languages, self.words, self.grams
@@ -37,44 +40,66 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def _score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is None:
-            marked = f" {word} "
-            for n in sorted(self.grams, reverse=True):
-                table = self.grams[n]
-                found = [table[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in table]
-                if found:
-                    known = np.mean(found, axis=0)
-                    break
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The evidence of each word: its own if it is known, else the mean of its longest n-grams of which any is known."""
+        out = np.zeros((len(words), len(self.languages)))
+        rest = []
+        for i, word in enumerate(words):
+            known = self.words.get(word)
+            if known is None:
+                rest.append(i)
             else:
-                return np.zeros(len(self.languages))
-        return known - known.max()
-
-    def row(self, word: str) -> int:
-        at = len(self.rows)
-        if at == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[at] = self._score(word)
-        self.rows[word] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = _LETTERS.findall(text.lower()) if text else []
-        if not found or not self.languages:
-            return UNKNOWN, 0.0
+                out[i] = known
+        for n in sorted(self.grams, reverse=True):
+            place, found, counts, hit, missed = self.places[n], [], [], [], []
+            for i in rest:
+                marked = f" {words[i]} "
+                own = [p for j in range(len(marked) - n + 1) if (p := place.get(marked[j : j + n])) is not None]
+                if own:
+                    found += own
+                    counts.append(len(own))
+                    hit.append(i)
+                else:
+                    missed.append(i)
+            if hit:
+                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+                out[hit] = np.add.reduceat(self.weights[n][found], starts) / np.array(counts)[:, None]
+            rest = missed
+        return out - out.max(axis=1, keepdims=True)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        spoken = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         if len(self.rows) > _REMEMBER:
-            self.rows.clear()
-        rows = list(map(self.rows.get, found))
-        if None in rows:
-            rows = [self.row(w) if (at := self.rows.get(w)) is None else at for w in found]
+            self.rows, self.matrix = {}, self.matrix[:0]
+        rows = self.rows
+        new = list({w for words in spoken for w in words if w not in rows})
+        if new:
+            rows.update(zip(new, range(len(rows), len(rows) + len(new))))
+            self.matrix = np.concatenate([self.matrix, self.scores(new)])
+        return [self._choice([rows[w] for w in words]) if words else (UNKNOWN, 0.0) for words in spoken]
+
+    def _choice(self, rows: list[int]) -> tuple[str, float]:
         total = self.matrix[rows].sum(axis=0)
-        # the mean of a word's evidence, over at most a hundred words' worth, so that scores of long texts stay graded
-        odds = np.exp((total - total.max()) * min(1.0, 100 / len(found)))
+        # the evidence of a hundred words at most, in the mean, so that scores of long texts stay graded
+        odds = np.exp((total - total.max()) * min(1.0, 100 / len(rows)))
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
 
 
+def _in_turn(model: Model, texts: list[str | None], size: int = 1 << 21) -> list[tuple[str, float]]:
+    """Predictions of texts, about ``size`` characters at a time."""
+    out, run, held = [], [], 0
+    for text in texts:
+        run.append(text)
+        held += len(text or "")
+        if held > size:
+            out += model.predict(run)
+            run, held = [], 0
+    return out + model.predict(run)
+
+
 def _log_table(rows, languages: list[str], least: int) -> dict:
     """Key -> log frequencies by language, with half a count added; keys counted under ``least`` times are unknown."""
     number = {language: i for i, language in enumerate(languages)}
@@ -122,7 +147,7 @@ def _predictions(shared):
     def run(batches):
         model = shared.value
         for batch in batches:
-            found = [model.predict(t) for t in batch.column("text").to_pylist()]
+            found = _in_turn(model, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("twin"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 ["doc_id", "twin", "lang_pred", "score"],
@@ -148,8 +173,7 @@ def _accepted(shared, least: float):
     def run(batches):
         model = shared.value
         for batch in batches:
-            found = [model.predict(t) for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in _in_turn(model, batch.column("text").to_pylist())], pa.bool_()))
 
     return run
 
