@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +14,16 @@ from runloom.llm.common import partitions, ship_package, stored
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks of a text (what spaces and line ends separate) whose ids a Python worker remembers.
-_REMEMBER = 400_000
+_REMEMBER = 700_000
+_TAIL = ".,;:!?%&#*$|<>\"()-"
 
 
 class _Encoder:
     """Ids of texts as little-endian bytes.
 
     The tokenizer's pre-tokens never reach over white space, so a text's ids are those of its chunks between spaces and line
-    ends, one after the other. Chunks recur; only new ones go to the tokenizer.
+    ends, one after the other. A chunk of letters and then ASCII punctuation is two pre-tokens, case does not matter. Chunks
+    and their parts recur; only new ones go to the tokenizer.
     """
 
     made: dict[str, "_Encoder"] = {}
@@ -28,7 +31,9 @@ class _Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> "_Encoder":
@@ -36,14 +41,29 @@ class _Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
+    @staticmethod
+    def _split(chunk: str) -> tuple[str, str]:
+        stem = chunk.rstrip(_TAIL)
+        if not stem.isalpha():
+            return chunk, ""
+        return (stem.lower() if stem.isascii() else stem), chunk[len(stem) :]
+
     def encode(self, texts: list[str | None]):
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.known) > _REMEMBER:
-            self.known = {"": b""}
-        new = list({c for chunks in split for c in chunks if c not in self.known})
-        known = self.known
-        for chunk, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[chunk] = np.array(got.ids, "<u4").tobytes()
+        known = self.chunks
+        new = {c: self._split(c) for c in {c for chunks in split for c in chunks if c not in known}}
+        parts = self.parts
+        fresh = list({p for pair in new.values() for p in pair if p not in parts})
+        made = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, made)}
+        extra = {c: (got.get(a) or parts.get(a, b"")) + (got.get(b) or parts.get(b, b"")) for c, (a, b) in new.items()}
+        # what is met first is most frequent: once the tables are full, later finds serve these texts only
+        if len(parts) < _REMEMBER:
+            parts.update(got)
+        if len(known) < _REMEMBER:
+            known.update(extra)
+        else:
+            known = ChainMap(extra, known)
         for chunks in split:
             yield b"".join([known[c] for c in chunks])
 
