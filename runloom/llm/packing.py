@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import ChainMap
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.llm.common import partitions, ship_package, stored
+from runloom.llm.common import ship_package, stored
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks of a text (what spaces and line ends separate) whose ids a Python worker remembers.
 _REMEMBER = 700_000
+#: Letters below this code point are spelled here; words with others go to the tokenizer as they are.
+_LATIN = 0x250
 _TAIL = ".,;:!?%&#*$|<>\"()-"
 
 
@@ -29,9 +33,14 @@ class _Encoder:
     made: dict[str, "_Encoder"] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # each Latin letter in lower case and as the model spells it
+        letters = [c for c in map(chr, range(_LATIN)) if c.isalpha() and len(c.lower()) == 1]
+        self.letters = {c: spelled.pre_tokenize_str(c.lower())[0][0] for c in letters if c.lower().isalpha()}
         self.chunks: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -54,8 +63,20 @@ class _Encoder:
         new = {c: self._split(c) for c in {c for chunks in split for c in chunks if c not in known}}
         parts = self.parts
         fresh = list({p for pair in new.values() for p in pair if p not in parts})
-        made = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(fresh, made)}
+        got, rest, letters, model = {}, [], self.letters, self.model
+        for p in fresh:
+            if p.isalpha() and is_normalized("NFC", p):
+                try:
+                    word = "".join([letters[c] for c in p])
+                except KeyError:
+                    rest.append(p)
+                    continue
+                # one pre-token of letters: the tokenizer's own model alone gives its ids
+                got[p] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
+            else:
+                rest.append(p)
+        made = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        got.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, made))
         extra = {c: (got.get(a) or parts.get(a, b"")) + (got.get(b) or parts.get(b, b"")) for c, (a, b) in new.items()}
         # what is met first is most frequent: once the tables are full, later finds serve these texts only
         if len(parts) < _REMEMBER:
@@ -200,7 +221,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, chunk_rows: int = 50_000) -> D
     """
     spark = pieces.sparkSession
     ship_package(spark)
-    chunks = F.greatest(F.lit(partitions(spark)), F.ceil(F.lit(pieces.count() / chunk_rows))).cast("long")
+    chunks = F.greatest(F.lit(16), F.ceil(F.lit(pieces.count() / chunk_rows))).cast("long")
     keyed = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), chunks))
     sizes = keyed.groupBy("length", "chunk").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
