@@ -88,14 +88,17 @@ def repr_length(outputs: Column) -> Column:
     pairs = F.aggregate(
         F.map_entries(outputs),
         F.lit(0).cast("long"),
-        lambda acc, e: acc + F.length(e["key"]) + F.length(e["value"]) + 6,
+        lambda acc, e: acc + F.length(e["key"]) + F.coalesce(F.length(e["value"]), F.lit(2)) + 6,
     )
     return F.when(outputs.isNull() | (size == 0), F.lit(2).cast("long")).otherwise(2 + pairs + 2 * (size - 1))
 
 
 def token_efficiency(outputs: Column, tokens: Column) -> Column:
-    """Printed output length over four characters per token, at most 1; 0 without tokens."""
-    return F.when(tokens == 0, F.lit(0.0)).otherwise(F.least(repr_length(outputs) / (tokens * 4.0), F.lit(1.0)))
+    """Printed output length over four characters per token, at most 1; 0 without tokens, null if they are unknown.
+
+    A null value of the map prints as the four letters of ``None``, which have no quotes.
+    """
+    return F.when(tokens.isNull(), F.lit(None).cast("double")).when(tokens == 0, F.lit(0.0)).otherwise(F.least(repr_length(outputs) / (tokens * 4.0), F.lit(1.0)))
 
 
 def grade(execution_time: Column, efficiency: Column, thresholds: dict[str, tuple[float, float]]) -> Column:

@@ -9,6 +9,8 @@ but only decide where a chunk ends, so the result is exact whatever they are.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -40,6 +42,13 @@ def _axis(df: DataFrame, column: str) -> Column:
     return F.coalesce(col.cast("double"), F.lit(float("-inf")))
 
 
+def _attach(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of ``other``, whose one row per key is found for null keys too."""
+    renamed = other.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return df.join(renamed, reduce(and_, on)).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def chunk_count(df: DataFrame) -> int:
     """As many chunks as the session has shuffle partitions."""
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -75,7 +84,7 @@ def with_position(
     within = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     return (
         chunked.withColumn("_pos", F.row_number().over(within))
-        .join(bases, [*keys, _CHUNK])
+        .transform(_attach, bases, [*keys, _CHUNK])
         .withColumn(name, (F.col("_base") + F.col("_pos")).cast("long"))
         .drop("_base", "_pos", _CHUNK)
     )
@@ -98,7 +107,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str, chunks: int | No
     running = Window.partitionBy(*keys, _CHUNK).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
         chunked.withColumn("_upto", F.sum("_n").over(running))
-        .join(bases, [*keys, _CHUNK])
+        .transform(_attach, bases, [*keys, _CHUNK])
         .select(
             *keys,
             value,
@@ -144,7 +153,7 @@ def with_session_start(df: DataFrame, keys: Sequence[str], time: str, order: str
     within = Window.partitionBy(*keys, _CHUNK).orderBy(time, order)
     previous = F.coalesce(F.lag(time).over(within), F.col("_before"))
     marked = (
-        chunked.join(lasts, [*keys, _CHUNK])
+        chunked.transform(_attach, lasts, [*keys, _CHUNK])
         .withColumn("_start", F.when(previous.isNull() | (F.col(time) - previous >= pause), F.col(time)))
         .drop("_before")
     )
@@ -154,7 +163,7 @@ def with_session_start(df: DataFrame, keys: Sequence[str], time: str, order: str
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     return (
         marked.withColumn("_own", F.last("_start", ignorenulls=True).over(upto))
-        .join(carried, [*keys, _CHUNK])
+        .transform(_attach, carried, [*keys, _CHUNK])
         .withColumn("_session", F.coalesce("_own", "_carried"))
         .drop("_own", "_carried", "_start", _CHUNK)
     )

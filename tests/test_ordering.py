@@ -85,3 +85,28 @@ def test_one_value_in_most_rows(spark):
     exact = df.agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.95)))).first()[0]
     assert [row.a, row.b] == pytest.approx(exact)
     assert value_ranks(df, ["key"], "v", 8).count() == 3001
+
+
+def test_null_keys_keep_rows_and_percentiles(spark):
+    from runloom.operators.ordering import exact_percentiles, with_position
+
+    rows = [(None, 2.0, 1), (None, 4.0, 2), ("a", 1.0, 3), ("a", 3.0, 4)]
+    df = spark.createDataFrame(rows, "k string, x double, t long")
+    placed = with_position(df, ["k"], ["t"]).collect()
+    assert sorted((r["k"] or "", r["index"]) for r in placed) == [("", 1), ("", 2), ("a", 1), ("a", 2)]
+    middle = {r["k"]: r["p50"] for r in exact_percentiles(df, ["k"], "x", {"p50": 0.5}).collect()}
+    assert middle == {None: 3.0, "a": 2.0}
+
+
+def test_unknown_tokens_have_no_efficiency(spark):
+    from pyspark.sql import functions as F
+
+    from runloom.operators.metrics import classify_runs
+
+    df = spark.createDataFrame(
+        [({"a": "b" * 40}, None, 0.5), ({"a": None}, 1, 0.5), ({"a": "b" * 40}, 10, 0.5)],
+        "outputs map<string,string>, tokens_used long, execution_time double",
+    )
+    rows = classify_runs(df).orderBy(F.col("tokens_used").asc_nulls_first()).collect()
+    assert rows[0]["efficiency"] is None and rows[0]["grade"] == "poor"
+    assert rows[1]["efficiency"] == 1.0
