@@ -15,7 +15,7 @@ UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPARK_LETTERS = r"\p{L}+"
 #: Words whose scores a Python worker remembers.
-_REMEMBER = 250_000
+_REMEMBER = 80_000
 
 
 def held_out_fold(doc_id, folds: int = 5):
