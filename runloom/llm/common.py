@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.session import shared_folder, ship_package
+from runloom import session
+from runloom.session import shared_folder
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return: what separates words and is stripped from lines.
 WHITE = " \t\n\x0b\x0c\r"
@@ -18,6 +19,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of a batch that goes to Python: whole texts, so far fewer than Spark's default for narrow rows.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Prepare ``spark`` for work in Python: the package on the workers, batches that a worker's memory holds."""
+    session.ship_package(spark)
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -88,7 +88,7 @@ class Model:
         return self.languages[best], float(odds[best] / odds.sum())
 
 
-def _in_turn(model: Model, texts: list[str | None], size: int = 1 << 21) -> list[tuple[str, float]]:
+def _in_turn(model: Model, texts: list[str | None], size: int = 1 << 19) -> list[tuple[str, float]]:
     """Predictions of texts, about ``size`` characters at a time."""
     out, run, held = [], [], 0
     for text in texts:

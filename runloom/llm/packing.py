@@ -16,7 +16,7 @@ from runloom.llm.common import ship_package, stored
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks of a text (what spaces and line ends separate) whose ids a Python worker remembers.
-_REMEMBER = 250_000
+_REMEMBER = 150_000
 #: Letters below this code point are spelled here; words with others go to the tokenizer as they are.
 _LATIN = 0x250
 _TAIL = ".,;:!?%&#*$|<>\"()-"
@@ -110,7 +110,7 @@ def _tokenize(path: str, capacity: int, end_id: int):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             rows, at = [], 0
-            for texts in _batched(batch.column("text").to_pylist(), 1 << 20):
+            for texts in _batched(batch.column("text").to_pylist(), 1 << 19):
                 for data in encoder.encode(texts):
                     data += tail
                     for piece, first in enumerate(range(0, len(data) // 4, capacity)):

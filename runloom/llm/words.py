@@ -15,7 +15,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 #: Bytes handled at once; a text that is longer is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
