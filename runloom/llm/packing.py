@@ -55,7 +55,10 @@ class _Encoder:
         stem = chunk.rstrip(_TAIL)
         if not stem.isalpha():
             return chunk, ""
-        return (stem.lower() if stem.isascii() else stem), chunk[len(stem) :]
+        if stem.isascii():
+            return stem.lower(), chunk[len(stem) :]
+        # a letter may end in a mark in lower case, which then joins the punctuation
+        return (stem, chunk[len(stem) :]) if stem.lower().isalpha() else (chunk, "")
 
     def encode(self, texts: list[str | None]):
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]

@@ -271,3 +271,15 @@ def test_empty_tables(spark, empty):
         neighbours.nearest(vectors), langid.identify(empty, langid.learn(empty)),
     ):
         assert df.count() == 0
+
+
+def test_packing_letters_that_end_in_a_mark():
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from runloom.llm.packing import _Encoder
+    from runloom.llm.plans import tokenizer_path
+
+    texts = ["İ. a", "theİ?! b", "xİy.", "İ", "ﬁ, ß; ſ."]
+    plain = Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)
+    assert list(_Encoder.of(tokenizer_path()).encode(texts)) == [np.array(e.ids, "<u4").tobytes() for e in plain]
