@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections import ChainMap
 from unicodedata import is_normalized
 
 import numpy as np
@@ -60,7 +59,7 @@ class _Encoder:
         # a letter may end in a mark in lower case, which then joins the punctuation
         return (stem, chunk[len(stem) :]) if stem.lower().isalpha() else (chunk, "")
 
-    def encode(self, texts: list[str | None]):
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.chunks
         new = {c: self._split(c) for c in {c for chunks in split for c in chunks if c not in known}}
@@ -84,12 +83,13 @@ class _Encoder:
         # what is met first is most frequent: once the tables are full, later finds serve these texts only
         if len(parts) < _REMEMBER:
             parts.update(got)
-        if len(known) < _REMEMBER:
-            known.update(extra)
-        else:
-            known = ChainMap(extra, known)
-        for chunks in split:
-            yield b"".join([known[c] for c in chunks])
+        full = len(known) >= _REMEMBER
+        known.update(extra)
+        ids = [b"".join([known[c] for c in chunks]) for chunks in split]
+        if full:
+            for c in extra:
+                del known[c]
+        return ids
 
 
 def _batched(texts: list, size: int):
