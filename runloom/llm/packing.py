@@ -15,7 +15,7 @@ from runloom.llm.common import ship_package, stored
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Chunks of a text (what spaces and line ends separate) whose ids a Python worker remembers.
-_REMEMBER = 150_000
+_REMEMBER = 300_000
 #: Letters below this code point are spelled here; words with others go to the tokenizer as they are.
 _LATIN = 0x250
 _TAIL = ".,;:!?%&#*$|<>\"()-"
