@@ -16,12 +16,9 @@ from pyspark.sql.window import Window
 from runloom.functions.text import draw_order
 from runloom.operators.ordering import with_position
 
-MAX_CASES = 1000  # fixed value: default cap of the cartesian mode
-NAIVE_CASES = 100  # fixed value: cap of the naive mode
-PAIRWISE_DIMS = 10  # fixed value: above this many dimensions only the first five are paired
-HIERARCHICAL_DIMS = 5
+HIERARCHICAL_DIMS = 5  # fixed value: dimensions that the hierarchical mode pairs
 _BLOCK = 1000
-_BIG = 1_000_000_000
+_MOST = (1 << 63) - 1
 
 
 # Inputs and references ---------------------------------------------------------------------------
@@ -162,14 +159,31 @@ def _numbered(df: DataFrame, total: Column) -> DataFrame:
 
 
 def _product(sizes: Column) -> Column:
-    """Product clamped to a big number, so that long lists cannot overflow."""
-    return F.aggregate(sizes, F.lit(1).cast("long"), lambda acc, n: F.least(acc * n, F.lit(_BIG).cast("long")))
+    """Product that stops at the largest long; a case number, being a long too, never reaches beyond it."""
+    most = F.lit(_MOST).cast("long")
+    return F.aggregate(sizes, F.lit(1).cast("long"), lambda acc, n: F.coalesce(F.try_multiply(acc, n), most))
 
 
-def cases_cartesian(dims: DataFrame, max_cases: int = MAX_CASES) -> DataFrame:
-    """The first ``max_cases`` of the product, last parameter varying fastest."""
-    sizes = F.transform("dims", lambda d: F.size(d["values"]).cast("long"))
-    capped = F.least(_product(F.col("_sizes")), F.lit(max_cases).cast("long"))
+def _sizes(dims: str = "dims") -> Column:
+    return F.transform(dims, lambda d: F.size(d["values"]).cast("long"))
+
+
+def cases_left_out(dims: DataFrame, max_cases: int) -> DataFrame:
+    """Per dataset that a cap cuts: how many cases the product has and how many are left out."""
+    sized = dims.select("dataset", _product(_sizes()).alias("total"))
+    return sized.where(F.col("total") > max_cases).select("dataset", "total", (F.col("total") - max_cases).alias("left_out"))
+
+
+def cases_cartesian(dims: DataFrame, max_cases: int | None = None) -> DataFrame:
+    """The whole product, last parameter varying fastest, or its first ``max_cases``; :func:`cases_left_out` counts the rest.
+
+    Without a cap, a product beyond the numbers of a long is an error.
+    """
+    sizes, total = _sizes(), _product(F.col("_sizes"))
+    if max_cases is None:
+        capped = F.when(total < _MOST, total).otherwise(F.raise_error(F.lit("the product has more cases than can be numbered")).cast("long"))
+    else:
+        capped = F.least(total, F.lit(max_cases).cast("long"))
     strides = F.transform(
         F.col("_sizes"), lambda n, i: _product(F.slice(F.col("_sizes"), i + 2, F.size("_sizes")))
     )
@@ -180,15 +194,15 @@ def cases_cartesian(dims: DataFrame, max_cases: int = MAX_CASES) -> DataFrame:
             z["dims"]["param"],
             F.element_at(
                 z["dims"]["values"],
-                (F.floor(F.col("case_no") / z["_strides"]) % z["_sizes"] + 1).cast("int"),
+                (F.call_function("div", F.col("case_no"), z["_strides"]) % z["_sizes"] + 1).cast("int"),
             ),
         ),
     )
     return numbered.select("dataset", "case_no", F.map_from_entries(picked).alias("parameters"))
 
 
-def cases_naive(dims: DataFrame) -> DataFrame:
-    return cases_cartesian(dims, NAIVE_CASES)
+def cases_naive(dims: DataFrame, max_cases: int | None = None) -> DataFrame:
+    return cases_cartesian(dims, max_cases)
 
 
 # Pairwise ----------------------------------------------------------------------------------------
@@ -231,7 +245,7 @@ def _array_rows(dims: DataFrame) -> DataFrame:
 
 
 def _cell_pairs(cells: Column) -> Column:
-    """Level pairs of every two columns of one row; at most 45, as no more than ten columns are paired."""
+    """Level pairs of every two columns of one row."""
     numbered = F.transform(cells, lambda v, c: F.struct(c.alias("c"), v.alias("v")))
     return F.flatten(
         F.transform(
@@ -337,7 +351,8 @@ def generate_cases(
     """Test cases of a whole plan.
 
     Flows come before parameters. In pairwise mode a dataset without paired dimensions gets one
-    first-value case, and one with more than ten pairs only its first five.
+    first-value case; any number of dimensions is paired. The hierarchical mode pairs only the first five. ``max_cases``
+    limits the cases of a dataset only if given.
     """
     dims = dimensions(datasets.select("dataset", "scenario"), parameters).drop("scenario")
     with_flow = flows.select("dataset").distinct()
@@ -345,14 +360,12 @@ def generate_cases(
     if mode == "scenario_only":
         made = cases_scenario_only(plain)
     elif mode == "cartesian":
-        made = cases_cartesian(plain, max_cases or MAX_CASES)
-    elif mode == "pairwise":
+        made = cases_cartesian(plain, max_cases)
+    elif mode in ("pairwise", "hierarchical"):
         paired = pairwise_dims(plain)
-        few = cases_pairwise(paired.where(F.size("dims") <= PAIRWISE_DIMS))
-        many = cases_hierarchical(paired.where(F.size("dims") > PAIRWISE_DIMS))
         bare = plain.join(paired.where(F.size("dims") == 0).select("dataset"), "dataset", "left_semi")
-        made = few.unionByName(many)
-        if max_cases:
+        made = cases_pairwise(paired) if mode == "pairwise" else cases_hierarchical(paired)
+        if max_cases is not None:
             made = limit_cases(made, ["dataset"], max_cases, seed)
         made = made.unionByName(cases_scenario_only(bare))
     else:

@@ -231,14 +231,18 @@ def judge_pass_rate(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def failure_signature(failures: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """The distinct short hashes that make up a group's signature, one row each.
+def failure_signature(
+    failures: DataFrame, keys: Sequence[str], text: str, prefix: int | None = None, digits: int | None = None
+) -> DataFrame:
+    """The distinct hashes that make up a group's signature, one row each.
 
     Joined in order by ``|`` they are the signature; as rows a group with countless distinct failures
-    stays spread over tasks.
+    stays spread over tasks. Whole texts and whole digests count, unless the caller names a shorter ``prefix``
+    or fewer ``digits`` (80 and 8 for short signatures).
     """
     flat = F.btrim(F.regexp_replace(F.col(text), r"(?U)\s+", " "))
-    part = F.left(F.sha2(F.left(flat, F.lit(80)), 256), F.lit(8))
+    part = F.sha2(flat if prefix is None else F.left(flat, F.lit(prefix)), 256)
+    part = part if digits is None else F.left(part, F.lit(digits))
     return failures.select(*keys, part.alias("part")).distinct()
 
 

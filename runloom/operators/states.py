@@ -33,7 +33,6 @@ SCHEMA_TIGHTEN_LIMIT = 2
 MAX_STRICTNESS = 5
 RULE_ACTIONS = ("add_checkpoint_rule", "modify_checkpoint_rule", "add_rule")
 CONSTRAINT_ACTIONS = ("add_global_constraint", "add_constraint")
-DATASET_SIZE = 4  # fixed value: samples per workflow that candidates are evaluated on
 MAX_STEPS = 5
 
 Evaluator = Callable[[DataFrame], DataFrame]
@@ -155,17 +154,19 @@ def apply_actions(
     states: DataFrame,
     actions: DataFrame,
     key: str,
-    budget: int = ACTION_BUDGET,
-    max_constraints: int = MAX_CONSTRAINTS,
+    budget: int | None = None,
+    max_constraints: int | None = None,
     max_strictness: int = MAX_STRICTNESS,
     schema_limit: int = SCHEMA_TIGHTEN_LIMIT,
 ) -> DataFrame:
     """Update the slots of every state by its actions, in order of priority and ``seq``.
 
-    At most ``budget`` actions per state are gathered, so the fold works on a short array. Rows without
-    actions still become a new, structured version.
+    With a ``budget`` only so many actions per state are taken, with ``max_constraints`` only the last so many
+    constraints stay. Rows without actions still become a new, structured version.
     """
-    chosen = limit_actions(actions.select(key, "seq", "type", "target", "content"), [key], budget)
+    chosen = actions.select(key, "seq", "type", "target", "content")
+    if budget is not None:
+        chosen = limit_actions(chosen, [key], budget)
     tidy = [T.strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("type", "target", "content")]
     entry = F.struct(action_priority(F.col("type")).alias("prio"), "seq", *tidy)
     gathered = chosen.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_actions"))
@@ -174,10 +175,11 @@ def apply_actions(
     folded = F.aggregate(
         F.coalesce("_actions", none), F.col("state"), lambda s, a: _applied(s, a, max_strictness, schema_limit)
     )
+    constraints = F.col("state.global_constraints")
     done = joined.withColumn("state", folded).withColumn(
         "state",
         F.col("state")
-        .withField("global_constraints", cap_constraints(F.col("state.global_constraints"), max_constraints))
+        .withField("global_constraints", constraints if max_constraints is None else cap_constraints(constraints, max_constraints))
         .withField("version", F.col("state.version") + 1)
         .withField("structured", F.lit(True)),
     )
@@ -199,15 +201,15 @@ def state_prompt(state: Column) -> Column:
     return restore_contract(render_state(state), state["contract"])
 
 
-def evaluation_dataset(samples: DataFrame, size: int = DATASET_SIZE) -> DataFrame:
-    """The first samples per workflow with a reference, or their own output in its place.
+def evaluation_dataset(samples: DataFrame, size: int | None = None) -> DataFrame:
+    """The samples with a reference, or their own output in its place; with ``size`` only the first ones per workflow.
 
     ``samples`` has ``workflow_id, index, workflow_input, reference_text, output_text``.
     """
     reference = F.coalesce(F.nullif("reference_text", F.lit("")), "output_text")
     usable = samples.withColumn("reference", reference).where(T.non_empty(F.col("reference")))
     slim = usable.select("workflow_id", "workflow_input", "reference", F.col("index").alias("run_index"))
-    return top_rows(slim, ["workflow_id"], [F.col("run_index")], size)
+    return slim if size is None else top_rows(slim, ["workflow_id"], [F.col("run_index")], size)
 
 
 def function_evaluator(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Evaluator:
@@ -377,7 +379,7 @@ def optimize_step(
     next_nodes = checkpointed(stopped.unionByName(moved.drop("b")))
     going_on = moved.where(F.col("stop_reason").isNull()).select("node_id")
     survivors = kept.join(going_on, "node_id", "left_semi").select("trial_id", "node_id", "score", "seq", "state")
-    acted = apply_actions(survivors, actions, "trial_id", options.action_budget)
+    acted = apply_actions(survivors, actions, "trial_id", options.action_budget, MAX_CONSTRAINTS)
     # only the first of the beam advances without actions; a further candidate without any stays as it is
     plain = survivors.join(actions.select("trial_id").distinct(), "trial_id", "left_anti")
     advanced = acted.join(actions.select("trial_id").distinct(), "trial_id", "left_semi").unionByName(plain)

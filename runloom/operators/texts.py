@@ -14,7 +14,6 @@ from runloom.functions import text as T
 from runloom.functions.payload import at
 
 SOFT_MATCH = 0.55  # fixed value: similarity from which an output counts as matching its reference
-PART_MESSAGES = 1000  # messages per part of a merged block
 
 
 # Similarity --------------------------------------------------------------------------------------
@@ -163,7 +162,7 @@ def replace_text_block(blocks: DataFrame, replacements: DataFrame, keys: Sequenc
     return joined.withColumn("text", P.replaced_block(F.col("text"), F.col("content"))).drop("content")
 
 
-def merge_messages(messages: DataFrame, keys: Sequence[str], part_messages: int = PART_MESSAGES) -> DataFrame:
+def merge_messages(messages: DataFrame, keys: Sequence[str], part_messages: int) -> DataFrame:
     """Messages of a node merged into one marked text.
 
     A node with more than ``part_messages`` messages yields several parts, whose texts joined by line

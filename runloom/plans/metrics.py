@@ -288,7 +288,7 @@ def judge_pass_rate(spark, folder):
 @query(
     "failure_signature",
     f"""WITH {TEXT_RUNS_SQL} SELECT DISTINCT workflow_id,
-  left(sha256(left(trim(regexp_replace(output_text, '\\s+', ' ', 'g')), 80)), 8) AS part
+  sha256(trim(regexp_replace(output_text, '\\s+', ' ', 'g'))) AS part
 FROM samples WHERE status <> 'success'""",
 )
 def failure_signature(spark, folder):

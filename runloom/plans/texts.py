@@ -332,7 +332,7 @@ MARKED_SQL = """'<ROLE::' || role || '::' || turn || '>' || chr(10) || text || c
 FROM conversations GROUP BY 1, 2""",
 )
 def merge_messages(spark, folder):
-    return X.merge_messages(messages(spark, folder), ["node_id"]).select("node_id", "part", "merged_text")
+    return X.merge_messages(messages(spark, folder), ["node_id"], part_messages=1000).select("node_id", "part", "merged_text")
 
 
 @query(
@@ -340,7 +340,7 @@ def merge_messages(spark, folder):
     r"""SELECT conv_id AS node_id, turn AS "index", role, trim(text, E' \t\n\r') AS text FROM conversations WHERE conv_id % 5 <> 0""",
 )
 def split_messages(spark, folder):
-    merged = X.merge_messages(messages(spark, folder), ["node_id"])
+    merged = X.merge_messages(messages(spark, folder), ["node_id"], part_messages=1000)
     # a rewrite that loses an end marker in every fifth node
     damaged = F.when(F.col("node_id") % 5 == 0, F.replace("merged_text", F.lit("</ROLE::"), F.lit("</R::"))).otherwise(F.col("merged_text"))
     rewritten = merged.withColumn("rewritten", damaged)

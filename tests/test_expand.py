@@ -117,3 +117,20 @@ def test_modes_of_generate_cases(spark):
 def test_template_variables_are_literal(spark):
     df = spark.createDataFrame([("Hi {{ a.b }} {{c}} {{ d }}", {"a.b": "$1\\x", "c": "{{ d }}"})], "t string, v map<string,string>")
     assert df.select(X.render_template(F.col("t"), F.col("v"))).first()[0] == "Hi $1\\x {{ d }} {{ d }}"
+
+
+def test_twelve_dimensions_lose_no_pair(spark):
+    dims = dims_of(spark, [2, 3] * 6)
+    paired = X.pairwise_dims(dims)
+    assert X.pairwise_coverage(paired, X.cases_pairwise(paired)).count() == 0
+
+
+def test_products_have_no_cap_but_the_named_one(spark):
+    dims = dims_of(spark, [12, 11, 10])
+    assert X.cases_cartesian(dims).count() == 1320
+    assert [(r.total, r.left_out) for r in X.cases_left_out(dims, 1000).collect()] == [(1320, 320)]
+    huge = dims_of(spark, [50] * 12)
+    last = X.cases_cartesian(huge, 3).orderBy("case_no").collect()
+    assert [r.case_no for r in last] == [0, 1, 2] and len({str(r.parameters) for r in last}) == 3
+    with pytest.raises(Exception, match="more cases than can be numbered"):
+        X.cases_cartesian(huge).collect()

@@ -28,7 +28,7 @@ def test_native_and_without_cross_joins(spark, folder, name):
         assert word not in plan
 
 
-@pytest.mark.parametrize("name", ["limit_actions", "budget_actions", "beam_top_k", "limit_cases", "evaluation_dataset", "eval_subset"])
+@pytest.mark.parametrize("name", ["limit_actions", "budget_actions", "beam_top_k", "limit_cases", "eval_subset"])
 def test_rank_cuts_are_limited_before_the_shuffle(spark, folder, name):
     plan = plan_of(queries()[name](spark, folder))
     assert re.search(r"WindowGroupLimit.*Partial", plan)

@@ -125,8 +125,10 @@ def test_contract_is_protected_and_strictness_clamped(spark):
 
 
 def test_constraints_are_capped(spark):
-    s = acted(spark, "x", [("add_global_constraint", None, f"c{i}") for i in range(30)], budget=50)
+    s = acted(spark, "x", [("add_global_constraint", None, f"c{i}") for i in range(30)], budget=50, max_constraints=20)
     assert s.global_constraints == [f"c{i}" for i in range(10, 30)]
+    whole = acted(spark, "x", [("add_global_constraint", None, f"c{i}") for i in range(30)])
+    assert whole.global_constraints == [f"c{i}" for i in range(30)]
 
 
 def test_candidates_are_evaluated_once(spark, tmp_path):
