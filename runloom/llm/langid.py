@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.llm.common import ship_package, stored
 
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
-_SPARK_LETTERS = r"\p{L}+"
+#: Words are runs of letters, in Spark as in Python.
+_WORD = r"\p{L}+"
+_LETTERS = regex.compile(_WORD)
 #: Words whose scores a Python worker remembers.
 _REMEMBER = 80_000
 
@@ -120,8 +120,8 @@ def learn(labelled: DataFrame, sample: int = 3000, max_words: int = 20000, max_g
     usable = labelled.where("lang is not null and text is not null")
     cut = usable.groupBy("lang").count().select(F.col("lang").alias("l"), (F.lit(float(sample)) / F.col("count")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.join(F.broadcast(cut), F.col("lang") == F.col("l")).where(draw < F.col("share"))
-    spoken = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_SPARK_LETTERS), 0)).alias("key"))
+    drawn = usable.join(stored(cut, "language-shares"), F.col("lang") == F.col("l")).where(draw < F.col("share"))
+    spoken = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0)).alias("key"))
     counted = stored(spoken.groupBy("lang", "key").count(), "language-words")
     marked = F.concat(F.lit(" "), "key", F.lit(" "))
     tables = [counted.select("lang", F.lit(0).alias("size"), "key", "count")]

@@ -95,7 +95,8 @@ def mix_sources(
         F.col("name.source").alias("source"), F.col("size").alias("source_size"), "target", "block", F.col("quota").alias("source_quota")
     )
     plan = stored(sources.join(counts, sources["source"].eqNullSafe(counts["source"])).select(sources["*"], "shards"), "mix-plan")
-    dealt = own.withColumnRenamed("source", "s").join(F.broadcast(plan), F.col("s").eqNullSafe(plan["source"])).drop("s")
+    # one row a source: Spark broadcasts the written table if its size allows, else splits the hot source
+    dealt = own.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(plan["source"])).drop("s")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
     per_shard = dealt.groupBy("source", "shard").agg(
         F.sum("size").alias("words"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota")
