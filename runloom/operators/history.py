@@ -31,7 +31,7 @@ ACTION_BUDGET = 5
 MAX_CONSTRAINTS = 20
 NO_IMPROVE_ROUNDS = 3
 MAX_PROMPT_GROWTH = 1.5
-GROUP_LIMIT = 1000  # up to this rank Spark limits groups before the shuffle
+EVAL_MINIMUM, EVAL_DRAW = 8, 3
 FAILED_STATES = ("failed", "error", "timeout")
 
 
@@ -73,17 +73,12 @@ def _cancel_after(tasks: DataFrame, last: DataFrame, everything: bool) -> DataFr
 def stop_max_failures(tasks: DataFrame, max_failures: int) -> DataFrame:
     """Cancel every batch after the one in which the ``max_failures``-th failure happened.
 
-    ``tasks`` has ``workflow_id, index, batch, task_status``. Only the first few failures per workflow
-    are looked at, not a running total over all of them.
+    ``tasks`` has ``workflow_id, index, batch, task_status``. Failures are numbered in chunks, so that a
+    workflow that holds most of them is spread out whatever ``max_failures`` is.
     """
     failures = tasks.where(F.col("task_status").isin(*FAILED_STATES)).select("workflow_id", "index", "batch")
-    needed = max(max_failures, 1)
-    if needed <= GROUP_LIMIT:
-        nth = F.row_number().over(Window.partitionBy("workflow_id").orderBy("index"))
-        counted = failures.withColumn("_n", nth).where(F.col("_n") <= needed)
-    else:
-        counted = with_position(failures, ["workflow_id"], ["index"], "_n")
-    last = counted.where(F.col("_n") == needed).select("workflow_id", F.col("batch").alias("_last"))
+    counted = with_position(failures, ["workflow_id"], ["index"], "_n")
+    last = counted.where(F.col("_n") == max(max_failures, 1)).select("workflow_id", F.col("batch").alias("_last"))
     return _cancel_after(tasks, last, max_failures <= 0)
 
 
@@ -159,8 +154,10 @@ def budget_actions(actions: DataFrame, keys: Sequence[str], budget: int | None =
     return top_rows(actions, keys, order, budget)
 
 
-def cap_constraints(constraints: Column, limit: int = MAX_CONSTRAINTS) -> Column:
-    """The last ``limit`` entries of an array."""
+def cap_constraints(constraints: Column, limit: int | None = None) -> Column:
+    """The last ``limit`` entries of an array; all without a limit."""
+    if limit is None:
+        return constraints
     start = F.greatest(F.size(constraints) - limit + 1, F.lit(1))
     return F.slice(constraints, start, F.lit(limit))
 
@@ -328,12 +325,14 @@ def best_result(trials: DataFrame, key: str) -> DataFrame:
     return best.select(key, "_b.*")
 
 
-def eval_subset(records: DataFrame, keys: Sequence[str], seed: int = 0, minimum: int = 8) -> DataFrame:
-    """Failed runs, plus up to three passed ones when fewer than three failed.
+def eval_subset(records: DataFrame, keys: Sequence[str], seed: int = 0, minimum: int | None = None, draw: int = EVAL_DRAW) -> DataFrame:
+    """All records, or with a ``minimum``: failed runs, plus up to ``draw`` passed ones when fewer than three failed.
 
     Keys with fewer than ``minimum`` records or without a failure are evaluated in full. The draw of passed
     runs is by seeded digest, and a single passed run is not added.
     """
+    if minimum is None:
+        return records
     shape = records.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_all"), F.count_if(~F.col("passed")).alias("_failed")
     ).withColumn("_passed", F.col("_all") - F.col("_failed"))
@@ -343,5 +342,5 @@ def eval_subset(records: DataFrame, keys: Sequence[str], seed: int = 0, minimum:
     full = records.join(whole.select(*keys), list(keys), "left_semi")
     failed = records.where(~F.col("passed")).join(cut.select(*keys), list(keys), "left_semi")
     passed = records.where("passed").join(short.select(*keys), list(keys), "left_semi")
-    extra = top_rows(passed, keys, [draw_order(seed, "run_index"), F.col("run_index")], 3)
+    extra = top_rows(passed, keys, [draw_order(seed, "run_index"), F.col("run_index")], draw)
     return full.unionByName(failed).unionByName(extra)

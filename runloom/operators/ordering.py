@@ -8,6 +8,7 @@ but only decide where a chunk ends, so the result is exact whatever they are.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_AXIS, _CHUNK = "_axis", "_chunk"
+_AXIS, _CHUNK, _TIE = "_axis", "_chunk", "_tie"
 
 
 def epoch_seconds(df: DataFrame, column: str) -> Column:
@@ -32,14 +33,20 @@ def epoch_seconds(df: DataFrame, column: str) -> Column:
 
 
 def _axis(df: DataFrame, column: str) -> Column:
-    """Leading order column as a double; timestamps become seconds, NULL sorts first as in Spark."""
+    """Order column as a double, seconds for timestamps; NULL stays NULL."""
     kind = df.schema[column].dataType
-    col = F.col(column)
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        col = epoch_seconds(df, column)
-    elif not isinstance(kind, T.NumericType):
+        return epoch_seconds(df, column)
+    if not isinstance(kind, T.NumericType):
         raise TypeError(f"leading order column {column} must be numeric or a timestamp, not {kind.simpleString()}")
-    return F.coalesce(col.cast("double"), F.lit(float("-inf")))
+    return F.col(column).cast("double")
+
+
+def _told_apart(kind: T.DataType) -> float:
+    """Below this size, different values of ``kind`` are different doubles."""
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        return float(1 << 32)  # seconds, with six decimals
+    return 0.0 if isinstance(kind, T.DecimalType) else float(1 << 53)
 
 
 def _attach(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,22 +61,43 @@ def chunk_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_chunks(df: DataFrame, lead: str, chunks: int | None = None, like: DataFrame | None = None) -> DataFrame:
-    """Add ``_chunk``, non-decreasing in ``lead``, with about equal row counts over all keys.
+def _bucketed(df: DataFrame, axis: Column, cuts: Sequence[float], name: str) -> DataFrame:
+    """Add the number of the interval between ``cuts`` that ``axis`` falls into: NULL the first, not-a-number the last."""
+    splits = [float("-inf"), *sorted(set(cuts) - {float("-inf"), float("inf")}), float("inf")]
+    if len(splits) < 3:
+        return df.withColumn(name, F.lit(0.0))
+    framed = df.withColumn(_AXIS, F.coalesce(axis, F.lit(float("-inf"))))
+    return Bucketizer(splits=splits, inputCol=_AXIS, outputCol=name, handleInvalid="keep").transform(framed).drop(_AXIS)
 
-    ``like`` may name a cheaper table with the same ``lead`` values to take the cut points from.
+
+def with_chunks(df: DataFrame, order: str | Sequence[str], chunks: int | None = None, like: DataFrame | None = None) -> DataFrame:
+    """Add ``_chunk``, non-decreasing in ``order``, with about equal row counts over all keys.
+
+    A leading value that many rows share, and NULL, are cut further by the second order column if that is numeric or a
+    timestamp, so that a hot time or a missing one is spread out too. ``like`` may name a cheaper table with the same leading
+    values to take the cut points from.
     """
+    lead, *others = [order] if isinstance(order, str) else order
     wanted = chunks or chunk_count(df)
-    framed = df.withColumn(_AXIS, _axis(df, lead))
     source = df if like is None else like
-    cuts = source.select(_axis(source, lead).alias(_AXIS)).where(F.col(_AXIS) > float("-inf")).approxQuantile(
-        _AXIS, [i / wanted for i in range(1, wanted)], 1.0 / (4 * wanted)
-    )
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    if len(splits) < 3:
-        return framed.drop(_AXIS).withColumn(_CHUNK, F.lit(0.0))
-    cutter = Bucketizer(splits=splits, inputCol=_AXIS, outputCol=_CHUNK)
-    return cutter.transform(framed).drop(_AXIS)
+    splittable = like is None and others and isinstance(df.schema[others[0]].dataType, (T.TimestampNTZType, T.TimestampType, T.NumericType))
+    tie = _axis(df, others[0]) if splittable else F.lit(None).cast("double")
+    shares, error = [i / wanted for i in range(1, wanted)], 1.0 / (4 * wanted)
+    axes = source.select(_axis(source, lead).alias("_a"), F.when(F.col(lead).isNull(), tie).cast("double").alias("_b"))
+    cuts, tie_cuts = axes.approxQuantile(["_a", "_b"], shares, error)
+    limit = _told_apart(df.schema[lead].dataType)
+    hot = sorted({v for v, w in zip(cuts, cuts[1:]) if v == w and abs(v) < limit}) if splittable else []
+    if hot:
+        at_hot = source.where(_axis(source, lead).isin(hot)).select(tie.alias("_b"))
+        tie_cuts = [*tie_cuts, *at_hot.approxQuantile("_b", shares, error)]
+    # a hot value gets an interval of its own, which its second column then cuts
+    out = _bucketed(df, _axis(df, lead), [*cuts, *(math.nextafter(v, math.inf) for v in hot)], _CHUNK)
+    if not tie_cuts:
+        return out
+    tied = F.col(lead).isNull() | _axis(df, lead).isin(hot) if hot else F.col(lead).isNull()
+    start = F.when(F.col(lead).isNull(), F.lit(-1.0)).otherwise(F.col(_CHUNK))
+    part = F.when(tied, F.col(_TIE) / (len(set(tie_cuts)) + 2)).otherwise(0.0)
+    return _bucketed(out, tie, tie_cuts, _TIE).withColumn(_CHUNK, start + part).drop(_TIE)
 
 
 def with_position(
@@ -77,7 +105,7 @@ def with_position(
 ) -> DataFrame:
     """1-based position per key in ``order``; ``order[0]`` must be numeric or a timestamp."""
     keys = list(keys)
-    chunked = with_chunks(df, order[0], chunks)
+    chunked = with_chunks(df, order, chunks)
     sizes = chunked.groupBy(*keys, _CHUNK).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*keys, _CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -146,7 +174,7 @@ def with_session_start(df: DataFrame, keys: Sequence[str], time: str, order: str
     tables of one row per key and chunk.
     """
     keys = list(keys)
-    chunked = with_chunks(df, time, chunks)
+    chunked = with_chunks(df, [time, order], chunks)
     per_key = Window.partitionBy(*keys).orderBy(_CHUNK)
     ends = chunked.groupBy(*keys, _CHUNK).agg(F.max(time).alias("_end"))
     lasts = ends.select(*keys, _CHUNK, F.lag("_end").over(per_key).alias("_before"))

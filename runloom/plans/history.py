@@ -173,7 +173,7 @@ def budget_actions(spark, folder):
 SELECT doc_id, least(len(c), 20) AS kept, c[greatest(len(c) - 19, 1)] AS first_kept, c[len(c)] AS last_kept FROM w""",
 )
 def cap_constraints(spark, folder):
-    capped = table(spark, folder, "documents").select("doc_id", H.cap_constraints(F.split("text", "\n")).alias("c"))
+    capped = table(spark, folder, "documents").select("doc_id", H.cap_constraints(F.split("text", "\n"), H.MAX_CONSTRAINTS).alias("c"))
     return capped.select(
         "doc_id", F.size("c").alias("kept"), F.element_at("c", 1).alias("first_kept"), F.element_at("c", -1).alias("last_kept")
     )
@@ -389,4 +389,4 @@ def eval_subset(spark, folder):
     records = table(spark, folder, "events").select(
         F.col("user_id").alias("node_id"), F.col("event_id").alias("run_index"), (F.col("event_type") != "error").alias("passed")
     )
-    return H.eval_subset(records, ["node_id"], seed=3)
+    return H.eval_subset(records, ["node_id"], seed=3, minimum=H.EVAL_MINIMUM)

@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     if current is None:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if current is None:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             current = tempfile.mkdtemp(prefix="runloom-shared-")
         context.setCheckpointDir(current)

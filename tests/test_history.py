@@ -85,7 +85,7 @@ def test_slot_freeze_matches_a_loop(spark):
 
 
 def test_cap_keeps_the_last(spark):
-    df = spark.range(1).select(H.cap_constraints(F.sequence(F.lit(1), F.lit(30))).alias("a"), H.cap_constraints(F.sequence(F.lit(1), F.lit(3))).alias("b"))
+    df = spark.range(1).select(H.cap_constraints(F.sequence(F.lit(1), F.lit(30)), 20).alias("a"), H.cap_constraints(F.sequence(F.lit(1), F.lit(3)), 20).alias("b"))
     row = df.first()
     assert row.a == list(range(11, 31)) and row.b == [1, 2, 3]
 
@@ -98,5 +98,5 @@ def test_dedupe_treats_nulls_as_equal(spark):
 def test_eval_subset_rules(spark):
     rows = [(n, i, i >= bad) for n, (size, bad) in enumerate([(5, 1), (10, 0), (10, 5), (10, 2), (8, 7)]) for i in range(size)]
     df = spark.createDataFrame(rows, "node_id long, run_index long, passed boolean")
-    sizes = {r.node_id: r["count"] for r in H.eval_subset(df, ["node_id"]).groupBy("node_id").count().collect()}
+    sizes = {r.node_id: r["count"] for r in H.eval_subset(df, ["node_id"], minimum=8).groupBy("node_id").count().collect()}
     assert sizes == {0: 5, 1: 10, 2: 5, 3: 5, 4: 7}

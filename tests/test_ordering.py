@@ -110,3 +110,18 @@ def test_unknown_tokens_have_no_efficiency(spark):
     rows = classify_runs(df).orderBy(F.col("tokens_used").asc_nulls_first()).collect()
     assert rows[0]["efficiency"] is None and rows[0]["grade"] == "poor"
     assert rows[1]["efficiency"] == 1.0
+
+
+def test_hot_and_missing_times_are_cut(spark):
+    """One leading value and NULL hold most rows of a key; ties and nulls in the second column stay in order."""
+    rows = [("hot", None if i % 3 == 0 else 5.0 if i % 3 == 1 else float(i % 7), None if i % 50 == 0 else (i * 37) % 3001) for i in range(3000)]
+    df = spark.createDataFrame(rows, "key string, v double, id long")
+    chunked = with_chunks(df, ["v", "id"], 16)
+    assert chunked.groupBy("_chunk").count().agg(F.max("count")).first()[0] <= 3 * 3000 / 16
+    last = chunked.groupBy("_chunk").agg(F.max(F.struct("v", "id")).alias("last"), F.min(F.struct("v", "id")).alias("first")).orderBy("_chunk").collect()
+    key = lambda r: [(x is not None, x or 0) for x in r]  # noqa: E731  null first
+    assert all(key(a.last) <= key(b.first) for a, b in zip(last, last[1:]))
+    placed = with_position(df, ["key"], ["v", "id"], chunks=16)
+    plain = F.row_number().over(Window.partitionBy("key").orderBy("v", "id"))
+    wrong = placed.withColumn("plain", plain).where((F.col("index") != F.col("plain")) & F.col("id").isNotNull())
+    assert placed.count() == 3000 and wrong.count() == 0
