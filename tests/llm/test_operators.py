@@ -283,3 +283,8 @@ def test_packing_letters_that_end_in_a_mark():
     texts = ["İ. a", "theİ?! b", "xİy.", "İ", "ﬁ, ß; ſ."]
     plain = Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)
     assert list(_Encoder.of(tokenizer_path()).encode(texts)) == [np.array(e.ids, "<u4").tobytes() for e in plain]
+
+
+def test_only_letters_are_words():
+    model = langid.Model(["x", "y"], {"a": [0.0, -9.0]}, {})
+    assert [p[0] for p in model.predict(["½ 12 _ Ⅷ", "a²", None, ""])] == ["und", "x", "und", "und"]
