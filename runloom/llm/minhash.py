@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, size: int, k: int = SKETCH) -> DataFrame:
 
 
 def _least_shared(n, percent: int, k: int):
-    """Values that the sketch of a set of ``n`` shares with that of any set linked to it (all but some 1e-7 of the pairs)."""
+    """Values that the sketch of a set of ``n`` shares with that of any set linked to it (all but less than 1e-5 of the pairs)."""
     m, p = F.least(n, F.lit(k)), percent / 100
     short = F.sqrt(m * F.lit(p * (1 - p))) * DEVIATIONS
     # a set and all that can be linked to it fit into their sketches: no estimate, no allowance
@@ -101,11 +101,15 @@ def inverted_lists(classes: DataFrame, percent: int, k: int = SKETCH) -> DataFra
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int, k: int) -> bool:
-    """Whether the bottom-k sketch of the union, made from both sketches, allows for the similarity asked for."""
-    union = np.union1d(a, b)[:k]
+    """Whether the bottom-k sketch of the union, made from both sketches, allows for the similarity asked for.
+
+    Sketches of fewer than ``k`` values are the sets themselves: their whole union is exact and needs no allowance.
+    """
+    whole = len(a) < k and len(b) < k
+    union = np.union1d(a, b) if whole else np.union1d(a, b)[:k]
     shared = np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)
     p, n = percent / 100, len(union)
-    short = 0 if len(a) < k and len(b) < k else DEVIATIONS * math.sqrt(n * p * (1 - p))
+    short = 0 if whole else DEVIATIONS * math.sqrt(n * p * (1 - p))
     return shared.sum() >= n * p - short - 1e-9
 
 

@@ -78,6 +78,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute_components(rows, 3, 85)
 
 
+@pytest.mark.parametrize("size, percent, shapes", [
+    (3, 85, [(62, 67, 57), (63, 68, 58), (60, 65, 56), (63, 69, 58)]),
+    (5, 80, [(58, 65, 52), (60, 66, 53), (60, 67, 54), (61, 68, 55), (62, 69, 56), (63, 70, 56), (63, 71, 56)]),
+])
+def test_near_duplicates_of_short_texts_at_the_limit(spark, size, percent, shapes):
+    """Pairs of full sets that fit into their sketches while their union does not: (larger set, union, intersection)."""
+    rows, linked = [], 0
+    for number in range(len(shapes) * 20):
+        n, union, both = shapes[number % len(shapes)]
+        linked += 100 * both >= percent * union
+        common = [f"c{number}_{i}" for i in range(both + size - 1)]
+        for side, own in enumerate((n - both, union - n)):
+            rows.append((2 * number + side, " ".join(common + [f"o{number}_{side}_{i}" for i in range(own)])))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size, percent).collect()
+    want = {i: (n, root, kept) for a in range(0, len(rows), 2) for i, (n, root, kept) in brute_components(rows[a : a + 2], size, percent).items()}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == want
+    assert sum(not kept for *_, kept in want.values()) == linked > 0
+
+
 def test_html_keeps_the_article_only():
     page = (
         "<html><head><title>T</title><script>var t='</p>';</script></head><body><header>Site</header><nav><a href=/>x</a></nav>"
