@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: Sainte-Laguë quotas of equal-token blocks, DataFrame operations only."""
+"""Mixing sources to target weights: Sainte-Laguë quotas of blocks of one word, DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from runloom.llm.common import WORD, fresh, stored
 
-#: The corpus is cut into about this many blocks; a corpus of fewer tokens has blocks of one token.
-BLOCKS = 1 << 20
 #: Documents of a shard, on average, until a source has ``MAX_SHARDS`` shards; then shards grow.
 SHARD_DOCS = 256
 MAX_SHARDS = 1 << 16
@@ -44,7 +42,7 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     """
     whole = Window.partitionBy(*group)
     total, n = F.sum(votes).over(whole), F.count(F.lit(1)).over(whole)
-    sized = parties.withColumn("_share", F.when(total > 0, F.col(votes) * F.col(seats) / total).otherwise(0.0)).withColumn("_n", n)
+    sized = parties.withColumn("_share", F.when(total > 0, F.col(votes).cast("double") * F.col(seats) / total).otherwise(0.0)).withColumn("_n", n)
     ratio = F.when(F.col(seats) > 0, F.col("_n") / F.col(seats)).otherwise(0.0)
     sized = sized.withColumn("_low", F.greatest(F.lit(0), F.round(F.col("_share") * (1 - ratio))).cast("long")).withColumn(
         "_high", (F.round(F.col("_share") * (1 + ratio)) + 1).cast("long")
@@ -68,18 +66,19 @@ def document_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, blocks: int = BLOCKS, sizes: DataFrame | None = None
+    docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, sizes: DataFrame | None = None
 ) -> DataFrame:
     """(doc_id, source, twin, size, source_size, target, quota_words, taken): the words that the mix takes of each document.
 
-    Documents of a source go by a seeded hash into shards of about ``SHARD_DOCS`` documents, in a seeded order, cut into
-    equal-token blocks. Blocks are allotted by highest quotients, first to sources by their targets, then to a source's
-    shards by their words. A shard's quota is met by whole passes and, for the rest, by a seeded run of blocks on the ring
-    of its blocks; since the order is seeded, a run is a random draw. A document takes the words that it shares with
-    them, so none exceeds ``most`` times its size, rounded up.
+    Documents of a source go by a seeded hash into shards of about ``SHARD_DOCS`` documents, in a seeded order. The blocks of
+    a shard are its words: a block of one word is the only one that every shard and the smallest source resolve, and the
+    quotas cost the same for any number of blocks. They are allotted by highest quotients, first to sources by their
+    targets, then to a source's shards by their words. A shard's quota is met by whole passes and, for the rest, by a
+    seeded run of words on the ring of its words; since the order is seeded, a run is a random draw. A document takes the
+    words that it shares with them, so none exceeds ``most`` times its size, rounded up.
 
     * null text: size 0, taken 0; * null source: a source of its own, last; * null doc_id: a document like others; * repeated
-    rows: each is a document; * an empty table, or one without words: no block, taken 0; * extra columns are ignored.
+    rows: each is a document; * an empty table, or one without words: no quota, taken 0; * extra columns are ignored.
     """
     own = sizes if sizes is not None else stored(document_sizes(docs), "mix-sizes")
     spot = F.xxhash64(F.lit(seed), "doc_id")
@@ -87,29 +86,24 @@ def mix_sources(
     shards = F.least(F.lit(MAX_SHARDS), F.ceil(F.col("docs") / SHARD_DOCS)).cast("long")
     counts = per_source.select("source", shards.alias("shards"))
     targets = source_targets(per_source.select("source", "size"), weights, most)
-    block = F.greatest(F.lit(1), F.ceil(F.sum("size").over(Window.partitionBy()) / blocks)).cast("long")
-    targets = targets.withColumn("block", block).withColumn("all", F.lit(0))
-    seats = F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long")
-    named = targets.withColumn("seats", seats).withColumn("name", F.struct(F.col("source").isNull().alias("none"), "source"))
+    seats = F.round(F.sum("target").over(Window.partitionBy())).cast("long")
+    named = targets.withColumn("all", F.lit(0)).withColumn("seats", seats).withColumn("name", F.struct(F.col("source").isNull().alias("none"), "source"))
     sources = sainte_lague(named, ["all"], "name", "target", "seats").select(
-        F.col("name.source").alias("source"), F.col("size").alias("source_size"), "target", "block", F.col("quota").alias("source_quota")
+        F.col("name.source").alias("source"), F.col("size").alias("source_size"), "target", F.col("quota").alias("source_quota")
     )
     plan = stored(sources.join(counts, sources["source"].eqNullSafe(counts["source"])).select(sources["*"], "shards"), "mix-plan")
     # one row a source: Spark broadcasts the written table if its size allows, else splits the hot source
     dealt = own.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(plan["source"])).drop("s")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
-    per_shard = dealt.groupBy("source", "shard").agg(
-        F.sum("size").alias("words"), F.first("block").alias("block"), F.first("source_quota").alias("source_quota")
-    )
+    per_shard = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
     quotas = sainte_lague(per_shard, ["source"], "shard", "words", "source_quota")
-    ring = F.ceil(F.col("words") / F.col("block")).cast("long")
-    quotas = quotas.withColumn("ring", ring).withColumn("quota", F.least("quota", (F.col("ring") * F.lit(most)).cast("long")))
+    quotas = quotas.withColumn("quota", F.least("quota", (F.col("words") * F.lit(most)).cast("long")))
     quotas = stored(
         quotas.select(
-            F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "ring", "words",
-            F.when(F.col("ring") > 0, F.floor(F.col("quota") / F.col("ring"))).otherwise(0).cast("long").alias("passes"),
-            F.when(F.col("ring") > 0, F.col("quota") % F.col("ring")).otherwise(0).alias("rest"),
-            F.when(F.col("ring") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("ring"))).otherwise(0).alias("first"),
+            F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), F.col("words").alias("ring"),
+            F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0).cast("long").alias("passes"),
+            F.when(F.col("words") > 0, F.col("quota") % F.col("words")).otherwise(0).alias("rest"),
+            F.when(F.col("words") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("words"))).otherwise(0).alias("first"),
         ),
         "mix-quotas",
     )
@@ -118,12 +112,11 @@ def mix_sources(
     order = Window.partitionBy("source", "shard").orderBy(spot, "doc_id", "size", "twin")
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
-    low, high = F.col("first") * F.col("block"), (F.col("first") + F.col("rest")) * F.col("block")
-    length = F.col("ring") * F.col("block")
-    run = _overlap(low, F.least(high, length)) + _overlap(F.lit(0), high - length)
+    low, high = F.col("first"), F.col("first") + F.col("rest")
+    run = _overlap(low, F.least(high, F.col("ring"))) + _overlap(F.lit(0), high - F.col("ring"))
     taken = F.col("passes") * F.col("size") + run
     return placed.select(
-        "doc_id", "source", "twin", "size", "source_size", "target", (F.col("source_quota") * F.col("block")).alias("quota_words"), taken.alias("taken")
+        "doc_id", "source", "twin", "size", "source_size", "target", F.col("source_quota").alias("quota_words"), taken.alias("taken")
     )
 
 

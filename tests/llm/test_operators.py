@@ -178,6 +178,24 @@ def test_mixing_targets_and_quotas(spark, documents, edge):
     assert mixing.mix_sources(edge).count() == len(EDGE)
 
 
+def test_mixing_of_many_words_keeps_targets_and_small_sources(spark):
+    """6e9 words in large and in small documents, beside sources of 3,000 words and of one word."""
+    number = F.col("id")
+    group = F.when(number < 20000, "big").when(number < 60000, "wide").when(number < 60003, "small").when(number < 60004, "one")
+    size = F.when(number < 20000, 250000 + number * 7919 % 100000).when(number < 60000, 1 + number * 31 % 997).when(number < 60003, 1000)
+    sizes = spark.range(60006).select(
+        number.alias("doc_id"), group.alias("source"), number.alias("twin"), F.coalesce(size, F.lit(1)).cast("long").alias("size")
+    )
+    by = mixing.mix_sources(sizes, sizes=sizes).groupBy("source").agg(
+        F.sum("size").alias("size"), F.first("target").alias("target"), F.first("quota_words").alias("quota"), F.sum("taken").alias("taken"),
+        F.max(F.col("taken") - 3 * F.col("size")).alias("over"), F.count("*").alias("docs"),
+    ).collect()
+    assert sum(r["docs"] for r in by) == 60006 and sum(r["size"] for r in by) > 5.9e9
+    for r in by:
+        assert r["taken"] == r["quota"] and abs(r["taken"] - r["target"]) <= 1 and r["over"] <= 0, r
+    assert {r["source"]: r["taken"] for r in by if r["size"] <= 3000} == {"small": 9000, "one": 3, None: 6}
+
+
 def test_mixing_caps_are_shared_again(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 1000), (None, 500), ("c", 90)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sources).collect()}
