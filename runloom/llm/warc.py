@@ -26,7 +26,12 @@ def _base32(digest) -> str:
     return base64.b32encode(digest.digest()).decode()
 
 
-def _chunks(data: bytes, size: int):
+def _payload(html: pa.Scalar) -> memoryview:
+    """The bytes of an Arrow string where they lie, without a copy."""
+    return memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
+
+
+def _chunks(data, size: int):
     """Pieces of UTF-8 ``data`` of at most ``size`` bytes, cut between characters."""
     view, at = memoryview(data), 0
     while True:
@@ -45,7 +50,7 @@ def _digests(chunk_bytes: int):
             size, digest = [], []
             for html in batch.column("html").cast(pa.large_binary()):
                 running, n = hashlib.sha1(), 0
-                for chunk in _chunks(html.as_buffer().to_pybytes() if html.is_valid else b"", chunk_bytes):
+                for chunk in _chunks(_payload(html), chunk_bytes):
                     running.update(chunk)
                     n += len(chunk)
                 size.append(n)
@@ -82,7 +87,13 @@ def _clean(url: str) -> str:
 
 
 def _records(chunk_bytes: int):
-    """Records without the line ends that close them: headers, an empty line, the block."""
+    """Records without the line ends that close them: headers, an empty line, the block.
+
+    Short records go on together, up to 32 chunks of them; each segment of a long one goes on as soon as it is made.
+    """
+
+    def batch_of(lines):
+        return pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["record"])
 
     def run(batches):
         for batch in batches:
@@ -101,23 +112,26 @@ def _records(chunk_bytes: int):
                              f"WARC-Refers-To: <urn:page:{refers}>"]
                     lines.append(_record("revisit", head, b""))
                     continue
-                data = text.as_py().encode() if text.is_valid else b""
+                data = _payload(text)
                 if len(data) <= chunk_bytes:
-                    lines.append(_record("response", head, data))
+                    lines.append(_record("response", head, bytes(data)))
+                    held += len(data)
+                    if held > 32 * chunk_bytes:
+                        yield batch_of(lines)
+                        lines, held = [], 0
                     continue
+                if lines:
+                    yield batch_of(lines)
+                    lines, held = [], 0
                 for number, chunk in enumerate(_chunks(data, chunk_bytes), 1):
                     extra = [f"WARC-Segment-Number: {number}"]
                     if number == 1:
-                        lines.append(_record("response", head + extra, bytes(chunk)))
+                        yield batch_of([_record("response", head + extra, bytes(chunk))])
                     else:
                         parts = [f"WARC-Record-ID: <{name}:{number}>", "WARC-Date: 1970-01-01T00:00:00Z",
                                  f"WARC-Segment-Origin-ID: <{name}>", *extra]
-                        lines.append(_record("continuation", parts, bytes(chunk)))
-                    held += len(chunk)
-                    if held > 32 * chunk_bytes:
-                        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["record"])
-                        lines, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["record"])
+                        yield batch_of([_record("continuation", parts, bytes(chunk))])
+            yield batch_of(lines)
 
     return run
 

@@ -167,6 +167,22 @@ def test_warc_round_trip(spark):
         assert got[page] == (len(data), digest, "revisit" if first[page] else "response", first[page])
 
 
+def test_warc_holds_a_chunk_of_a_long_page():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    html = "é" * (8 << 20)
+    columns = {"page_id": [1], "twin": [1], "url": ["u"], "html": [html], "payload_bytes": [16 << 20], "payload_digest": ["d"], "record_type": ["response"], "refers_to": [None]}
+    batch = pa.RecordBatch.from_pydict(columns)
+    for run in (warc._digests(1 << 20), warc._records(1 << 20)):
+        tracemalloc.start()
+        rows = sum(got.num_rows for got in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 << 20 and rows in (1, 16)
+
+
 def test_mixing_targets_and_quotas(spark, documents, edge):
     rows = mixing.mix_sources(documents).toPandas()
     assert (rows["taken"] <= 3 * rows["size"]).all() and len(rows) == documents.count()
