@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from runloom.llm.common import fresh, ship_package
 
 # Fixed values of HTML: elements whose content is no text, without content, inline, and never part of an article.
-_RAW = "script|style|noscript|template|iframe|svg|math|object|canvas|audio|video|select|textarea|title"
+_RAW = "script|style|noscript|template|iframe|svg|canvas|audio|video|select|textarea|title|annotation|annotation-xml"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
-    "strong sub sup time tt u var wbr br img".split()
+    "strong sub sup time tt u var wbr br img object "
+    "math semantics maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split()
 )
 _OUTSIDE = frozenset("nav aside footer form button dialog menu fieldset head".split())
 _PARAGRAPH = frozenset("p pre blockquote td li dd dt section div article main h1 h2 h3 h4 h5 h6 figcaption".split())
+#: What belongs to an article when it stands between parts that are kept, however little text it has.
+_BETWEEN = frozenset("h3 h4 h5 h6 ul ol dl table figure".split())
 _CLOSES_P = frozenset("p div ul ol dl table section article main h1 h2 h3 h4 h5 h6 pre blockquote form nav aside footer header hr figure".split())
 #: Words of class, id and role that mark what surrounds an article, and those that mark an article.
 _AROUND = frozenset(
@@ -169,14 +173,18 @@ def main_text(page: str | None) -> str:
             return False
         return n.tag in ("p", "h1", "h2", "blockquote", "pre") or weight(n) >= 0.2 * top
 
-    kept = []
-    for node, whole, chars, linked in blocks:
+    parts = []
+    for node, *_ in blocks:
         up = node
         while up and up is not best and up.parent is not best.parent:
             up = up.parent
-        if up is not None and (best.parent is None or sibling(up)):
-            kept.append(whole)
-    return "\n\n".join(kept)
+        parts.append(up)
+    kept = [up is not None and (best.parent is None or sibling(up)) for up in parts]
+    first, last = kept.index(True), len(kept) - kept[::-1].index(True)
+    for i in range(first, last):
+        up = parts[i]
+        kept[i] = kept[i] or up is not None and up.tag in _BETWEEN and up.linked <= 0.25 * up.chars
+    return "\n\n".join(whole for (_, whole, *_), keep in zip(blocks, kept) if keep)
 
 
 def _extract(html_name: str, text_name: str):

@@ -109,6 +109,19 @@ def test_html_keeps_the_article_only():
     assert html.main_text("<p>unclosed <b>text") == "unclosed text"
 
 
+def test_html_keeps_headings_lists_tables_and_formulas():
+    long, shorter = "long, text, of, the, first, part " * 20, "shorter, text, of, the, second, part " * 12
+    beside = "<h3>Part</h3><ul><li>item</ul><table><tr><td>cell</table><figure><figcaption>caption</figcaption></figure><ol><li>step</ol>"
+    page = f"<body><div><p>{long}</p><p>{long}</p></div>{beside}<ul><li><a href=/>menu</a></ul><div><p>{shorter}</p></div><h4>After</h4></body>"
+    got = html.main_text(page).split("\n\n")
+    assert got == [long.strip()] * 2 + ["Part", "item", "cell", "caption", "step", shorter.strip()]
+    inside = (
+        "<article><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding=tex>x=1</annotation></semantics></math> hold"
+        "<object data=a.svg>a figure of x</object>.</p></article>"
+    )
+    assert html.main_text(inside) == "Let x=1 holda figure of x."
+
+
 def test_html_frame_keeps_clashing_column(spark):
     pages = spark.createDataFrame([(1, "u", None, "mine"), (1, "u", "<p>x, y</p>", None)], "page_id long, url string, html string, text string")
     got = html.extract_text(pages)
