@@ -213,11 +213,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, r: int = 1, block_bytes:
 
     1. Texts are put into blocks, written once. The sample, the places of a difference cover of period v, is ranked by its
        first length - v + 1 bytes. Wherever two suffixes agree on ``length`` bytes, a sample place follows both within v.
-    2. A suffix none of whose sample places is tied is alone and drops out. The others' first ``length`` bytes are ranked the
-       same way: a suffix's key has the rank of the bytes it shares, so that a tie costs no comparison of long strings.
+    2. A suffix none of whose sample places is tied is alone and drops out. The others' first ``length`` bytes are hashed whole:
+       the sample is only a filter, and no rank of it enters a key.
     3. Suffixes that are tied cover the bytes that go.
 
-    A rank is a 64-bit hash, of which only equality is used; ordering by it deals suffixes out evenly. A block sends each key
+    Ties are not resolved by ranks of the sample: blocks get back one bit a sample key, tied or not, and a rank would be some
+    bytes a key more to shuffle. A rank is a 64-bit hash, of which only equality is used, never confirmed on the bytes;
+    ordering by it deals suffixes out evenly. A block sends each key
     once, so that a passage of a third of all texts weighs as many keys as there are blocks; a bucket holds about
     ``bucket_keys`` keys whatever the input, a block about ``block_bytes`` bytes or one text.
 
