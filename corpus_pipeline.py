@@ -50,7 +50,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The stages learn, sketch and tokenize, which SQL cannot say; tests hold them against brute force.
+#: The stages learn, sketch and tokenize, which SQL cannot say; tests hold near dedup and mixing against plain versions, the other operators on their own.
 ORACLE_SQL = None
 
 

@@ -354,3 +354,32 @@ def test_packing_letters_that_end_in_a_mark():
 def test_only_letters_are_words():
     model = langid.Model(["x", "y"], {"a": [0.0, -9.0]}, {})
     assert [p[0] for p in model.predict(["½ 12 _ Ⅷ", "a²", None, ""])] == ["und", "x", "und", "und"]
+
+
+def test_pipeline_stages_equal_plain_versions(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    base = " ".join(f"w{rng.randrange(5000)}" for _ in range(120))
+    rows = list(EDGE) + [(20 + i, f"{base} tail{i % 3} end{i}", "en", "abc"[i % 3], "x") for i in range(9)] + [(40, base, "en", "a", "y"), (40, base, "en", "a", "y")]
+    docs = spark.createDataFrame(rows, DOC).withColumn("near_doc_", F.lit("mine")).withColumn("mix_copy_", F.lit(1))
+
+    # near dedup: one row for each doc_id and text that is the smallest of its group
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    texts = dict(enumerate(dict.fromkeys((r[0], r[1]) for r in rows if r[1] is not None)))
+    groups, want = defaultdict(list), Counter({(1, None): 1})
+    for i, (_, root, _) in brute_components([(i, t) for i, (_, t) in texts.items()], 5, 80).items():
+        groups[root].append(texts[i])
+    for members in groups.values():
+        least = min((d for d, _ in members if d is not None), default=None)
+        want.update(m for m in members if m[0] == least)
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+
+    # mixing: every row as often as its words are taken, rounded half up
+    unique = docs.dropDuplicates(["doc_id", "source", "text"])
+    mixed = corpus_pipeline.mixing_stage(spark, unique, "")
+    taken = {(r["doc_id"], r["source"], r["twin"]): int(r["taken"] / r["size"] + 0.5) if r["size"] else 0 for r in mixing.mix_sources(unique).collect()}
+    assert mixed.columns == docs.columns
+    found = Counter((r["doc_id"], r["source"], r["t"]) for r in mixed.withColumn("t", F.xxhash64("text")).collect())
+    assert found == Counter({k: n for k, n in taken.items() if n})
