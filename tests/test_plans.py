@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from runloom.plans import registry
 
 PYTHON = ("similarity", "soft_reference_match", "issue_low_similarity", "rate_limit_admission", "read_reference_spec", "read_workflow_dsl")
 SAMPLE = (
@@ -53,8 +54,9 @@ def test_positions_are_not_windowed_over_a_whole_workflow(spark, folder):
 
 def test_registered_names():
     assert set(oracle_sql()) <= set(queries())
-    assert len(queries()) >= 150
-    for name in queries():
+    assert len(registry.QUERIES) >= 150
+    # numbered queries and the pipeline belong to the subpackage that may be left out
+    for name in registry.QUERIES:
         assert "pipeline" not in name and not re.match(r"op\d", name)
 
 
@@ -63,6 +65,8 @@ def test_entry(spark):
 
 
 def test_no_local_checkpoints_or_collects_in_the_library():
-    text = "\n".join(p.read_text() for p in (Path(__file__).parent.parent / "runloom").rglob("*.py"))
+    root = Path(__file__).parent.parent / "runloom"
+    # the subpackage that may be left out has its own test, which names the bounded tables it collects
+    text = "\n".join(p.read_text() for p in root.rglob("*.py") if p.relative_to(root).parts[0] != "llm")
     for word in ("localCheckpoint", ".collect()", ".toPandas()", "crossJoin", ".rdd"):
         assert word not in text
