@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import html, langid, lines, minhash, mixing, neighbours, packing, quality, suffixes, warc
-from runloom.llm.common import table
+from runloom.llm import html, langid, lines, minhash, mixing, neighbours, packing, quality, runs, suffixes, tries, warc
+from runloom.llm.common import WORD, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -131,3 +131,56 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_nearest_neighbours")
 def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
+# crc32 bit by bit; turns as lists of structs; a node is a distinct prefix
+_TRIE_SQL = """
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({'r': r, 'x': x} ORDER BY turn NULLS FIRST, r, sha256(length(r) || ':' || r || x)) AS l FROM t GROUP BY c),
+h AS (SELECT c, l, xor(list_reduce(list_transform(range(length(c::VARCHAR) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii((c::VARCHAR)[i]) END),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 6 AS h FROM o),
+b AS (SELECT h.c, list_concat(coalesce(o.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN o ON o.c = h.c - h.c % 100),
+p AS (SELECT c, l, unnest(range(len(l) + 1)) AS d FROM b),
+n AS (SELECT d, md5(l[1:d]::VARCHAR) AS id, CASE WHEN d > 0 THEN md5(l[1:d - 1]::VARCHAR) END AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(l[1:d]) AS l,
+  any_value(CASE WHEN d > 0 THEN length((l[d]).x) ELSE 0 END) AS chars, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(l) = d), '')) AS ends
+  FROM p GROUP BY 1, 2, 3),
+k AS (SELECT d - 1 AS d, up AS id, count(*) AS n FROM n WHERE d > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON n.d = k.d AND n.id = k.id),
+a AS (SELECT a AS d, md5(l[1:a]::VARCHAR) AS id, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM m) GROUP BY 1, 2)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, a.n_leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN a ON m.d = a.d AND m.id = a.id LEFT JOIN n u ON u.d = m.d - 1 AND u.id = m.up
+"""
+
+
+def rebuilt_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, turns): the first h turns of conversation c - c % 100, then c's own after its first h; h = crc32(c) % 6."""
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    heads = turns.where(F.col("conv_id") % 100 == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 5).alias("head"))
+    own = turns.select("conv_id", "turns", h.alias("h"), (F.col("conv_id") - F.col("conv_id") % 100).alias("from"))
+    rest = F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns") - F.col("h"), F.lit(0)))
+    head = F.slice(F.coalesce("head", F.slice("turns", 1, 0)), F.lit(1), F.col("h"))
+    return own.join(heads, F.col("from") == F.col("base"), "left").select("conv_id", F.concat(head, rest).alias("turns"))
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return tries.prefix_trie(rebuilt_turns(tries.conversation_turns(table(spark, folder, "conversations"))))
+
+
+def repeating_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth document by crc32, the words from g % n on repeat with a period that fits 3 to 10 times."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(hashed % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    own = docs.select("doc_id", "text", words.alias("w"), F.floor(hashed / 10).alias("g")).withColumn("n", F.size("w"))
+    own = own.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    own = own.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times))
+    text = F.array_join(F.slice(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n")), " ")
+    return own.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.collapse_runs(repeating_texts(table(spark, folder, "documents")))
