@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm import html, langid, lines, minhash, mixing, neighbours, packing, quality, runs, suffixes, tries, warc
+from runloom.llm import html, langid, lines, minhash, mixing, neighbours, packing, quality, runs, suffixes, topk, tries, warc
 from runloom.llm.common import WORD, table
 
 QUERIES: dict = {}
@@ -184,3 +184,18 @@ def repeating_texts(docs: DataFrame) -> DataFrame:
 @query("op12_periodic_runs")
 def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.collapse_runs(repeating_texts(table(spark, folder, "documents")))
+
+
+_TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op13_exact_top_k", _TOPK_SQL)
+def exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, folder, "embeddings"))

@@ -179,14 +179,14 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _KINDS[t]) for n, t in _FIELDS.items()], list(_FIELDS))
 
 
-def _peeled(ids: bool, outer: bool):
+def _peeled(ids: bool, outer: bool, block_turns: int, block_rows: int):
     def run(batches):
         held, turns = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 held.append(row)
                 turns += len(row["lens"]) + 1
-                if outer and turns >= BLOCK_TURNS and len(held) >= BLOCK_ROWS:
+                if outer and turns >= block_turns and len(held) >= block_rows:
                     yield _batch(_peel(_Block(held, ids), ids, outer))
                     held, turns = [], 0
         if held:
@@ -218,7 +218,7 @@ def _pairs(rows):
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ends, pa.string())], ["ends_key", "ends_found"])
 
 
-def prefix_trie(paths: DataFrame) -> DataFrame:
+def prefix_trie(paths: DataFrame, block_turns: int = BLOCK_TURNS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256): a row per distinct prefix of turns.
 
     ``paths`` has ``conv_id``, one row each, and ``turns`` as ``conversation_turns`` makes them. A node is known by its smallest
@@ -237,6 +237,8 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     no part taken; * a single conversation must fit into a worker's memory, with 24 bytes a turn and no texts; * extra columns are
     ignored; * an empty table gives no row.
     """
+    if block_rows < 8:
+        raise ValueError("a block leaves two rows open, so blocks of fewer than eight rows would take many rounds")
     spark = paths.sparkSession
     ship_package(spark)
     path = F.unhex(F.array_join(F.transform("turns", lambda t: t["key"]), ""))
@@ -245,14 +247,14 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     def dealt(table: DataFrame, n: int) -> DataFrame:
         return table.repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id")
 
-    first = stored(dealt(stored(rows, "trie-paths"), partitions(spark)).mapInArrow(_peeled(True, True), _OUT), "trie-blocks")
+    first = stored(dealt(stored(rows, "trie-paths"), partitions(spark)).mapInArrow(_peeled(True, True, block_turns, block_rows), _OUT), "trie-blocks")
     edge = first.where(F.col("kind") == _EDGE).select("conv_id", "path", "lens", *(f for f, _ in _GATHERED))
     opened = []
     while True:
         size = edge.agg(F.count("*").alias("rows"), F.sum(F.size("lens") + 1).alias("turns")).first()
-        last = size["rows"] <= BLOCK_ROWS or size["turns"] <= BLOCK_TURNS
-        order = edge.repartition(1).sortWithinPartitions("path", "conv_id") if last else dealt(edge, max(1, min(size["rows"] // BLOCK_ROWS, size["turns"] // BLOCK_TURNS)))
-        again = stored(order.mapInArrow(_peeled(False, not last), _OUT), "trie-edges")
+        last = size["rows"] <= block_rows or size["turns"] <= block_turns
+        order = edge.repartition(1).sortWithinPartitions("path", "conv_id") if last else dealt(edge, max(1, min(size["rows"] // block_rows, size["turns"] // block_turns)))
+        again = stored(order.mapInArrow(_peeled(False, not last, block_turns, block_rows), _OUT), "trie-edges")
         opened.append(again.where(F.col("kind") == _NODE))
         if last:
             break
