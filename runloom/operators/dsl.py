@@ -5,7 +5,7 @@ A tree is one row, so reading it needs no shuffle: nodes and messages come from
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -223,6 +223,125 @@ def apply_patches(leaves: DataFrame, patches: DataFrame, keys: Sequence[str]) ->
     )
 
 
+_PATCHES = "array<struct<parts:array<string>,new:string>>"
+
+
+def _json_text(value: Column) -> Column:
+    return F.to_json(value.cast("variant"))
+
+
+def _rest(patches: Column, mine: Callable[[Column], Column]) -> Column:
+    """The patches that go on to one child, without the step that leads there."""
+    return F.transform(
+        F.filter(patches, lambda p: mine(p["parts"][0])),
+        lambda p: F.struct(F.slice(p["parts"], F.lit(2), F.greatest(F.size(p["parts"]) - 1, F.lit(0))).alias("parts"), p["new"].alias("new")),
+    )
+
+
+def _children(items: Column, entries: Column, patches: Column) -> Column:
+    """Name, value and patches of each child after the patches: of a list by position, of an object, or of a new object, by key.
+
+    A list grows as far as the highest position asked for; NULL if a step into a list is no position.
+    """
+    steps = F.transform(patches, lambda p: F.when(p["parts"][0].rlike("^[0-9]+$"), p["parts"][0].cast("int")))
+    size = F.greatest(F.size(items), F.array_max(steps) + 1)
+    listed = F.transform(
+        F.slice(F.sequence(F.lit(0), size), F.lit(1), size),
+        lambda i: F.struct(i.cast("string").alias("name"), F.get(items, i).alias("value"), _rest(patches, lambda step: step.cast("int") == i).alias("patches")),
+    )
+    keys = F.coalesce(F.map_keys(entries), F.array().cast("array<string>"))
+    names = F.array_distinct(F.concat(keys, F.transform(patches, lambda p: p["parts"][0])))
+    keyed = F.transform(
+        names, lambda n: F.struct(n.alias("name"), F.try_element_at(entries, n).alias("value"), _rest(patches, lambda step: step == n).alias("patches"))
+    )
+    return F.when(items.isNull(), keyed).when(F.forall(steps, lambda i: i.isNotNull()), listed)
+
+
+def _opened() -> Column:
+    """What a row of the walk becomes: itself with its JSON, or its children if patches lie below it."""
+    below = F.filter("patches", lambda p: F.size(p["parts"]) > 0)
+    own = F.filter("patches", lambda p: F.size(p["parts"]) == 0)
+
+    def row(place: Column, names: Column, value: Column, patches: Column, text: Column) -> Column:
+        return F.struct(place.alias("place"), names.alias("names"), value.alias("value"), patches.alias("patches"), text.alias("text"))
+
+    def closed(text: Column) -> Column:
+        none = F.lit(None)
+        return F.array(row(F.col("place"), F.col("names"), none.cast("variant"), none.cast(_PATCHES), text.cast("string")))
+
+    # what a patch has replaced is a text, so a deeper patch starts with a new object there
+    kept = F.when(F.size(own) == 0, F.col("value"))
+    parts = F.struct(_list(kept, "$").alias("items"), F.try_variant_get(kept, "$", "map<string,variant>").alias("entries"), below.alias("below"))
+
+    def children(found: Column) -> Column:
+        name = lambda c: F.array(F.when(found["items"].isNull(), c["name"]))
+        rows = T.let(
+            _children(found["items"], found["entries"], found["below"]),
+            lambda every: F.transform(
+                every, lambda c, i: row(F.concat("place", F.array(i)), F.concat("names", name(c)), c["value"], c["patches"], F.lit(None).cast("string"))
+            ),
+        )
+        return F.coalesce(rows, closed(F.lit(None)))
+
+    return (
+        F.when(F.col("patches").isNull(), closed(F.col("text")))
+        .when(F.size("patches") == 0, closed(F.coalesce(F.to_json("value"), F.lit("{}"))))
+        .when(F.size(below) == 0, closed(_json_text(F.get(own, F.lit(0))["new"])))
+        .otherwise(T.let(parts, children))
+    )
+
+
+def _joined(items: Column) -> Column:
+    """JSON of a container from its children in order; a list's have no names. NULL if one is."""
+    listed = F.get(items, F.lit(0))["name"].isNull()
+    texts = F.transform(items, lambda c: F.concat(F.when(listed, F.lit("")).otherwise(F.concat(_json_text(c["name"]), F.lit(":"))), c["text"]))
+    whole = F.when(F.forall(items, lambda c: c["text"].isNotNull()), F.array_join(texts, ","))
+    return F.concat(F.when(listed, F.lit("[")).otherwise(F.lit("{")), whole, F.when(listed, F.lit("]")).otherwise(F.lit("}")))
+
+
+def patch_trees(trees: DataFrame, patches: DataFrame, keys: Sequence[str], tree: str, levels: int | None = None) -> DataFrame:
+    """``trees`` with ``patched``: the whole definition as VARIANT after its patches; ``tree`` stays as it is.
+
+    ``patches`` has the keys, which identify a definition, ``path``, ``patch_no`` and ``new``. The last patch of a pointer
+    wins; one below another pointer that is patched wins over it. Steps that lead nowhere make objects, also if they are numbers;
+    in a list that is there, a number is a position, and positions left out up to it are filled with empty objects. Paths
+    without a leading slash change nothing. A step into a list that is no position, or a pointer without steps, gives no
+    patched definition (NULL).
+
+    Only containers on a patched path are opened, a level at a time, into a row per child; subtrees without a patch are one
+    row of JSON. From the deepest level up, the rows of a container become one, until the root is left. The walk down
+    needs no shuffle, and the way up a single one, by the keys. ``levels`` is the number of steps of the longest
+    pointer, which a small job finds if it is not given.
+    """
+    keys = list(keys)
+    steps = F.filter(F.split("path", "/"), lambda p: p != "")
+    latest = patches.where(F.col("path").startswith("/")).groupBy(*keys, steps.alias("parts")).agg(F.max_by("new", "patch_no").alias("new"))
+    if levels is None:
+        levels = latest.agg(F.max(F.size("parts"))).first()[0] or 0
+    gathered = latest.groupBy(*keys).agg(F.collect_list(F.struct("parts", "new")).alias("patches"))
+    sound = F.forall("patches", lambda p: F.size(p["parts"]) > 0)
+    rows = trees.select(*keys, F.col(tree).alias("value")).join(gathered, keys).where(sound)
+    empty = F.array().cast("array<int>").alias("place"), F.array().cast("array<string>").alias("names")
+    rows = rows.select(*keys, *empty, "value", F.col("patches").cast(_PATCHES).alias("patches"), F.lit(None).cast("string").alias("text"))
+    for _ in range(levels + 1):
+        rows = rows.select(*keys, F.inline(_opened()))
+    rows = rows.select(*keys, "place", "names", "text").repartition(*keys)
+    for level in range(levels, 0, -1):
+        deep = F.size("place") == level
+        up = F.when(deep, F.slice("place", 1, level - 1)).otherwise(F.col("place"))
+        child = F.struct(F.get("place", F.lit(level - 1)).alias("position"), F.get("names", F.lit(level - 1)).alias("name"), "text")
+        grouped = rows.groupBy(*keys, up.alias("_up")).agg(
+            F.bool_and(deep).alias("_deep"), F.first(F.slice("names", 1, level - 1)).alias("_names"), F.sort_array(F.collect_list(child)).alias("_items")
+        )
+        text = F.when(F.col("_deep"), _joined(F.col("_items"))).otherwise(F.get("_items", F.lit(0))["text"])
+        rows = grouped.select(*keys, F.col("_up").alias("place"), F.col("_names").alias("names"), text.alias("text"))
+    texts = rows.select(*keys, F.col("text").alias("_text"))
+    asked = gathered.select(*keys, F.lit(True).alias("_asked"))
+    joined = trees.join(asked, keys, "left").join(texts, keys, "left")
+    patched = F.when(F.col("_asked"), F.parse_json("_text")).otherwise(F.col(tree))
+    return joined.select(*trees.columns, patched.alias("patched"))
+
+
 def diff_prompts(blocks: DataFrame, keys: Sequence[str], rewritten: str) -> DataFrame:
     """Patches of rewritten blocks: one per message whose stripped text changed.
 

@@ -97,6 +97,34 @@ def pointer_lookup(spark, folder):
     return asked.select("doc_id", "path", D.pointer_lookup(F.col("tree"), F.col("path")).alias("text"))
 
 
+PATCHED_SQL = """
+WITH n AS (SELECT doc_id, '[{"data":{"inputs":{"x":1},"output_schema":{"y":1},"prompt_template":{"messages":[{"role":"system","text":"patched a"},{"role":"user"'
+  || CASE WHEN text IS NULL THEN '' ELSE ',"text":' || CAST(to_json(text) AS VARCHAR) END || '},{"role":"user"}]},"role":"author","title":"Writer"},"id":"a","type":"llm"},'
+  || '{"data":{"label":"Checker","prompt_template":[{"role":"user","text":' || CAST(to_json('second ' || lang) AS VARCHAR) || '},{"text":' || CAST(to_json(source) AS VARCHAR)
+  || '},{},{"text":"third"}]},"id":"b","type":"llm"},{"data":{"system_prompt":' || CAST(to_json('sys ' || lang) AS VARCHAR) || '},"type":"code"},7]' AS nodes,
+  '"new":{"0":{"text":"added"}}' AS added FROM documents)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '{"graph":{"nodes":' || nodes || '},' || added || '}'
+  WHEN 1 THEN '{"graph":3,' || added || ',"workflow":{"graph":{"nodes":' || nodes || '}}}'
+  ELSE '{"graph":{"data":[{"data":{"prompt_template":{"messages":[]}},"id":"d","type":"llm"},{"data":{"system_prompt":"tail"},"id":"e"}],"nodes":' || nodes || '},' || added || '}' END AS tree
+FROM n"""
+
+
+@query("patched_trees", PATCHED_SQL)
+def patched_trees(spark, folder):
+    """Whole definitions after patches of every document's tree: a message, a later patch of the same, a new list item, a new object."""
+    trees = dsl_trees(spark, folder)
+    graph = D.extract_graph(F.col("tree"))["pointer"]
+    changes = F.array(
+        F.struct(F.concat(graph, F.lit("/nodes/0/data/prompt_template/messages/0/text")).alias("path"), F.lit(1).alias("patch_no"), F.lit("patched a").alias("new")),
+        F.struct(F.concat(graph, F.lit("/nodes/1/data/prompt_template/0/text")).alias("path"), F.lit(2).alias("patch_no"), F.lit("first").alias("new")),
+        F.struct(F.concat(graph, F.lit("/nodes/1/data/prompt_template/0/text")).alias("path"), F.lit(3).alias("patch_no"), F.concat(F.lit("second "), "lang").alias("new")),
+        F.struct(F.concat(graph, F.lit("/nodes/1/data/prompt_template/3/text")).alias("path"), F.lit(4).alias("patch_no"), F.lit("third").alias("new")),
+        F.struct(F.lit("/new/0/text").alias("path"), F.lit(5).alias("patch_no"), F.lit("added").alias("new")),
+    )
+    patches = trees.select("doc_id", F.inline(changes))
+    return D.patch_trees(trees, patches, ["doc_id"], "tree").select("doc_id", F.to_json("patched").alias("tree"))
+
+
 @query(
     "apply_patches",
     f"""{WITH_LOC} SELECT doc_id, path, CASE WHEN node_id = 'b' AND message_no = 0 THEN 'second ' || lang ELSE text END AS text,
