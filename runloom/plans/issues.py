@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runloom.operators import actions as AC
+from runloom.operators import evidence as E
 from runloom.operators import issues as I
 from runloom.operators import texts as X
 from runloom.plans.registry import query
@@ -173,6 +174,69 @@ def actions_from_signal(spark, folder):
     return AC.actions_from_signal(checkpointed(issues), specs).select("workflow_id", "type", "target", "content", "evidence_run")
 
 
+def native_heads(spark, folder):
+    """Heads of the issues that need no text similarity, their sets and the references."""
+    samples, specs = inputs(spark, folder)
+    answer = F.when(F.col("index") % 60 == 11, '{"verdict":"fail"}').when(F.col("index") % 50 != 7, '{"verdict":"pass"}')
+    calls = samples.select("workflow_id", "index", answer.alias("raw"))
+    unreliable = I.judge_unreliable_heads(X.parse_judge_verdict(calls, "raw"), calls)
+    heads = checkpointed(I.detect_heads(samples, specs, judged(spark, folder), similarity=False).unionByName(unreliable))
+    return heads, I.evidence_sets(samples, specs, heads), specs
+
+
+HEADS_SQL = f"""{BASE}, {CONS_SQL}, {RATE_SQL}, {JUDGED_SQL},
+broken AS (SELECT DISTINCT workflow_id FROM samples WHERE "index" % 50 = 7), bad AS (SELECT DISTINCT workflow_id FROM samples WHERE "index" % 60 = 11),
+issues AS ({INSUFFICIENT_SQL} UNION ALL {FAILURE_SQL} UNION ALL {MISSING_SQL} UNION ALL {LATENCY_SQL} UNION ALL {MISMATCH_SQL}
+  UNION ALL SELECT workflow_id, 'llm_judge_unreliable', 'medium', 'judge failed or unavailable, reference check incomplete', "index"
+  FROM samples WHERE workflow_id IN (SELECT workflow_id FROM broken) AND workflow_id NOT IN (SELECT workflow_id FROM bad))"""
+
+
+@query(
+    "issue_evidence",
+    HEADS_SQL + """ SELECT workflow_id, kind, severity, message, count(evidence_run) AS evidence_count, min(evidence_run) AS first_run FROM issues
+WHERE kind <> 'llm_output_mismatch' GROUP BY 1, 2, 3, 4
+UNION ALL SELECT workflow_id, kind, severity, message, 1, evidence_run FROM issues WHERE kind = 'llm_output_mismatch'""",
+)
+def issue_evidence(spark, folder):
+    """Every issue in one row, with the number of its runs and the first of them, from shared bitmaps."""
+    heads, sets, _ = native_heads(spark, folder)
+    counted = I.with_evidence_count(heads, sets)
+    firsts = E.runs(sets, ["workflow_id", "evidence_set"]).groupBy("workflow_id", "evidence_set").agg(F.min("evidence_run").alias("_first"))
+    found = counted.join(firsts, ["workflow_id", "evidence_set"], "left")
+    return found.select("workflow_id", "kind", "severity", "message", "evidence_count", F.coalesce("evidence_run", "_first").alias("first_run"))
+
+
+@query(
+    "signal_evidence",
+    f"""{BASE}, {CONS_SQL}, {RATE_SQL}, issues AS ({FAILURE_SQL} UNION ALL {LATENCY_SQL})
+SELECT workflow_id, 'add_global_constraint' AS type, CAST(NULL AS VARCHAR) AS target, 'Ensure constraint is satisfied: ' || c AS content, n AS evidence_count
+FROM cons JOIN (SELECT workflow_id, count(DISTINCT evidence_run) AS n FROM issues GROUP BY 1) e USING (workflow_id)""",
+)
+def signal_evidence(spark, folder):
+    """Actions from signals, one row each: all actions of a workflow share one set of runs."""
+    samples, specs = inputs(spark, folder)
+    heads = checkpointed(I.failure_rate_heads(samples, specs).unionByName(I.latency_heads(samples, specs)))
+    actions, sets = AC.signal_heads(heads, I.evidence_sets(samples, specs, heads), specs)
+    return AC.with_evidence_count(actions, sets).select("workflow_id", "type", "target", "content", "evidence_count")
+
+
+@query(
+    "issue_actions",
+    MAPPED_SQL + """, one AS (
+  SELECT workflow_id, type, target, trim(content) AS content, 1 AS evidence_count FROM raw
+  WHERE NOT (type = 'add_global_constraint' AND content NOT LIKE 'Avoid: %') GROUP BY 1, 2, 3, 4)
+SELECT * FROM one UNION ALL SELECT workflow_id, type, trim(target), trim(content), count(DISTINCT evidence_run) FROM raw
+WHERE type = 'add_global_constraint' AND content NOT LIKE 'Avoid: %' GROUP BY 1, 2, 3, 4""",
+)
+def issue_actions(spark, folder):
+    """Actions of all issues, one row each with the number of runs behind it."""
+    samples, specs = inputs(spark, folder)
+    branches = I.failure_rate_heads(samples, specs).unionByName(I.constraint_missing_heads(samples, specs))
+    heads = checkpointed(branches.unionByName(I.latency_heads(samples, specs)).unionByName(I.output_mismatch_heads(judged(spark, folder))))
+    actions, _ = AC.head_actions(heads, I.evidence_sets(samples, specs, heads), specs)
+    return actions.select("workflow_id", "type", "target", "content", "evidence_count")
+
+
 # Sample actions from order lines: node = order, evidence = supplier, text of varying length.
 LINES_SQL = """WITH l AS (
   SELECT DISTINCT l_orderkey % 500 AS node_id, l_partkey AS seq,
@@ -214,8 +278,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY n DESC, type, c
 SELECT node_id, pos AS seq, type, target, content, n AS evidence_count FROM f WHERE b <= 5""",
 )
 def normalize_actions(spark, folder):
-    kept = AC.normalize_actions(line_actions(spark, folder), "node_id", budget=5)
-    return AC.action_headers(kept, "node_id").select("node_id", "seq", "type", "target", "content", "evidence_count")
+    return AC.normalize_heads(line_actions(spark, folder), "node_id", budget=5).select("node_id", "seq", "type", "target", "content", "evidence_count")
 
 
 @query(
@@ -229,8 +292,8 @@ UNION ALL SELECT g.node_id, g.seq, 'add_global_constraint', max(a.target), g.con
 FROM g JOIN acts a ON a.node_id = g.node_id AND a.seq = g.seq GROUP BY 1, 2, 5""",
 )
 def merge_actions(spark, folder):
-    merged = AC.merge_actions(line_actions(spark, folder), "node_id")
-    return AC.action_headers(merged, "node_id").select("node_id", "seq", "type", "target", "content", "evidence_count")
+    heads, _ = AC.merge_heads(line_actions(spark, folder), "node_id")
+    return heads.select("node_id", "seq", "type", "target", "content", "evidence_count")
 
 
 @query(
