@@ -8,21 +8,29 @@ from runloom.plans.files import fresh
 from runloom.plans.registry import query
 from runloom.sources import adapters as A
 from runloom.sources.adapters import RUNS_SQL, table
-from runloom.streaming.collect import snapshot, stream_collect
+from runloom.streaming.collect import RANK_ERROR, snapshot, stream_collect
 from runloom.streaming.rate_limit import rate_limit_admission
 
 
 @query(
     "stream_collect",
     f"""WITH {RUNS_SQL} SELECT workflow_id, count(*) AS total_executions, count(*) FILTER (status = 'success') AS successful_count,
-  CAST(sum(tokens_used) AS BIGINT) AS total_tokens, round(avg(execution_time), 6) AS avg_execution_time FROM runs GROUP BY 1""",
+  CAST(sum(tokens_used) AS BIGINT) AS total_tokens, round(avg(execution_time), 6) AS avg_execution_time, true AS p95_within_error FROM runs GROUP BY 1""",
 )
 def stream_collect_query(spark, folder):
     out = fresh(spark, "stream")
     stream = stream_collect(A.stream_runs(spark, folder), f"{out}/statistics", f"{out}/checkpoint")
     stream.awaitTermination()
     stats = snapshot(spark, f"{out}/statistics").withColumn("avg_execution_time", F.round("avg_execution_time", 6))
-    return stats.select("workflow_id", "total_executions", "successful_count", "total_tokens", "avg_execution_time")
+    # the share of runs below the sketch's percentile and up to it, held against its rank
+    times = A.runs(spark, folder).select("workflow_id", "execution_time")
+    p95 = F.col("p95_execution_time_approx")
+    near = times.join(stats.select("workflow_id", p95), "workflow_id").groupBy("workflow_id").agg(
+        F.avg((F.col("execution_time") < p95).cast("double")).alias("below"), F.avg((F.col("execution_time") <= p95).cast("double")).alias("upto")
+    )
+    room = 2 * RANK_ERROR
+    within = ((F.col("below") <= 0.95 + room) & (F.col("upto") >= 0.95 - room)).alias("p95_within_error")
+    return stats.join(near, "workflow_id").select("workflow_id", "total_executions", "successful_count", "total_tokens", "avg_execution_time", within)
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom.operators.metrics import run_metrics
-from runloom.streaming.collect import snapshot, stream_collect
+from runloom.streaming.collect import RANK_ERROR, Snapshots, collected, merged_statistics, partial_statistics, readable_statistics, snapshot, stream_collect
 from runloom.streaming.rate_limit import rate_limit_admission, stream_admission
 
 RUNS = "workflow_id string, execution_id string, status string, execution_time double, tokens_used long, cost double"
@@ -96,3 +96,56 @@ def test_snapshots_equal_the_batch_statistics(spark, tmp_path):
             s = seen[b.workflow_id]
             assert (s.total_executions, s.successful_count, s.total_tokens) == (b.total_executions, b.successful_count, b.total_tokens)
             assert s.avg_execution_time == pytest.approx(b.avg_execution_time)
+
+
+def test_half_streams_merge_into_the_whole(spark, tmp_path):
+    rng, halves = random.Random(5), []
+    values: dict[str, list[float]] = {"hot": [], "rare": []}
+    for half in range(2):
+        source = str(tmp_path / f"in{half}")
+        for part in range(2):
+            rows = []
+            for i in range(20000):
+                name = "rare" if i % 500 == 0 else "hot"
+                time = rng.choice([rng.lognormvariate(0, 2), 1.0])
+                values[name].append(time)
+                rows.append((name, f"e{half}-{part}-{i}", rng.choice(["success", "failed"]), time, i, 0.1))
+            spark.createDataFrame(rows, RUNS).coalesce(1).write.mode("append").parquet(source)
+        target = str(tmp_path / f"out{half}")
+        stream = spark.readStream.schema(RUNS).option("maxFilesPerTrigger", 1).parquet(source)
+        stream_collect(stream, target, str(tmp_path / f"check{half}")).awaitTermination()
+        assert [p.name for p in (tmp_path / f"out{half}").iterdir()] == ["batch=1"]
+        halves.append(collected(spark, target))
+    every = spark.read.schema(RUNS).parquet(str(tmp_path / "in0"), str(tmp_path / "in1"))
+    whole = {r.workflow_id: r for r in readable_statistics(partial_statistics(every)).collect()}
+    for r in readable_statistics(merged_statistics(*halves)).collect():
+        w = whole[r.workflow_id]
+        assert (r.total_executions, r.successful_count, r.total_tokens) == (w.total_executions, w.successful_count, w.total_tokens)
+        assert r.avg_execution_time == pytest.approx(w.avg_execution_time)
+        for p95 in (r.p95_execution_time_approx, w.p95_execution_time_approx):
+            mine = values[r.workflow_id]
+            assert sum(v < p95 for v in mine) / len(mine) <= 0.95 + 2 * RANK_ERROR
+            assert sum(v <= p95 for v in mine) / len(mine) >= 0.95 - 2 * RANK_ERROR
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    target = str(tmp_path / "out")
+    rows = spark.createDataFrame([("w", "e", "success", 1.0, 5, 0.1)], RUNS)
+    kept, seen = Snapshots(spark, target), []
+    source = str(tmp_path / "in")
+    rows.write.parquet(source)
+    stream_collect(spark.readStream.schema(RUNS).parquet(source), target, str(tmp_path / "one"), lambda df, n: seen.append((n, df.first()[1]))).awaitTermination()
+    # the stream's own record is lost, as after a failure before its commit, so batch 0 comes again
+    stream_collect(spark.readStream.schema(RUNS).parquet(source), target, str(tmp_path / "two"), lambda df, n: seen.append((n, df.first()[1]))).awaitTermination()
+    assert seen == [(0, 1), (0, 1)] and kept.newest() == 0
+    # a snapshot that was not finished is not read
+    rows.write.parquet(f"{target}/batch=7")
+    (tmp_path / "out" / "batch=7" / "_SUCCESS").unlink()
+    assert kept.newest() == 0 and snapshot(spark, target).first().total_executions == 1
+
+
+def test_statistics_without_times_and_without_rows(spark, tmp_path):
+    none = readable_statistics(partial_statistics(spark.createDataFrame([], RUNS)))
+    assert none.count() == 0
+    with pytest.raises(FileNotFoundError):
+        snapshot(spark, str(tmp_path / "nothing"))
