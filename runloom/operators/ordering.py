@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-_AXIS, _CHUNK, _TIE = "_axis", "_chunk", "_tie"
+from runloom.session import checkpointed
+
+_AXIS, _CHUNK = "_axis", "_chunk"
 
 
 def epoch_seconds(df: DataFrame, column: str) -> Column:
@@ -70,34 +72,62 @@ def _bucketed(df: DataFrame, axis: Column, cuts: Sequence[float], name: str) ->
     return Bucketizer(splits=splits, inputCol=_AXIS, outputCol=name, handleInvalid="keep").transform(framed).drop(_AXIS)
 
 
+def _spread(df: DataFrame) -> Column:
+    """Hash of a row, which tells apart rows that no order column does."""
+    plain = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+
+
+def _cuts_up_to(cuts: Column, row: Column, most: int) -> Column:
+    """How many of the sorted ``cuts``, of which there are ``most`` at most, are not above ``row``: a binary search."""
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        open_, above = at["low"] < at["high"], F.get(cuts, middle) <= row
+        return F.struct(F.when(open_ & above, middle + 1).otherwise(at["low"]).alias("low"), F.when(open_ & ~above, middle).otherwise(at["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), start, halve, lambda at: at["low"])
+
+
 def with_chunks(df: DataFrame, order: str | Sequence[str], chunks: int | None = None, like: DataFrame | None = None) -> DataFrame:
     """Add ``_chunk``, non-decreasing in ``order``, with about equal row counts over all keys.
 
-    A leading value that many rows share, and NULL, are cut further by the second order column if that is numeric or a
-    timestamp, so that a hot time or a missing one is spread out too. ``like`` may name a cheaper table with the same leading
-    values to take the cut points from.
+    Cut points of the leading column come from approximate quantiles. A leading value that many rows share, or NULL, is cut
+    further at points over all other order columns, of any type that can be ordered, taken from a sample of some twenty rows a
+    chunk; rows that are equal in all of them are told apart by a hash of the row. Only copies of a whole row stay together.
+    ``like`` may name a cheaper table with the same leading values to take the cut points from; nothing is cut further then.
     """
     lead, *others = [order] if isinstance(order, str) else order
     wanted = chunks or chunk_count(df)
     source = df if like is None else like
-    splittable = like is None and others and isinstance(df.schema[others[0]].dataType, (T.TimestampNTZType, T.TimestampType, T.NumericType))
-    tie = _axis(df, others[0]) if splittable else F.lit(None).cast("double")
-    shares, error = [i / wanted for i in range(1, wanted)], 1.0 / (4 * wanted)
-    axes = source.select(_axis(source, lead).alias("_a"), F.when(F.col(lead).isNull(), tie).cast("double").alias("_b"))
-    cuts, tie_cuts = axes.approxQuantile(["_a", "_b"], shares, error)
+    axis, missing = _axis(df, lead), F.col(lead).isNull()
+    shares = F.array(*(F.lit(i / wanted) for i in range(1, wanted)))
+    facts = source.agg(
+        F.percentile_approx(_axis(source, lead), shares, F.lit(4 * wanted)).alias("cuts"), F.count_if(missing).alias("missing"), F.count(F.lit(1)).alias("rows")
+    ).first()
+    cuts = facts["cuts"] or []
     limit = _told_apart(df.schema[lead].dataType)
-    hot = sorted({v for v, w in zip(cuts, cuts[1:]) if v == w and abs(v) < limit}) if splittable else []
-    if hot:
-        at_hot = source.where(_axis(source, lead).isin(hot)).select(tie.alias("_b"))
-        tie_cuts = [*tie_cuts, *at_hot.approxQuantile("_b", shares, error)]
-    # a hot value gets an interval of its own, which its second column then cuts
-    out = _bucketed(df, _axis(df, lead), [*cuts, *(math.nextafter(v, math.inf) for v in hot)], _CHUNK)
-    if not tie_cuts:
+    hot = sorted({v for v, w in zip(cuts, cuts[1:]) if v == w and abs(v) < limit}) if like is None else []
+    absent = like is None and facts["missing"] * wanted > facts["rows"]
+    # a hot value gets an interval of its own, which the other columns then cut
+    out = _bucketed(df, axis, [*cuts, *(math.nextafter(v, math.inf) for v in hot)], _CHUNK)
+    if not hot and not absent:
         return out
-    tied = F.col(lead).isNull() | _axis(df, lead).isin(hot) if hot else F.col(lead).isNull()
-    start = F.when(F.col(lead).isNull(), F.lit(-1.0)).otherwise(F.col(_CHUNK))
-    part = F.when(tied, F.col(_TIE) / (len(set(tie_cuts)) + 2)).otherwise(0.0)
-    return _bucketed(out, tie, tie_cuts, _TIE).withColumn(_CHUNK, start + part).drop(_TIE)
+    number = F.array_position(F.array(*map(F.lit, hot)), axis) if hot else F.lit(0).cast("long")
+    crowd = F.when(missing, F.lit(-1 if absent else 0).cast("long")).otherwise(number)
+    row = F.struct(*others, _spread(df).alias("_row"))
+    some = int(min(1.0, 20 * wanted / facts["rows"]) * (1 << 30))
+    sample = df.where((crowd != 0) & (F.pmod(_spread(df), F.lit(1 << 30)) < some)).select(crowd.alias("_crowd"), row.alias("_cut")).distinct()
+    pieces = F.ceil(F.size("_s") / 20).cast("int")
+    points = F.transform(F.slice(F.sequence(F.lit(0), pieces), F.lit(2), pieces - 1), lambda i: F.get("_s", F.floor(i * F.size("_s") / pieces).cast("int")))
+    sampled = sample.groupBy("_crowd").agg(F.sort_array(F.collect_list("_cut")).alias("_s"))
+    # a row for each hot value, of which there are fewer than chunks; their cuts are some as many as chunks
+    crowds = checkpointed(sampled.select(F.col("_crowd").alias("_of"), points.alias("_cuts")))
+    placed = out.withColumn("_crowd", crowd).join(F.broadcast(crowds), F.col("_crowd") == F.col("_of"), "left")
+    part = F.when(F.col("_cuts").isNotNull(), _cuts_up_to(F.col("_cuts"), row, 4 * wanted) / (F.size("_cuts") + 1)).otherwise(0.0)
+    start = F.when(F.col("_crowd") == -1, F.lit(-1.0)).otherwise(F.col(_CHUNK))
+    return placed.withColumn(_CHUNK, start + part).drop("_crowd", "_of", "_cuts")
 
 
 def with_position(

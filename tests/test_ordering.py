@@ -125,3 +125,34 @@ def test_hot_and_missing_times_are_cut(spark):
     plain = F.row_number().over(Window.partitionBy("key").orderBy("v", "id"))
     wrong = placed.withColumn("plain", plain).where((F.col("index") != F.col("plain")) & F.col("id").isNotNull())
     assert placed.count() == 3000 and wrong.count() == 0
+
+
+PROBES = {
+    "text ties": (lambda i: (5.0, f"exec_{i:05d}", "x"), ["v", "t"]),
+    "text ties of missing values": (lambda i: (None, f"exec_{i:05d}", "x"), ["v", "t"]),
+    "equal ties": (lambda i: (1.0, "same", f"{i}") if i >= 10 else (float(i), "other", ""), ["v", "t"]),
+    "no tie column": (lambda i: (1.0 if i % 4 else 2.0, f"{i}", "x"), ["v"]),
+    "missing ties": (lambda i: (1.0, None if i % 2 else f"{i}", f"{i % 50}"), ["v", "t", "u"]),
+    "long texts with one beginning": (lambda i: (0.0, "a" * 300 + f"{i:06d}", "x"), ["v", "t"]),
+}
+
+
+@pytest.mark.parametrize("probe", PROBES)
+def test_hot_values_are_cut_by_columns_of_any_type(spark, probe):
+    make, order = PROBES[probe]
+    rows = [("k" if i % 3 else "other", i, *make(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "key string, id long, v double, t string, u string")
+    sizes = [r["n"] for r in with_chunks(df, order, 8).groupBy("_chunk").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 3 * 2000 / 8
+    placed = with_position(df, ["key"], order, chunks=8)
+    rank = F.rank().over(Window.partitionBy("key").orderBy(*order))
+    size = F.count("*").over(Window.partitionBy("key", *order))
+    # among rows that the order does not tell apart, each place is taken once
+    checked = placed.withColumn("low", rank).withColumn("n", size)
+    assert checked.where((F.col("index") < F.col("low")) | (F.col("index") >= F.col("low") + F.col("n"))).count() == 0
+    assert checked.select("key", "index").distinct().count() == 2000
+
+
+def test_copies_of_a_whole_row_are_numbered(spark):
+    df = spark.createDataFrame([("k", 1, 1.0, "t", "u")] * 700 + [("k", i, 2.0, "t", "u") for i in range(300)], "key string, id long, v double, t string, u string")
+    assert sorted(r["index"] for r in with_position(df, ["key"], ["v", "t"], chunks=8).collect()) == list(range(1, 1001))
