@@ -13,6 +13,8 @@ from runloom.functions import prompts as P
 from runloom.functions import text as T
 from runloom.functions.payload import at
 
+GRAM = 6  # code points of the grams that constraints are found by
+FEW = 64  # constraints of a key up to which each output is searched for all of them
 SOFT_MATCH = 0.55  # fixed value: similarity from which an output counts as matching its reference
 
 
@@ -114,30 +116,73 @@ def skip_for_intent(prompt: Column, constraints: Column, expected: Column) -> Co
     return T.let(F.struct(wanted.alias("wanted"), T.keywords(prompt).alias("own")), decided)
 
 
+def _constraint_rows(specs: DataFrame, key: str) -> DataFrame:
+    """One row per ``key`` and distinct constraint that is not empty, with its number and its lower-case text."""
+    wanted = F.filter(F.array_distinct("constraints"), T.non_empty)
+    return specs.select(key, F.posexplode(wanted).alias("constraint_no", "constraint")).withColumn("_low", F.lower("constraint"))
+
+
+def constraint_index(specs: DataFrame, key: str = "workflow_id") -> DataFrame:
+    """Inverted index of a key's constraints, one row per ``key``: ``grams`` and, for each, the constraints behind it.
+
+    Each constraint stands under one of its 6-grams, the one that fewest constraints of the key have: a text without that gram
+    cannot show the constraint. Constraints that are shorter than that stand under no gram, and any text may show them.
+    """
+    rows = _constraint_rows(specs, key)
+    grams = F.array_distinct(_grams(F.col("_low")))
+    spread = rows.select(key, "constraint_no", F.explode(grams).alias("gram"))
+    common = spread.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = spread.join(common, [key, "gram"]).groupBy(key, "constraint_no").agg(F.min(F.struct("_n", "gram"))["gram"].alias("gram"))
+    listed = rows.join(rarest, [key, "constraint_no"], "left").groupBy(key, "gram").agg(
+        F.sort_array(F.collect_list(F.struct("constraint_no", "constraint", F.col("_low").alias("low")))).alias("items")
+    )
+    entry = F.struct("gram", "items")
+    return listed.groupBy(key).agg(F.collect_list(entry).alias("entries"), F.collect_list("gram").alias("grams"), F.sum(F.size("items")).alias("n_constraints"))
+
+
+def _grams(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+
+
+def constraint_candidates(samples: DataFrame, specs: DataFrame, key: str = "workflow_id") -> DataFrame:
+    """``samples`` of keys with constraints and, in ``_low`` and ``_items``, the lower-case output and the constraints to look for in it.
+
+    Long lists are looked up in their index by the grams of the output; of lists of up to ``FEW`` constraints, which are
+    searched faster than grams are made, all are looked for.
+    """
+    low = F.lower(F.coalesce("output_text", F.lit("")))
+    joined = samples.join(constraint_index(specs, key), key).withColumn("_low", low)
+
+    def named(entries: Column) -> Column:
+        return F.flatten(F.transform(entries, lambda e: e["items"]))
+
+    probed = T.let(
+        F.array_intersect(_grams(F.col("_low")), F.col("grams")),
+        lambda found: named(F.filter("entries", lambda e: e["gram"].isNull() | F.array_contains(found, e["gram"]))),
+    )
+    items = F.when(F.col("n_constraints") <= FEW, named(F.col("entries"))).otherwise(probed)
+    return joined.withColumn("_items", items).drop("entries", "grams", "n_constraints")
+
+
 def constraint_hits(samples: DataFrame, specs: DataFrame, key: str = "workflow_id") -> DataFrame:
-    """One row per sample and constraint with ``found``; the output text itself is not copied.
+    """One row per sample and constraint that its output shows, in any case; the output text itself is not copied.
 
     ``specs`` has one row per ``key`` with its ``constraints``.
     """
-    joined = samples.join(specs.select(key, "constraints"), key)
-    wanted = F.filter(F.array_distinct("constraints"), T.non_empty)
-    hits = T.let(
-        F.lower(F.coalesce("output_text", F.lit(""))),
-        lambda low: F.transform(
-            wanted,
-            lambda c, i: F.struct(
-                i.alias("constraint_no"), c.alias("constraint"), F.contains(low, F.lower(c)).alias("found")
-            ),
-        ),
-    )
-    return joined.select(key, "index", F.inline(hits))
+    hits = F.filter("_items", lambda c: F.contains(F.col("_low"), c["low"]))
+    found = constraint_candidates(samples, specs, key).select(key, "index", F.inline(hits))
+    return found.select(key, "index", "constraint_no", "constraint")
 
 
 def constraint_coverage(samples: DataFrame, specs: DataFrame, key: str = "workflow_id") -> DataFrame:
-    """How many outputs of a workflow show each of its constraints."""
-    return constraint_hits(samples, specs, key).groupBy(key, "constraint_no", "constraint").agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if("found").alias("found")
-    )
+    """How many outputs of a workflow there are, and how many show each of its constraints.
+
+    Only what is shown becomes a row; runs are counted once a key and not once a constraint.
+    """
+    runs = samples.groupBy(key).agg(F.count(F.lit(1)).alias("runs"))
+    shown = constraint_hits(samples, specs, key).groupBy(key, "constraint_no").agg(F.count(F.lit(1)).alias("_found"))
+    every = _constraint_rows(specs, key).drop("_low").join(runs, key).join(shown, [key, "constraint_no"], "left")
+    return every.select(key, "constraint_no", "constraint", "runs", F.coalesce("_found", F.lit(0).cast("long")).alias("found"))
 
 
 def parse_sections(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

@@ -135,3 +135,24 @@ def test_intent(spark):
     for prompt, constraints, skipped in rows[1:]:
         df = spark.createDataFrame([(prompt, constraints, [])], "p string, c array<string>, e array<string>")
         assert df.select(X.skip_for_intent(F.col("p"), F.col("c"), F.col("e"))).first()[0] is skipped, prompt
+
+
+def plain_coverage(samples, constraints):
+    return {c: sum(c.lower() in (t or "").lower() for t in samples) for c in dict.fromkeys(constraints) if c}
+
+
+def test_constraints_are_found_through_their_index(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(4000)]
+    constraints = [f"Mention {rng.choice(words)} and {rng.choice(words)}" for _ in range(9980)]
+    constraints += ["a", "é", "𝒳𝒴", "Ende", "x𝒳y𝒴z", "", None, "the end", "İstanbul", "abc\ndef"] + ["the end"] * 10
+    texts = [" ".join(rng.choices(words, k=300)) + " " + rng.choice(constraints[:9980]).upper() for _ in range(40)]
+    texts += [None, "", "THE END\nabc\nDEF", "x𝒳Y𝒴z 𝒳𝒴 İSTANBUL", "é"]
+    samples = spark.createDataFrame([("w", i, t) for i, t in enumerate(texts)] + [("few", 0, "has a and B"), ("none", 0, "x")], "workflow_id string, index long, output_text string")
+    specs = spark.createDataFrame([("w", constraints), ("few", ["A", "b", "c"]), ("idle", ["a"]), ("none", [])], "workflow_id string, constraints array<string>")
+    found = X.constraint_coverage(samples, specs).collect()
+    assert {r.constraint: r.found for r in found if r.workflow_id == "w"} == plain_coverage(texts, constraints)
+    assert {r.runs for r in found if r.workflow_id == "w"} == {len(texts)}
+    assert {(r.workflow_id, r.constraint, r.runs, r.found) for r in found if r.workflow_id != "w"} == {("few", "A", 1, 1), ("few", "b", 1, 1), ("few", "c", 1, 0)}
+    looked = X.constraint_candidates(samples, specs).where("workflow_id = 'w'").agg(F.sum(F.size("_items"))).first()[0]
+    assert looked < 0.02 * len(texts) * len(constraints)
