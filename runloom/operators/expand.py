@@ -57,24 +57,37 @@ def broadcast_inputs(inputs: DataFrame) -> DataFrame:
     )
 
 
-def align_references(runs: DataFrame, references: DataFrame) -> DataFrame:
-    """Pair run *i* with reference *i* of its workflow.
+#: Why a run has no reference text.
+NO_REFERENCE, SURPLUS, MISSING = "workflow has no reference", "beyond the last reference", "reference is missing"
+
+
+def labelled_alignment(runs: DataFrame, references: DataFrame) -> DataFrame:
+    """Every run with its ``reference_text`` or, in ``reason``, why it has none.
 
-    ``runs`` has ``workflow_id, index``; ``references`` has ``workflow_id, index, reference_text``. One
-    reference serves every run; otherwise runs beyond the last reference are dropped and NULL
-    references stay.
+    ``runs`` has ``workflow_id, index``; ``references`` has ``workflow_id, index, reference_text``. One reference serves every
+    run of its workflow, otherwise run *i* is paired with reference *i*.
     """
     shape = references.groupBy("workflow_id").agg(
         F.max("index").alias("_n"), F.min_by("reference_text", "index").alias("_only")
     )
     numbered = references.select("workflow_id", "index", F.col("reference_text").alias("_own"))
-    return (
-        runs.join(shape, "workflow_id")
-        .where((F.col("_n") == 1) | (F.col("index") <= F.col("_n")))
-        .join(numbered, ["workflow_id", "index"], "left")
-        .withColumn("reference_text", F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("_own")))
-        .drop("_n", "_only", "_own")
+    paired = runs.join(shape, "workflow_id", "left").join(numbered, ["workflow_id", "index"], "left")
+    text = F.when(F.col("_n") == 1, F.col("_only")).otherwise(F.col("_own"))
+    reason = (
+        F.when(F.col("_n").isNull(), NO_REFERENCE)
+        .when((F.col("_n") > 1) & (F.col("index") > F.col("_n")), SURPLUS)
+        .when(text.isNull(), MISSING)
     )
+    return paired.withColumns({"reference_text": text, "reason": reason}).drop("_n", "_only", "_own")
+
+
+def align_references(runs: DataFrame, references: DataFrame) -> DataFrame:
+    """Runs within the references of their workflow, with ``reference_text``, NULL where the reference is missing.
+
+    The others, and why, are in :func:`labelled_alignment`.
+    """
+    inside = F.col("reason").isNull() | (F.col("reason") == MISSING)
+    return labelled_alignment(runs, references).where(inside).drop("reason")
 
 
 # Plan joins --------------------------------------------------------------------------------------

@@ -101,6 +101,27 @@ FROM placed p CROSS JOIN n LEFT JOIN benchmark b ON b.item_id + 1 = p."index"
 WHERE workflow_id = 'wf_0' OR p."index" <= n.n""",
 )
 def align_references(spark, folder):
+    return X.align_references(*run_references(spark, folder)).select("workflow_id", "index", "execution_id", "reference_text")
+
+
+@query(
+    "align_references_rejects",
+    f"""WITH {RUNS_SQL}, placed AS (
+  SELECT workflow_id, execution_id, row_number() OVER (PARTITION BY workflow_id ORDER BY ts, seq) AS "index" FROM runs
+), n AS (SELECT count(*) AS n FROM benchmark), l AS (
+SELECT workflow_id, "index", execution_id, CASE WHEN workflow_id = 'wf_9' THEN 'workflow has no reference' WHEN workflow_id = 'wf_0' THEN NULL
+  WHEN "index" > n THEN 'beyond the last reference' WHEN "index" % 5 = 0 THEN 'reference is missing' END AS reason FROM placed, n)
+SELECT * FROM l WHERE reason IS NOT NULL""",
+)
+def align_references_rejects(spark, folder):
+    """Runs that no reference text serves, and why; wf_9 has no reference at all."""
+    placed, references = run_references(spark, folder)
+    labelled = X.labelled_alignment(placed, references.where("workflow_id <> 'wf_9'"))
+    return labelled.where("reason is not null").select("workflow_id", "index", "execution_id", "reason")
+
+
+def run_references(spark, folder):
+    """Numbered runs and the references of their workflows."""
     facts = A.runs(spark, folder).select("workflow_id", "execution_id", "ts", "seq")
     placed = X.run_index(facts, ["workflow_id"], ["ts", "seq"]).withColumnRenamed("run_index", "index")
     workflows = facts.select("workflow_id").distinct()
@@ -111,7 +132,7 @@ def align_references(spark, folder):
     many = items.select(
         F.explode(others).alias("workflow_id"), "index", F.when(F.col("index") % 5 != 0, F.col("text")).alias("reference_text")
     ).join(workflows, "workflow_id", "left_semi")
-    return X.align_references(placed, single.unionByName(many)).select("workflow_id", "index", "execution_id", "reference_text")
+    return placed, single.unionByName(many)
 
 
 @query("plan_dataset_join", f"WITH {PLAN_SQL} SELECT catalog_id, ref_order, dataset FROM refs JOIN ds USING (dataset)")

@@ -45,6 +45,26 @@ def read_run_records(spark, folder):
     return parsed.select("workflow_id", "index", P.metric(F.col("v"), "duration_seconds").alias("duration_seconds"))
 
 
+@query(
+    "read_run_rejects",
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 7 = 3 THEN 'not JSON' WHEN event_id % 11 = 4 THEN 'not a JSON object' WHEN event_id % 13 = 5 THEN 'empty' END AS reason,
+  CASE WHEN event_id % 7 = 3 THEN '{"broken ' || event_id WHEN event_id % 11 = 4 THEN '[' || event_id || ']' WHEN event_id % 13 = 5 THEN '' END AS text FROM events)
+SELECT reason, text, count(*) AS records, (SELECT count(*) FROM events) AS read, (SELECT count(*) FROM e WHERE reason IS NULL) AS valid FROM e WHERE reason IS NOT NULL GROUP BY 1, 2""",
+)
+def read_run_rejects(spark, folder):
+    """The rejected among lines of run records, with the counts observed while all were read."""
+    key = F.col("event_id")
+    good = F.to_json(F.struct(F.lit("w").alias("workflow_id"), key.alias("index")))
+    text = (
+        F.when(key % 7 == 3, F.concat(F.lit('{"broken '), key.cast("string"))).when(key % 11 == 4, F.concat(F.lit("["), key.cast("string"), F.lit("]"))).when(key % 13 == 5, "").otherwise(good)
+    )
+    out = fresh(spark, "rejects")
+    A.table(spark, folder, "events").select(text.alias("value")).write.text(f"{out}/lines")
+    _, rejected, counts = FS.sort_run_records(spark, f"{out}/lines", f"{out}/sorted")
+    grouped = rejected.groupBy("reason", "text").agg(F.count(F.lit(1)).alias("records"))
+    return grouped.withColumns({"read": F.lit(counts["records"]).cast("long"), "valid": F.lit(counts["valid"]).cast("long")})
+
+
 @query("write_run_records", """SELECT 'wf_' || (user_id % 10) AS workflow_id, count(*) AS records FROM events GROUP BY 1""")
 def write_run_records(spark, folder):
     out = fresh(spark, "records")

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions import payload as P
 from runloom.functions.text import is_json_object, let
+from runloom.operators.issues import MAX_FAILURE_RATE, SIMILARITY_THRESHOLD
 from runloom.operators.metrics import runs_failures
 from runloom.operators.normalize import safe_dirname
 
@@ -43,21 +43,29 @@ def write_run_records(records: DataFrame, folder: str) -> None:
     split.write.mode("overwrite").partitionBy("workflow_dir").json(folder)
 
 
-def _record(v: Column, raw: Column, path: Column) -> Column:
-    """Array with the one record of a JSON object, NULL for anything else."""
+#: Why a record is rejected.
+EMPTY, NOT_JSON, NOT_OBJECT = "empty", "not JSON", "not a JSON object"
+
+
+def _labelled(v: Column, raw: Column, path: Column) -> Column:
+    """Struct of a record's fields, or of the reason why it is none."""
     inner = F.try_variant_get(v, "$.result", "variant")
     has_result = F.try_variant_get(v, "$.result", "string").isNotNull()
     number = F.regexp_extract(path, r"run_(\d+)\.json$", 1)
-    record = F.struct(
-        F.coalesce(P.at(v, "$.workflow_id"), F.regexp_extract(path, r"([^/]+)/runs/[^/]+$", 1)).alias("workflow_id"),
-        F.coalesce(F.try_variant_get(v, "$.index", "long"), F.nullif(number, F.lit("")).try_cast("long")).alias("index"),
-        F.when(has_result, F.to_json(inner)).otherwise(raw).alias("payload"),
+    reason = F.when(F.trim(raw) == "", EMPTY).when(v.isNull(), NOT_JSON).when(~is_json_object(v), NOT_OBJECT)
+    fine = reason.isNull()
+    return F.struct(
+        F.when(fine, F.coalesce(P.at(v, "$.workflow_id"), F.regexp_extract(path, r"([^/]+)/runs/[^/]+$", 1))).alias("workflow_id"),
+        F.when(fine, F.coalesce(F.try_variant_get(v, "$.index", "long"), F.nullif(number, F.lit("")).try_cast("long"))).alias("index"),
+        F.when(fine, F.when(has_result, F.to_json(inner)).otherwise(raw)).alias("payload"),
+        reason.alias("reason"),
+        path.alias("path"),
+        F.when(~fine, raw).alias("text"),
     )
-    return F.when(is_json_object(v), F.array(record))
 
 
-def read_run_records(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
-    """Run payloads ``workflow_id, index, payload``; unreadable records are skipped.
+def labelled_run_records(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Every record that is there: ``workflow_id, index, payload`` of the readable ones, ``reason, path, text`` of the others.
 
     ``payload`` is the JSON text of the record's ``result``, else the whole record. With ``one_per_file``
     every file ``<id>/runs/run_<n>.json`` is one record; otherwise the files hold JSON lines. Order by
@@ -65,9 +73,29 @@ def read_run_records(spark: SparkSession, path: str, one_per_file: bool = False)
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=one_per_file)
     placed = lines.select("value", F.col("_metadata.file_path").alias("_path"))
-    return placed.select(
-        F.inline(let(F.try_parse_json("value"), lambda v: _record(v, F.col("value"), F.col("_path"))))
+    return placed.select(F.inline(let(F.try_parse_json("value"), lambda v: F.array(_labelled(v, F.col("value"), F.col("_path"))))))
+
+
+def read_run_records(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Run payloads ``workflow_id, index, payload`` of the readable records; see :func:`labelled_run_records`."""
+    return labelled_run_records(spark, path, one_per_file).where(F.col("reason").isNull()).select("workflow_id", "index", "payload")
+
+
+def sort_run_records(spark: SparkSession, path: str, target: str, one_per_file: bool = False) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """``(records, rejected, counts)``: read once, written below ``target`` and read back from there.
+
+    ``rejected`` has ``reason, path, text``. ``counts`` says how many records there were, how many of them are valid, and how many
+    fell to each reason; the counts are observed while the records are written, so nothing is read twice.
+    """
+    seen = Observation("run records")
+    label = F.col("reason")
+    labelled = labelled_run_records(spark, path, one_per_file).observe(
+        seen, F.count(F.lit(1)).alias("records"), F.count_if(label.isNull()).alias("valid"), *(F.count_if(label == r).alias(r) for r in (EMPTY, NOT_JSON, NOT_OBJECT))
     )
+    labelled.withColumn("rejected", label.isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(target)
+    every = spark.read.schema(labelled.schema.add("rejected", "boolean")).parquet(target)
+    records = every.where(~F.col("rejected")).select("workflow_id", "index", "payload")
+    return records, every.where("rejected").select("reason", "path", "text"), dict(seen.get)
 
 
 def write_runs_summary(results: DataFrame, folder: str) -> None:
@@ -78,45 +106,31 @@ def write_runs_summary(results: DataFrame, folder: str) -> None:
 
 # References --------------------------------------------------------------------------------------
 
-SPEC_SCHEMA = (
-    "path string, expected_outputs array<string>, constraints array<string>, similarity_threshold double, "
-    "max_failure_rate double, max_latency_seconds double"
-)
+SPEC_FIELDS = {
+    "expected_outputs": "array<string>", "constraints": "array<string>", "similarity_threshold": "double", "max_failure_rate": "double",
+    "max_latency_seconds": "double",
+}
+_SPEC_FIELDS = ", ".join(f"{name} {kind}" for name, kind in SPEC_FIELDS.items())
 
 
-def _mapping(text: str) -> dict:
-    """Mapping of a YAML or JSON text; anything else is empty."""
-    try:
-        import yaml
+def _yaml_as_json(texts: pd.Series) -> pd.Series:
+    """JSON of YAML texts, NULL for those that are none."""
+    import yaml
 
-        data = yaml.safe_load(text)
-    except Exception:  # not installed, or not YAML
-        data = None
-    if not data:
+    def converted(text: str) -> str | None:
         try:
-            data = json.loads(text)
-        except ValueError:
-            data = {}
-    return data if isinstance(data, dict) else {}
-
-
-def _specs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        rows = []
-        for path, text in zip(part["path"], part["value"]):
-            data = _mapping(text)
-            latency = data.get("max_latency_seconds")
-            rows.append(
-                {
-                    "path": path,
-                    "expected_outputs": [str(x) for x in data.get("expected_outputs") or []],
-                    "constraints": [str(x) for x in data.get("constraints") or []],
-                    "similarity_threshold": float(data.get("similarity_threshold", 0.72)),
-                    "max_failure_rate": float(data.get("max_failure_rate", 0.2)),
-                    "max_latency_seconds": None if latency is None else float(latency),
-                }
-            )
-        yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in SPEC_SCHEMA.split(", ")])
+            return json.dumps(yaml.safe_load(text), ensure_ascii=False, default=str)
+        except (yaml.YAMLError, TypeError, ValueError):
+            return None
+
+    return texts.map(converted, na_action="ignore")
+
+
+def document_tree(value: Column) -> Column:
+    """VARIANT of a JSON object or YAML mapping, NULL for any other text; JSON does not leave the JVM."""
+    own = F.try_parse_json(value)
+    other = F.pandas_udf(_yaml_as_json, "string")(F.when(~is_json_object(own), value))
+    return let(F.coalesce(F.when(is_json_object(own), own), F.try_parse_json(other)), lambda v: F.when(is_json_object(v), v))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -125,9 +139,27 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
 
 
+def labelled_references(documents: DataFrame) -> DataFrame:
+    """References of ``path, value``, with ``reason`` where a document is no mapping or a field has another type.
+
+    Such a document, or field, counts as left out: it takes its default.
+    """
+    parsed = documents.withColumn("_tree", document_tree(F.col("value"))).withColumn("_spec", F.from_json(F.to_json("_tree"), _SPEC_FIELDS))
+    given = {name: F.try_variant_get("_tree", f"$.{name}", "variant") for name in SPEC_FIELDS}
+    wrong = [
+        F.when(F.col(f"_spec.{name}").isNull() & value.isNotNull() & ~F.is_variant_null(value), f"{name} is no {'list' if kind.startswith('array') else 'number'}")
+        for (name, kind), value in zip(SPEC_FIELDS.items(), given.values())
+    ]
+    reason = F.when(F.col("_tree").isNull(), F.when(F.trim("value") == "", EMPTY).otherwise("no mapping")).otherwise(F.coalesce(*wrong))
+    none = F.array().cast("array<string>")
+    defaults = {"expected_outputs": none, "constraints": none, "similarity_threshold": F.lit(SIMILARITY_THRESHOLD), "max_failure_rate": F.lit(MAX_FAILURE_RATE)}
+    fields = [F.coalesce(F.col(f"_spec.{n}"), defaults[n]).alias(n) if n in defaults else F.col(f"_spec.{n}").alias(n) for n in SPEC_FIELDS]
+    return parsed.select("path", *fields, reason.alias("reason"))
+
+
 def read_reference_spec(spark: SparkSession, path: str) -> DataFrame:
-    """References of YAML or JSON files, missing fields at their defaults."""
-    return read_documents(spark, path).mapInPandas(_specs, SPEC_SCHEMA)
+    """References of YAML or JSON files, missing fields at their defaults; :func:`labelled_references` says what was wrong."""
+    return labelled_references(read_documents(spark, path)).drop("reason")
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,16 +203,9 @@ def read_reference_texts(references: DataFrame, texts: DataFrame) -> DataFrame:
 # Workflow definitions ----------------------------------------------------------------------------
 
 
-def _trees(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        trees = [json.dumps(_mapping(text), ensure_ascii=False, default=str) for text in part["value"]]
-        yield pd.DataFrame({"workflow_id": part["workflow_id"], "path": part["path"], "tree": trees})
-
-
 def parse_definitions(documents: DataFrame) -> DataFrame:
-    """Parse YAML or JSON definitions ``workflow_id, path, value`` into VARIANT ``tree``."""
-    trees = documents.select("workflow_id", "path", "value").mapInPandas(_trees, "workflow_id string, path string, tree string")
-    return trees.withColumn("tree", F.try_parse_json("tree"))
+    """Parse YAML or JSON definitions ``workflow_id, path, value`` into VARIANT ``tree``; what is no mapping is an empty one."""
+    return documents.select("workflow_id", "path", F.coalesce(document_tree(F.col("value")), F.parse_json(F.lit("{}"))).alias("tree"))
 
 
 def read_workflow_dsl(spark: SparkSession, workflows: DataFrame, folder: str) -> DataFrame:

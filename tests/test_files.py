@@ -70,3 +70,44 @@ def test_states_are_appended_and_the_latest_is_found(spark, tmp_path):
     latest = {r.node_id: r.state for r in R.latest_state(spark.read.parquet(str(tmp_path / "s")), "node_id").collect()}
     assert latest == {1: "s2", 2: "t2"}
     assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_rejected_records_are_labelled_and_counted(spark, tmp_path):
+    lines = ['{"workflow_id": "a", "index": 1, "result": {"x": 1}}', "{broken", "[1, 2]", "", "   ", '"text"', '{"workflow_id": "a"}', "null"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "lines.json").write_text("\n".join(lines))
+    records, rejected, counts = FS.sort_run_records(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert sorted((r.reason, r.text) for r in rejected.collect()) == [
+        ("empty", ""), ("empty", "   "), ("not JSON", "{broken"), ("not a JSON object", '"text"'), ("not a JSON object", "[1, 2]"), ("not a JSON object", "null"),
+    ]
+    assert counts == {"records": 8, "valid": 2, "empty": 2, "not JSON": 1, "not a JSON object": 3}
+    assert {(r.workflow_id, r["index"]) for r in records.collect()} == {("a", 1), ("a", None)}
+    assert all(r.path.endswith("lines.json") for r in rejected.collect())
+
+
+def test_odd_references_are_labelled(spark, tmp_path):
+    texts = {
+        "fine.json": '{"constraints": ["x", 3], "max_latency_seconds": 2}', "fine.yaml": "constraints: [y]\nsimilarity_threshold: 0.4\n", "list.yaml": "- 1\n",
+        "broken.yaml": "a: [1\nb: }", "blank.json": " \n", "kind.yaml": "constraints: text\nmax_failure_rate: 0.3\n", "number.json": '{"max_failure_rate": "often"}', "none.json": '{"constraints": null}',
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = {r.path.rsplit("/", 1)[1]: r for r in FS.labelled_references(FS.read_documents(spark, str(tmp_path))).collect()}
+    assert {n: r.reason for n, r in got.items()} == {
+        "fine.json": None, "fine.yaml": None, "list.yaml": "no mapping", "broken.yaml": "no mapping", "blank.json": "empty", "kind.yaml": "constraints is no list",
+        "number.json": "max_failure_rate is no number", "none.json": None,
+    }
+    assert (got["fine.json"].constraints, got["fine.json"].max_latency_seconds, got["fine.yaml"].similarity_threshold) == (["x", "3"], 2.0, 0.4)
+    assert (got["kind.yaml"].constraints, got["kind.yaml"].max_failure_rate, got["number.json"].max_failure_rate) == ([], 0.3, 0.2)
+
+
+def test_runs_without_reference_say_why(spark):
+    from runloom.operators.expand import align_references, labelled_alignment
+
+    runs = spark.createDataFrame([(w, i) for w in ("one", "two", "none") for i in range(1, 5)], "workflow_id string, index long")
+    texts = spark.createDataFrame([("one", 1, "r"), ("two", 1, "a"), ("two", 2, None), ("two", 3, "c")], "workflow_id string, index long, reference_text string")
+    got = {(r.workflow_id, r["index"]): (r.reference_text, r.reason) for r in labelled_alignment(runs, texts).collect()}
+    assert [got["one", i] for i in range(1, 5)] == [("r", None)] * 4
+    assert [got["two", i] for i in range(1, 5)] == [("a", None), (None, "reference is missing"), ("c", None), (None, "beyond the last reference")]
+    assert {got["none", i] for i in range(1, 5)} == {(None, "workflow has no reference")}
+    assert align_references(runs, texts).count() == 4 + 3
