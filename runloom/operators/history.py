@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from runloom.functions.text import draw_order, prompt_hash
 from runloom.operators.metrics import SUCCESS, is_success, join_on, seconds_between
-from runloom.operators.ordering import with_position
+from runloom.operators.ordering import ranks_of_counts
+from runloom.session import checkpointed
 
 # Order of action types when only some may be kept.
 ACTION_PRIORITY = {
@@ -73,12 +74,14 @@ def _cancel_after(tasks: DataFrame, last: DataFrame, everything: bool) -> DataFr
 def stop_max_failures(tasks: DataFrame, max_failures: int) -> DataFrame:
     """Cancel every batch after the one in which the ``max_failures``-th failure happened.
 
-    ``tasks`` has ``workflow_id, index, batch, task_status``. Failures are numbered in chunks, so that a
-    workflow that holds most of them is spread out whatever ``max_failures`` is.
+    ``tasks`` has ``workflow_id, batch, task_status``; batches follow each other by their number. Failures are counted per
+    batch, and only the batches are ranked, in chunks, so that a workflow that holds most of them is spread out
+    whatever ``max_failures`` is.
     """
-    failures = tasks.where(F.col("task_status").isin(*FAILED_STATES)).select("workflow_id", "index", "batch")
-    counted = with_position(failures, ["workflow_id"], ["index"], "_n")
-    last = counted.where(F.col("_n") == max(max_failures, 1)).select("workflow_id", F.col("batch").alias("_last"))
+    failures = tasks.where(F.col("task_status").isin(*FAILED_STATES))
+    counts = checkpointed(failures.groupBy("workflow_id", "batch").agg(F.count(F.lit(1)).alias("_n")))
+    ranks = ranks_of_counts(counts, ["workflow_id"], "batch")
+    last = ranks.where(F.lit(max(max_failures, 1) - 1).between(F.col("lo"), F.col("hi"))).select("workflow_id", F.col("batch").alias("_last"))
     return _cancel_after(tasks, last, max_failures <= 0)
 
 

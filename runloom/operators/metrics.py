@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runloom.operators.ordering import exact_percentiles
+from runloom.operators.ordering import percentiles_of_ranks, ranks_of_counts
+from runloom.session import checkpointed
 
 # The percentile points and the grade thresholds of the run statistics.
 PERCENTILES = {"p50_execution_time": 0.50, "p95_execution_time": 0.95, "p99_execution_time": 0.99}
@@ -41,30 +42,44 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
 
 def percentiles(runs: DataFrame, keys: Sequence[str] = (), value: str = "execution_time") -> DataFrame:
     """p50/p95/p99 with linear interpolation; a group without values gets 0."""
-    groups = runs.groupBy(*keys).agg(F.count(value).alias("_n"))
-    points = exact_percentiles(runs, keys, value, PERCENTILES)
-    joined = join_on(groups, points, keys)
-    return joined.select(*keys, *[F.coalesce(F.col(p), F.lit(0.0)).alias(p) for p in PERCENTILES])
+    counts = checkpointed(runs.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+    groups = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    return _with_percentiles(groups, counts, keys, value).select(*keys, *PERCENTILES)
+
+
+def _with_percentiles(groups: DataFrame, counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    ranks = ranks_of_counts(counts.where(F.col(value).isNotNull()).select(*keys, value, "_n"), keys, value)
+    joined = join_on(groups, percentiles_of_ranks(ranks, keys, value, PERCENTILES), keys)
+    return joined.withColumns({p: F.coalesce(F.col(p), F.lit(0.0)) for p in PERCENTILES})
 
 
 def run_metrics(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The eleven run statistics per group: counts, rate, times, tokens and cost."""
-    total = F.count(F.lit(1))
-    good = F.count_if(F.col("status") == "success")
-    base = runs.groupBy(*keys).agg(
+    """The eleven run statistics per group: counts, rate, times, tokens and cost.
+
+    The runs are read once, into a row per group and execution time that carries counts and sums; totals, cut points and
+    ranks come from that table, which is checkpointed.
+    """
+    time = F.col("execution_time")
+    counts = checkpointed(
+        runs.groupBy(*keys, "execution_time").agg(
+            F.count(F.lit(1)).alias("_n"), F.count_if(F.col("status") == "success").alias("_good"), F.sum("tokens_used").alias("_tokens"), F.sum("cost").alias("_cost")
+        )
+    )
+    total, good, tokens = F.sum("_n"), F.sum("_good"), F.sum("_tokens")
+    timed = F.when(time.isNotNull(), F.col("_n"))
+    base = counts.groupBy(*keys).agg(
         total.alias("total_executions"),
         good.alias("successful_count"),
         (total - good).alias("failed_count"),
         F.try_divide(good, total).alias("success_rate"),
-        F.avg("execution_time").alias("avg_execution_time"),
-        F.sum("tokens_used").alias("total_tokens"),
-        F.sum("cost").alias("total_cost"),
-        F.try_divide(F.sum("tokens_used"), total).alias("avg_tokens_per_request"),
+        F.try_divide(F.sum(time * timed), F.sum(timed)).alias("avg_execution_time"),
+        tokens.alias("total_tokens"),
+        F.sum("_cost").alias("total_cost"),
+        F.try_divide(tokens, total).alias("avg_tokens_per_request"),
     )
     if not keys:
         base = base.where(F.col("total_executions") > 0)
-    joined = join_on(base, exact_percentiles(runs, keys, "execution_time", PERCENTILES), keys)
-    return joined.withColumns({p: F.coalesce(F.col(p), F.lit(0.0)) for p in PERCENTILES})
+    return _with_percentiles(base, counts, keys, "execution_time")
 
 
 def metrics_by_dimensions(runs: DataFrame, dimensions: Sequence[Sequence[str]]) -> DataFrame:

@@ -90,26 +90,24 @@ def _cuts_up_to(cuts: Column, row: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(most.bit_length())), start, halve, lambda at: at["low"])
 
 
-def with_chunks(df: DataFrame, order: str | Sequence[str], chunks: int | None = None, like: DataFrame | None = None) -> DataFrame:
+def with_chunks(df: DataFrame, order: str | Sequence[str], chunks: int | None = None) -> DataFrame:
     """Add ``_chunk``, non-decreasing in ``order``, with about equal row counts over all keys.
 
     Cut points of the leading column come from approximate quantiles. A leading value that many rows share, or NULL, is cut
     further at points over all other order columns, of any type that can be ordered, taken from a sample of some twenty rows a
     chunk; rows that are equal in all of them are told apart by a hash of the row. Only copies of a whole row stay together.
-    ``like`` may name a cheaper table with the same leading values to take the cut points from; nothing is cut further then.
     """
     lead, *others = [order] if isinstance(order, str) else order
     wanted = chunks or chunk_count(df)
-    source = df if like is None else like
     axis, missing = _axis(df, lead), F.col(lead).isNull()
     shares = F.array(*(F.lit(i / wanted) for i in range(1, wanted)))
-    facts = source.agg(
-        F.percentile_approx(_axis(source, lead), shares, F.lit(4 * wanted)).alias("cuts"), F.count_if(missing).alias("missing"), F.count(F.lit(1)).alias("rows")
+    facts = df.agg(
+        F.percentile_approx(axis, shares, F.lit(4 * wanted)).alias("cuts"), F.count_if(missing).alias("missing"), F.count(F.lit(1)).alias("rows")
     ).first()
     cuts = facts["cuts"] or []
     limit = _told_apart(df.schema[lead].dataType)
-    hot = sorted({v for v, w in zip(cuts, cuts[1:]) if v == w and abs(v) < limit}) if like is None else []
-    absent = like is None and facts["missing"] * wanted > facts["rows"]
+    hot = sorted({v for v, w in zip(cuts, cuts[1:]) if v == w and abs(v) < limit})
+    absent = facts["missing"] * wanted > facts["rows"]
     # a hot value gets an interval of its own, which the other columns then cut
     out = _bucketed(df, axis, [*cuts, *(math.nextafter(v, math.inf) for v in hot)], _CHUNK)
     if not hot and not absent:
@@ -150,9 +148,17 @@ def with_position(
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str, chunks: int | None = None) -> DataFrame:
     """One row per (key, value): the 0-based rank range ``lo``..``hi`` it covers and the group size ``n``."""
-    keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    chunked = with_chunks(counts, value, chunks, like=df)
+    return ranks_of_counts(checkpointed(counts), keys, value, chunks)
+
+
+def ranks_of_counts(counts: DataFrame, keys: Sequence[str], value: str, chunks: int | None = None) -> DataFrame:
+    """``value_ranks`` of values that are counted already: ``counts`` has a row per key and value, with ``_n``.
+
+    It should be a stored or checkpointed table, as it is read several times.
+    """
+    keys = list(keys)
+    chunked = with_chunks(counts, value, chunks)
     sizes = chunked.groupBy(*keys, _CHUNK).agg(F.sum("_n").alias("_size"))
     per_key = Window.partitionBy(*keys)
     before = per_key.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -180,7 +186,10 @@ def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], chunks: int | None = None
 ) -> DataFrame:
     """Linearly interpolated percentiles at ``p * (n - 1)``, one row per key."""
-    ranks = value_ranks(df, keys, value, chunks)
+    return percentiles_of_ranks(value_ranks(df, keys, value, chunks), keys, value, points)
+
+
+def percentiles_of_ranks(ranks: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     picks = []
     for name, p in points.items():
         at = F.lit(p) * (F.col("n") - 1)

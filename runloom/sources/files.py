@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.functions import payload as P
-from runloom.functions.text import is_json_object, let
+from runloom.functions.text import is_json_object, let, strip
 from runloom.operators.issues import MAX_FAILURE_RATE, SIMILARITY_THRESHOLD
 from runloom.operators.metrics import runs_failures
 from runloom.operators.normalize import safe_dirname
@@ -52,7 +52,7 @@ def _labelled(v: Column, raw: Column, path: Column) -> Column:
     inner = F.try_variant_get(v, "$.result", "variant")
     has_result = F.try_variant_get(v, "$.result", "string").isNotNull()
     number = F.regexp_extract(path, r"run_(\d+)\.json$", 1)
-    reason = F.when(F.trim(raw) == "", EMPTY).when(v.isNull(), NOT_JSON).when(~is_json_object(v), NOT_OBJECT)
+    reason = F.when(strip(raw) == "", EMPTY).when(v.isNull(), NOT_JSON).when(~is_json_object(v), NOT_OBJECT)
     fine = reason.isNull()
     return F.struct(
         F.when(fine, F.coalesce(P.at(v, "$.workflow_id"), F.regexp_extract(path, r"([^/]+)/runs/[^/]+$", 1))).alias("workflow_id"),
@@ -150,7 +150,7 @@ def labelled_references(documents: DataFrame) -> DataFrame:
         F.when(F.col(f"_spec.{name}").isNull() & value.isNotNull() & ~F.is_variant_null(value), f"{name} is no {'list' if kind.startswith('array') else 'number'}")
         for (name, kind), value in zip(SPEC_FIELDS.items(), given.values())
     ]
-    reason = F.when(F.col("_tree").isNull(), F.when(F.trim("value") == "", EMPTY).otherwise("no mapping")).otherwise(F.coalesce(*wrong))
+    reason = F.when(F.col("_tree").isNull(), F.when(strip(F.col("value")) == "", EMPTY).otherwise("no mapping")).otherwise(F.coalesce(*wrong))
     none = F.array().cast("array<string>")
     defaults = {"expected_outputs": none, "constraints": none, "similarity_threshold": F.lit(SIMILARITY_THRESHOLD), "max_failure_rate": F.lit(MAX_FAILURE_RATE)}
     fields = [F.coalesce(F.col(f"_spec.{n}"), defaults[n]).alias(n) if n in defaults else F.col(f"_spec.{n}").alias(n) for n in SPEC_FIELDS]

@@ -70,3 +70,26 @@ def test_no_local_checkpoints_or_collects_in_the_library():
     text = "\n".join(p.read_text() for p in root.rglob("*.py") if p.relative_to(root).parts[0] != "llm")
     for word in ("localCheckpoint", ".collect()", ".toPandas()", "crossJoin", ".rdd"):
         assert word not in text
+
+
+def scans(spark, job) -> int:
+    """How many times ``job`` reads a Parquet file, over all jobs it runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.executionsList()
+        return {found.apply(i).executionId() for i in range(found.size())}
+
+    before = executions()
+    job()
+    total = 0
+    for number in executions() - before:
+        nodes = store.planGraph(number).allNodes()
+        total += sum(nodes.apply(i).name().startswith("Scan parquet") for i in range(nodes.size()))
+    return total
+
+
+@pytest.mark.parametrize("name, most", [("stats_global", 1), ("stats_by_workflow", 1), ("percentiles", 1), ("stats_by_dimensions", 1)])
+def test_statistics_read_their_runs_once(spark, folder, name, most):
+    assert scans(spark, lambda: queries()[name](spark, folder).collect()) == most
