@@ -56,29 +56,27 @@ def _with_percentiles(groups: DataFrame, counts: DataFrame, keys: Sequence[str],
 def run_metrics(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The eleven run statistics per group: counts, rate, times, tokens and cost.
 
-    The runs are read once, into a row per group and execution time that carries counts and sums; totals, cut points and
-    ranks come from that table, which is checkpointed.
+    The runs are read once, into a checkpointed table of the few narrow columns that count; totals come from its rows in their
+    order, and the ranks from one row per group and execution time.
     """
-    time = F.col("execution_time")
-    counts = checkpointed(
-        runs.groupBy(*keys, "execution_time").agg(
-            F.count(F.lit(1)).alias("_n"), F.count_if(F.col("status") == "success").alias("_good"), F.sum("tokens_used").alias("_tokens"), F.sum("cost").alias("_cost")
-        )
+    narrow = checkpointed(
+        runs.select(*keys, "execution_time", (F.col("status") == "success").alias("_good"), "tokens_used", "cost")
     )
-    total, good, tokens = F.sum("_n"), F.sum("_good"), F.sum("_tokens")
-    timed = F.when(time.isNotNull(), F.col("_n"))
-    base = counts.groupBy(*keys).agg(
+    total = F.count(F.lit(1))
+    good = F.count_if("_good")
+    base = narrow.groupBy(*keys).agg(
         total.alias("total_executions"),
         good.alias("successful_count"),
         (total - good).alias("failed_count"),
         F.try_divide(good, total).alias("success_rate"),
-        F.try_divide(F.sum(time * timed), F.sum(timed)).alias("avg_execution_time"),
-        tokens.alias("total_tokens"),
-        F.sum("_cost").alias("total_cost"),
-        F.try_divide(tokens, total).alias("avg_tokens_per_request"),
+        F.avg("execution_time").alias("avg_execution_time"),
+        F.sum("tokens_used").alias("total_tokens"),
+        F.sum("cost").alias("total_cost"),
+        F.try_divide(F.sum("tokens_used"), total).alias("avg_tokens_per_request"),
     )
     if not keys:
         base = base.where(F.col("total_executions") > 0)
+    counts = checkpointed(narrow.groupBy(*keys, "execution_time").agg(F.count(F.lit(1)).alias("_n")))
     return _with_percentiles(base, counts, keys, "execution_time")
 
 
