@@ -67,6 +67,77 @@ def placeholders_preserved(tokens: Column, text: Column) -> Column:
     return F.array_sort(tokens) == F.array_sort(placeholders(text))
 
 
+# The markers around a message, what stands for them in a masked text, and the lines of a workflow's context.
+ROLE_MARKER = r"</?ROLE::[^>]+::\d+>"
+MARKER_TOKEN = r"\[\[ROLE_MARKER_(\d+)\]\]"
+CONTEXT_NAME, CONTEXT_DESCRIPTION = "Workflow Name:", "Workflow Description:"
+
+
+def marker_token(index: Column) -> Column:
+    return F.concat(F.lit("[[ROLE_MARKER_"), index.cast("string"), F.lit("]]"))
+
+
+def role_markers(text: Column) -> Column:
+    """The markers around messages in their order, equal ones as often as they occur."""
+    return F.regexp_extract_all(text, F.lit(f"({ROLE_MARKER})"), F.lit(1))
+
+
+def mask_role_markers(text: Column) -> Column:
+    """``text`` with a numbered token in place of each marker, by its position."""
+    pieces = F.split(text, ROLE_MARKER, -1)
+    last = F.size(pieces) - 1
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i < last, F.concat(p, marker_token(i))).otherwise(p)), "")
+
+
+def restore_role_markers(text: Column, markers: Column) -> Column:
+    """``text`` with the markers in place of their tokens, in one pass; tokens without a marker stay."""
+    numbers = F.regexp_extract_all(text, F.lit(MARKER_TOKEN), F.lit(1))
+    pieces = F.split(text, MARKER_TOKEN, -1)
+    last = F.size(pieces) - 1
+
+    def joined(found: Column) -> Column:
+        def back(i: Column) -> Column:
+            number = F.get(found, i)
+            return F.coalesce(F.get(markers, number.try_cast("int")), F.concat(F.lit("[[ROLE_MARKER_"), number, F.lit("]]")))
+
+        return F.array_join(F.transform(pieces, lambda p, i: F.when(i < last, F.concat(p, back(i))).otherwise(p)), "")
+
+    return let(numbers, joined)
+
+
+def role_markers_kept(text: Column, markers: Column) -> Column:
+    """Whether every marker's token is in the text, at least once."""
+    return F.forall(F.transform(markers, lambda m, i: marker_token(i)), lambda token: text.contains(token))
+
+
+def workflow_context(text: Column) -> Column:
+    """Struct of name and description from the lines of a context; the last line of each kind counts, NULL without one."""
+    own = F.transform(F.split(strip(text), "\n"), strip)
+
+    def after(label: str, among: Column) -> Column:
+        last = F.try_element_at(F.filter(among, lambda line: line.startswith(label)), F.lit(-1))
+        return strip(F.substring(last, F.lit(len(label) + 1), F.length(last)))
+
+    return let(own, lambda lines_: F.struct(after(CONTEXT_NAME, lines_).alias("name"), after(CONTEXT_DESCRIPTION, lines_).alias("description")))
+
+
+def coerced_text(value: Column) -> Column:
+    """A VARIANT as text: nothing as the empty text, texts as they are, lists and objects as compact JSON, True and False by name."""
+    plain = F.try_variant_get(value, "$", "string")
+    kind = F.schema_of_variant(value)
+    written = (
+        F.when(kind == "BOOLEAN", F.initcap(plain)).when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json(value)).otherwise(plain)
+    )
+    return F.when(value.isNull() | F.is_variant_null(value), F.lit("")).otherwise(F.coalesce(written, F.lit("")))
+
+
+def yes_or_no(answer: Column, otherwise: Column) -> Column:
+    """True for an answer that holds yes and not no, false for the reverse, else what ``otherwise`` says."""
+    low = F.lower(answer)
+    yes, no = low.contains("yes"), low.contains("no")
+    return F.when(yes & ~no, True).when(no & ~yes, False).otherwise(otherwise)
+
+
 def keywords(text: Column) -> Column:
     """Distinct lower-case ASCII words of three or more characters."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -36,6 +36,7 @@ CONSTRAINT_ACTIONS = ("add_global_constraint", "add_constraint")
 MAX_STEPS = 5
 
 Evaluator = Callable[[DataFrame], DataFrame]
+VariantGenerator = Callable[[DataFrame], DataFrame]
 
 
 # Applying actions --------------------------------------------------------------------------------
@@ -189,7 +190,7 @@ def apply_actions(
 # Variants and evaluation -------------------------------------------------------------------------
 
 
-def variant_states(states: DataFrame, count: int = 0) -> DataFrame:
+def strictness_variants(states: DataFrame, count: int = 0) -> DataFrame:
     """The state as it is, one level stricter and one level laxer; ``count`` keeps only the first ones."""
     steps = (0, 1, -1)[: max(1, count)] if count > 0 else (0, 1, -1)
     exploded = states.select("*", F.posexplode(F.array(*map(F.lit, steps))).alias("variant_no", "_step"))
@@ -197,6 +198,22 @@ def variant_states(states: DataFrame, count: int = 0) -> DataFrame:
     return exploded.withColumn("state", F.col("state").withField("strictness_level", level)).drop("_step")
 
 
+def variant_states(states: DataFrame, count: int = 0, generate: VariantGenerator | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Variants of each state, numbered from 0 in ``variant_no``; ``count`` keeps only the first ones of each.
+
+    ``generate`` makes them from ``states``: it returns their columns with other states, any number of rows for each, and
+    ``variant_no``. ``keys`` identify a state and stay with its variants, so each can be traced to where it came from. A state
+    that gets no variant is tried as it is. Without ``generate`` there are three, of different strictness.
+    """
+    if generate is None:
+        return strictness_variants(states, count)
+    made = generate(states).select(*states.columns, F.col("variant_no").cast("long").alias("variant_no"))
+    if count > 0:
+        made = top_rows(made, list(keys), [F.col("variant_no")], count)
+    barren = states.join(made.select(*keys).distinct(), list(keys), "left_anti")
+    return made.unionByName(barren.withColumn("variant_no", F.lit(0).cast("long")))
+
+
 def state_prompt(state: Column) -> Column:
     return restore_contract(render_state(state), state["contract"])
 
@@ -258,6 +275,7 @@ class StepOptions:
 
     beam_width: int = 1
     variants: int = 0
+    generate: VariantGenerator | None = None
     action_budget: int = ACTION_BUDGET
     max_growth: float = MAX_PROMPT_GROWTH
     no_improve_rounds: int = NO_IMPROVE_ROUNDS
@@ -318,8 +336,10 @@ def optimize_step(
     """
     going = nodes.where(F.col("stop_reason").isNull())
     started = beam.join(going.select("node_id", "workflow_id", "workflow_input", "stage"), "node_id")
-    varied = variant_states(started, options.variants)
+    varied = variant_states(started, options.variants, options.generate, ["node_id", "beam_no"])
     tries = 3 if options.variants <= 0 else min(3, options.variants)
+    if options.generate is not None:
+        tries = 1 << 31  # a generator may yield any number
     candidate = F.col("beam_no") * tries + F.col("variant_no")
     candidates = varied.withColumn("seq", candidate).withColumn("prompt", state_prompt(F.col("state")))
     answered = evaluate_candidates(candidates, evaluate)

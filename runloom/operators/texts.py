@@ -86,13 +86,14 @@ def soft_reference_match(rows: DataFrame, reference: str, output: str, threshold
 
 
 def guard_rewrite(rows: DataFrame, text: str, rewritten: str, name: str = "guarded") -> DataFrame:
-    """Accept a rewrite of the masked text only when every placeholder survives as often as before.
+    """Accept a rewrite of the masked text only when every placeholder survives as often as before, and every role marker.
 
-    ``rewritten`` holds the rewritten text with placeholders masked as ``<<<PH_i>>>``; anything else
-    keeps the old text. Without placeholders a non-empty rewrite is taken as it is.
+    ``rewritten`` holds the rewritten text with markers masked as ``[[ROLE_MARKER_i]]`` and placeholders as ``<<<PH_i>>>``;
+    anything else keeps the old text. Without placeholders a non-empty rewrite is taken as it is, if its markers are there.
     """
-    old = F.col(text)
-    staged = rows.withColumn("_tokens", T.placeholders(old))
+    staged = rows.withColumns({"_markers": T.role_markers(F.col(text)), "_unmarked": T.mask_role_markers(F.col(text))})
+    old = F.col("_unmarked")
+    staged = staged.withColumn("_tokens", T.placeholders(old))
     staged = staged.withColumn("_masked", T.mask_placeholders(old, F.col("_tokens")))
     new = F.when(T.non_empty(F.col(rewritten)), F.col(rewritten)).otherwise(F.col("_masked"))
     staged = staged.withColumn("_new", new)
@@ -100,8 +101,9 @@ def guard_rewrite(rows: DataFrame, text: str, rewritten: str, name: str = "guard
     sound = T.tokens_intact(F.col("_masked"), F.col("_new"), F.col("_tokens")) & T.placeholders_preserved(
         F.col("_tokens"), F.col("_restored")
     )
-    guarded = F.when((F.size("_tokens") == 0) | sound, F.col("_restored")).otherwise(old)
-    return staged.withColumn(name, guarded).drop("_tokens", "_masked", "_new", "_restored")
+    kept = T.role_markers_kept(F.col("_restored"), F.col("_markers"))
+    taken = F.when(((F.size("_tokens") == 0) | sound) & kept, T.restore_role_markers(F.col("_restored"), F.col("_markers")))
+    return staged.withColumn(name, F.coalesce(taken, F.col(text))).drop("_tokens", "_masked", "_new", "_restored", "_markers", "_unmarked")
 
 
 def skip_for_intent(prompt: Column, constraints: Column, expected: Column) -> Column:
@@ -269,7 +271,7 @@ def parse_judge_verdict(rows: DataFrame, raw: str) -> DataFrame:
             "missing_items": items("missing_items"),
             "incorrect_items": items("incorrect_items"),
             "_fmt": F.coalesce(~flag.isin("false", "0", "", "[]", "{}"), F.when(readable & F.coalesce(F.is_variant_null(F.try_variant_get(v, "$.format_ok", "variant")), F.lit(False)), False).otherwise(True)),
-            "_reason": F.coalesce(F.nullif(at(v, "$.reason"), F.lit("")), F.col(raw)),
+            "_reason": F.coalesce(F.nullif(T.coerced_text(F.try_variant_get(v, "$.reason", "variant")), F.lit("")), F.col(raw)),
             "_given": F.nullif(F.lower(at(v, "$.severity")), F.lit("")),
         }
     )

@@ -51,6 +51,61 @@ def guard_rewrite(spark, folder):
     return X.guard_rewrite(rows.withColumn("rewritten", rewritten), "text", "rewritten").select("doc_id", "guarded")
 
 
+@query(
+    "mask_role_markers",
+    """SELECT doc_id, '[[ROLE_MARKER_0]]' || chr(10) || text || chr(10) || '[[ROLE_MARKER_1]]' || chr(10) || '[[ROLE_MARKER_2]]' || lang || '[[ROLE_MARKER_3]]' AS masked,
+  CASE doc_id % 3 WHEN 0 THEN '<ROLE::system::0>' || chr(10) || 'new ' || lang || chr(10) || '</ROLE::system::0>' || chr(10) || '<ROLE::user::1>' || lang || '</ROLE::user::1>'
+  ELSE '<ROLE::system::0>' || chr(10) || text || chr(10) || '</ROLE::system::0>' || chr(10) || '<ROLE::user::1>' || lang || '</ROLE::user::1>' END AS guarded FROM documents""",
+)
+def mask_role_markers(spark, folder):
+    """Blocks with their markers masked, and rewrites that keep, lose or garble a marker."""
+    text = F.concat(F.lit("<ROLE::system::0>\n"), "text", F.lit("\n</ROLE::system::0>\n<ROLE::user::1>"), "lang", F.lit("</ROLE::user::1>"))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", text.alias("block"))
+    key, masked = F.col("doc_id"), T.mask_role_markers(F.col("block"))
+    new = F.concat(F.lit("[[ROLE_MARKER_0]]\nnew "), "lang", F.lit("\n[[ROLE_MARKER_1]]\n[[ROLE_MARKER_2]]"), "lang", F.lit("[[ROLE_MARKER_3]]"))
+    lost = F.replace(new, F.lit("[[ROLE_MARKER_1]]"), F.lit(""))
+    garbled = F.replace(new, F.lit("[[ROLE_MARKER_3]]"), F.lit("[[ROLE_MARKER_33]]"))
+    rows = docs.withColumns({"masked": masked, "rewritten": F.when(key % 3 == 0, new).when(key % 3 == 1, lost).otherwise(garbled)})
+    return X.guard_rewrite(rows, "block", "rewritten").select("doc_id", "masked", "guarded")
+
+
+@query(
+    "workflow_context",
+    """SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN source END AS name, CASE WHEN doc_id % 4 <> 1 THEN 'about ' || lang END AS description FROM documents""",
+)
+def workflow_context(spark, folder):
+    key = F.col("doc_id")
+    name = F.when(key % 4 != 0, F.concat(F.lit("  Workflow Name:  "), "source", F.lit(" \n")))
+    about = F.when(key % 4 != 1, F.concat(F.lit("Workflow Description: first\n\tWorkflow Description: about "), "lang"))
+    text = F.concat(F.lit("\n"), F.coalesce(name, F.lit("Workflow: none\n")), F.coalesce(about, F.lit("")))
+    found = table(spark, folder, "documents").select("doc_id", T.workflow_context(text).alias("c"))
+    return found.select("doc_id", "c.name", "c.description")
+
+
+@query(
+    "coerce_text",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN lang WHEN 1 THEN '{"lang":"' || lang || '","list":[1,2]}' WHEN 2 THEN 'True' WHEN 3 THEN '' ELSE '' || doc_id END AS text FROM documents""",
+)
+def coerce_text(spark, folder):
+    key = F.col("doc_id")
+    quoted = F.concat(F.lit('"'), "lang", F.lit('"'))
+    raw = (
+        F.when(key % 5 == 0, quoted).when(key % 5 == 1, F.concat(F.lit('{"list":[1, 2], "lang": '), quoted, F.lit("}"))).when(key % 5 == 2, "true").when(key % 5 == 3, "null")
+        .otherwise(key.cast("string"))
+    )
+    return table(spark, folder, "documents").select("doc_id", T.coerced_text(F.try_parse_json(raw)).alias("text"))
+
+
+@query(
+    "yes_no_verdict",
+    """SELECT doc_id, CASE WHEN contains(lower(text), 'yes') AND NOT contains(lower(text), 'no') THEN true WHEN contains(lower(text), 'no') AND NOT contains(lower(text), 'yes') THEN false
+  ELSE doc_id % 2 = 0 END AS wanted FROM documents""",
+)
+def yes_no_verdict(spark, folder):
+    verdict = T.yes_or_no(F.col("text"), F.col("doc_id") % 2 == 0)
+    return table(spark, folder, "documents").select("doc_id", verdict.alias("wanted"))
+
+
 def paired(spark, folder):
     """Outputs next to the first expected output of their workflow."""
     specs = A.reference_specs(spark, folder)

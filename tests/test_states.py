@@ -179,3 +179,21 @@ def test_round_report(spark, samples, specs):
     assert (stats.runs, stats.failures, stats.prompts_need_change) == (3, 1, 1)
     sections = {r.section for r in R.patches_report(result).collect()}
     assert sections == {"issues", "actions", "patches", "stats"}
+
+
+def test_generated_variants_none_one_and_many(spark):
+    states = state_of(spark, "plain").crossJoin(spark.createDataFrame([(i,) for i in range(3)], "beam_no long"))
+
+    def generate(given):
+        many = F.array_repeat(F.lit(0), F.when(F.col("beam_no") == 2, 5).otherwise(F.col("beam_no")).cast("int"))
+        made = given.select("*", F.posexplode(many).alias("variant_no", "_x")).drop("_x")
+        return made.withColumn("state", F.col("state").withField("role", F.concat(F.lit("v"), F.col("variant_no").cast("string"))))
+
+    def found(**options):
+        rows = S.variant_states(states, generate=generate, keys=["node_id", "beam_no"], **options).collect()
+        return sorted((r.beam_no, r.variant_no, r.state.role) for r in rows)
+
+    as_it_is = states.first().state.role
+    assert found() == sorted([(0, 0, as_it_is), (1, 0, "v0"), *((2, i, f"v{i}") for i in range(5))])
+    assert found(count=2) == sorted([(0, 0, as_it_is), (1, 0, "v0"), (2, 0, "v0"), (2, 1, "v1")])
+    assert S.variant_states(states).count() == 9 and S.variant_states(states, 2).count() == 6

@@ -156,3 +156,39 @@ def test_constraints_are_found_through_their_index(spark):
     assert {(r.workflow_id, r.constraint, r.runs, r.found) for r in found if r.workflow_id != "w"} == {("few", "A", 1, 1), ("few", "b", 1, 1), ("few", "c", 1, 0)}
     looked = X.constraint_candidates(samples, specs).where("workflow_id = 'w'").agg(F.sum(F.size("_items"))).first()[0]
     assert looked < 0.01 * len(texts) * len(constraints)
+
+
+BLOCK = "<ROLE::system::0>\nYou {{x}}\n</ROLE::system::0>\n<ROLE::user::1>\nask\n</ROLE::user::1>"
+
+
+@pytest.mark.parametrize("rewritten, want", [
+    ("[[ROLE_MARKER_0]]\nWe <<<PH_0>>>\n[[ROLE_MARKER_1]]\n[[ROLE_MARKER_2]]\nbeg\n[[ROLE_MARKER_3]]", BLOCK.replace("You", "We").replace("ask", "beg")),
+    ("[[ROLE_MARKER_0]] <<<PH_0>>> [[ROLE_MARKER_1]] [[ROLE_MARKER_2]]", BLOCK),  # a lost marker
+    ("[[ROLE_MARKER_0]] [[ROLE_MARKER_1]] [[ROLE_MARKER_2]] [[ROLE_MARKER_3]]", BLOCK),  # a lost placeholder
+    # a doubled marker is there, so it is taken as it stands
+    ("[[ROLE_MARKER_0]][[ROLE_MARKER_0]]<<<PH_0>>>[[ROLE_MARKER_1]][[ROLE_MARKER_2]][[ROLE_MARKER_3]]",
+     "<ROLE::system::0><ROLE::system::0>{{x}}</ROLE::system::0><ROLE::user::1></ROLE::user::1>"),
+    (None, BLOCK), ("", BLOCK),
+])
+def test_rewrites_keep_their_role_markers(spark, rewritten, want):
+    rows = spark.createDataFrame([(BLOCK, rewritten)], "t string, r string")
+    assert X.guard_rewrite(rows, "t", "r").first().guarded == want
+
+
+def test_many_markers_are_masked_by_position(spark):
+    text = "".join(f"<ROLE::user::1>{i}" for i in range(25)) + "[[ROLE_MARKER_99]]"
+    masked = one(spark, text, T.mask_role_markers)
+    assert masked == "".join(f"[[ROLE_MARKER_{i}]]{i}" for i in range(25)) + "[[ROLE_MARKER_99]]"
+    back = one(spark, text, lambda t: T.restore_role_markers(T.mask_role_markers(t), T.role_markers(t)))
+    assert back == text and one(spark, "", T.mask_role_markers) == "" and one(spark, None, T.mask_role_markers) is None
+
+
+def test_context_lines(spark):
+    read = lambda text: tuple(one(spark, text, T.workflow_context))
+    assert read("Workflow Name: a b \n Workflow Description:c: d\nWorkflow Name: last") == ("last", "c: d")
+    assert read("Workflow Name:\nname: x") == ("", None) and read("") == (None, None)
+
+
+@pytest.mark.parametrize("answer, want", [("Yes.", True), ("NO", False), ("yes and no", None), ("I do not know", False), ("maybe", None), (None, None)])
+def test_yes_or_no(spark, answer, want):
+    assert one(spark, answer, lambda t: T.yes_or_no(F.coalesce(t, F.lit("")), F.lit(None).cast("boolean"))) is want
