@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from runloom.operators import metrics as M
 from runloom.operators import reports as R
 from runloom.plans.normalize import DURATION_SQL, EV
-from runloom.plans.registry import query
+from runloom.plans import metrics as _metrics  # noqa: F401  its SQL describes what is exported
+from runloom.plans.registry import SQL, query
 from runloom.sources import adapters as A
 from runloom.sources import files as FS
+from runloom.sources import store as ST
 from runloom.sources.adapters import RUNS_SQL, SPECS_SQL
 from runloom.session import shared_folder
 
@@ -180,6 +182,56 @@ def read_workflow_dsl(spark, folder):
     return graphs.select("workflow_id", "g.pointer", F.size(nodes).alias("nodes"), text.alias("text"))
 
 
+def exported(spark, folder):
+    out = fresh(spark, "export")
+    R.export_results(M.classify_runs(A.runs(spark, folder)), out)
+    return out
+
+
+@query("export_details", SQL["details_report"])
+def export_details(spark, folder):
+    """The details sheet as it is read back."""
+    return spark.read.parquet(f"{exported(spark, folder)}/details")
+
+
+@query("export_performance", SQL["performance_report"])
+def export_performance(spark, folder):
+    """The performance sheet as it is read back."""
+    return spark.read.parquet(f"{exported(spark, folder)}/performance")
+
+
+@query("export_overview", SQL["overview_report"])
+def export_overview(spark, folder):
+    """All lines of the overview as they are read back."""
+    return spark.read.schema("metric string, value string").json(f"{exported(spark, folder)}/overview")
+
+
+@query(
+    "record_store",
+    f"""{EV} SELECT workflow_id, event_id AS "index", props AS payload FROM ev WHERE workflow_id = 'wf_3' UNION ALL SELECT 'all', count(*), NULL FROM ev""",
+)
+def record_store(spark, folder):
+    """The records of one workflow from an indexed store, and how many the store holds."""
+    out = fresh(spark, "store")
+    paid = A.table(spark, folder, "events").select(
+        F.concat(F.lit("wf_"), (F.col("user_id") % 10).cast("string")).alias("workflow_id"), F.col("event_id").alias("index"), F.col("props").alias("payload")
+    )
+    ST.write_store(paid, out, "workflow_id", ["index"], rows_per_file=1000)
+    total = ST.store_index(spark, out).agg(F.lit("all").alias("workflow_id"), F.sum("rows").alias("index"), F.lit(None).cast("string").alias("payload"))
+    return ST.read_key(spark, out, "workflow_id", "wf_3").unionByName(total)
+
+
+@query("reference_text_store", "SELECT item_id, text AS reference_text FROM benchmark UNION ALL SELECT item_id + 1000000, NULL FROM benchmark")
+def reference_text_store(spark, folder):
+    """Reference texts of many workflows in few files, joined by their path."""
+    out = fresh(spark, "texts")
+    path = F.concat(F.lit("refs/"), F.col("item_id").cast("string"), F.lit(".txt"))
+    items = A.table(spark, folder, "benchmark").select("item_id", "text", path.alias("path"))
+    ST.write_store(items.select("path", F.col("text").alias("value")), out, "path", rows_per_file=50)
+    references = items.select("item_id", "path").unionByName(items.select((F.col("item_id") + 1_000_000).alias("item_id"), F.concat("path", F.lit(".gone")).alias("path")))
+    return FS.read_reference_texts(references, ST.read_store(spark, out))
+
+
 @query("export_results", "SELECT 'details' AS sheet, count(*) AS n FROM events UNION ALL SELECT 'performance', count(DISTINCT user_id % 10) FROM events UNION ALL SELECT 'overview', 15")
 def export_results(spark, folder):
     out = fresh(spark, "export")

@@ -111,3 +111,20 @@ def test_runs_without_reference_say_why(spark):
     assert [got["two", i] for i in range(1, 5)] == [("a", None), (None, "reference is missing"), ("c", None), (None, "beyond the last reference")]
     assert {got["none", i] for i in range(1, 5)} == {(None, "workflow has no reference")}
     assert align_references(runs, texts).count() == 4 + 3
+
+
+def test_a_key_is_read_from_the_files_that_hold_it(spark, tmp_path):
+    from runloom.sources import store as ST
+
+    folder = str(tmp_path / "store")
+    rows = [(f"k{i:03d}", j, f"{i}-{j}") for i in range(100) for j in range(10)] + [("k050", j, f"hot-{j}") for j in range(10, 600)] + [(None, 0, "none")]
+    df = spark.createDataFrame(rows, "k string, n long, v string")
+    ST.write_store(df, folder, "k", ["n"], rows_per_file=100)
+    index = ST.store_index(spark, folder).collect()
+    assert sum(r.rows for r in index) == len(rows) and len(index) == 16
+    for key in ("k007", "k050", "k099", "none of them", None):
+        got = ST.read_key(spark, folder, "k", key)
+        assert sorted(r.v for r in got.collect()) == sorted(v for k, _, v in rows if k == key)
+        opened = len(got.inputFiles())
+        assert opened <= (9 if key == "k050" else 2)
+    assert ST.read_store(spark, folder).count() == len(rows)
