@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from runloom.llm.common import fresh, ship_package
 
 # Fixed values of HTML: elements whose content is no text, without content, inline, and never part of an article.
-_RAW = "script|style|noscript|template|iframe|svg|canvas|audio|video|select|textarea|title|annotation|annotation-xml"
+_RAW = frozenset("script style noscript template iframe svg canvas audio video select textarea title annotation annotation-xml".split())
+#: Of these, the ones that a slash before the closing bracket ends.
+_FOREIGN = frozenset("svg annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
@@ -34,44 +37,53 @@ _AROUND = frozenset(
 )
 _ARTICLE = frozenset("article content main post story entry body text".split())
 
+#: Of the words above, those of what readers wrote: often longer than the article.
+_READERS = frozenset("comment comments disqus reply replies respondlist".split())
+
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s>/])(?>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*))>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*))>",
     re.S | re.I,
 )
+#: Where an element without text ends if nothing closes it: at the next block, or the end of one.
+_EDGE = re.compile(rf"<(?:{'|'.join(sorted(_CLOSES_P))}|body|li|td|tr)(?=[\s>/])|</(?:{'|'.join(sorted(_CLOSES_P))}|body|html|li|td|tr|head)\s*>", re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDES = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "outside", "score", "chars", "linked", "depth")
+    __slots__ = ("tag", "parent", "outside", "inside", "marked", "score", "chars", "linked", "depth", "flows", "group")
 
-    def __init__(self, tag, parent, outside):
-        self.tag, self.parent, self.outside = tag, parent, outside
+    def __init__(self, tag, parent, attrs):
+        self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        #: part of an article by its elements, so that a header belongs to it
+        self.inside = bool(parent) and (parent.inside or parent.tag in ("article", "main"))
+        self.outside, self.marked = _surrounds(tag, attrs, self) if parent else (False, "")
+        self.score, self.chars, self.linked, self.flows, self.group = 0.0, 0, 0, [0.0] * 4, None
 
 
-def _surrounds(tag: str, attrs: str, parent: _Node) -> bool:
-    if parent.outside or tag in _OUTSIDE:
-        return True
-    inside = parent
-    while inside and inside.tag not in ("article", "main"):
-        inside = inside.parent
-    if tag == "header" and not inside:
-        return True
+def _surrounds(tag: str, attrs: str, node: _Node) -> tuple[bool, str]:
+    """Whether an element is no part of an article by its kind, and what the words of its class, id and role speak for."""
+    if node.parent.outside or tag in _OUTSIDE or tag == "header" and not node.inside:
+        return True, ""
     if not attrs or tag in ("body", "html", "article", "main"):
-        return False
+        return False, ""
     names = {w for m in _NAMED.finditer(attrs) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(names & _AROUND and not names & _ARTICLE) or bool({"comment", "comments"} & names) or bool(_HIDES.search(attrs))
+    if _HIDES.search(attrs):
+        return True, ""
+    if names & _READERS and ({"comment", "comments"} & names or not names & _ARTICLE):
+        return False, "readers"
+    return False, "around" if names & _AROUND and not names & _ARTICLE else ""
 
 
-def _parse(page: str) -> list[tuple[_Node, str, int, int]]:
-    """Blocks of text outside of menus and the like: (node, text, characters, characters in links)."""
-    root = here = _Node("", None, False)
-    blocks: list = []
+def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int, int]]]:
+    """Elements, each after its parent, and blocks of text outside of menus and the like: (node, text, characters, characters in links)."""
+    root = here = _Node("", None, "")
+    nodes, blocks = [root], []
     pieces: list[str] = []
     link, linked, at = 0, 0, 0
+    open_tags: Counter = Counter()
+    low, last_end = page.lower(), {}
 
     def text(raw: str):
         nonlocal linked
@@ -89,7 +101,25 @@ def _parse(page: str) -> list[tuple[_Node, str, int, int]]:
             pieces.clear()
         linked = 0
 
-    for token in _TOKEN.finditer(page):
+    def leave():
+        nonlocal here
+        open_tags[here.tag] -= 1
+        here = here.parent
+
+    def without(tag: str, attrs: str, end: int) -> int:
+        """Where the page goes on after an element without text."""
+        if attrs.endswith("/") and tag in _FOREIGN:
+            return end
+        if tag not in last_end:
+            last_end[tag] = low.rfind(f"</{tag}")
+        if last_end[tag] >= end:
+            closed = re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+            if closed:
+                return closed.end()
+        edge = _EDGE.search(page, end)
+        return edge.start() if edge else len(page)
+
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             text(page[at : token.start()])
         at = token.end()
@@ -97,6 +127,10 @@ def _parse(page: str) -> list[tuple[_Node, str, int, int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _RAW:
+            if not token["end"]:
+                at = without(tag, token["attrs"], at)
+            continue
         if tag in _INLINE or tag in _VOID and tag != "hr":
             if tag == "a":
                 link = 0 if token["end"] else 1
@@ -107,78 +141,121 @@ def _parse(page: str) -> list[tuple[_Node, str, int, int]]:
         flush()
         link = 0
         if token["end"]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if open_tags[tag]:
+                while here.tag != tag:
+                    leave()
+                leave()
             continue
         if tag in _CLOSES_P:
-            node = here
-            while node is not root and node.tag in ("p", "dt", "dd"):
-                node = node.parent
-            here = node
+            while here is not root and here.tag in ("p", "dt", "dd"):
+                leave()
         elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and here.tag == tag:
-            here = here.parent
+            leave()
         if tag != "hr" and not token["attrs"].endswith("/"):
-            here = _Node(tag, here, _surrounds(tag, token["attrs"], here))
+            here = _Node(tag, here, token["attrs"])
+            nodes.append(here)
+            open_tags[tag] += 1
     text(page[at:])
     flush()
-    return blocks
+    return nodes, blocks
+
+
+def _points(node: _Node, whole: str, chars: int, linked: int) -> float:
+    return (1 + whole.count(",") + min(chars / 100, 3)) * (1 - linked / chars) if node.tag in _PARAGRAPH or not node.tag else 0.0
+
+
+def _without_marked(nodes: list[_Node], blocks: list) -> list:
+    """The blocks that no marked element holds, where the marks are to be believed.
+
+    The words of a class only speak against an element. One that holds four times the points of all that is not marked is no
+    surroundings; what readers wrote can be longer than an article, so it is let in only if there is nothing else.
+    """
+    while True:
+        held: dict[_Node, float] = {}
+        free, kept = 0.0, []
+        for node in nodes:
+            node.group = node if node.marked else node.parent and node.parent.group
+        for block in blocks:
+            owner = block[0].group
+            if owner is None:
+                kept.append(block)
+                free += _points(*block)
+            else:
+                held[owner] = held.get(owner, 0.0) + _points(*block) + 1e-9
+        wrong = [n for n, p in held.items() if p > (4 * free if n.marked == "around" else 0 if not kept else float("inf"))]
+        around = [n for n in wrong if n.marked == "around"]
+        if not wrong:
+            return kept
+        worst = max(around or wrong, key=lambda n: (held[n], -n.depth))
+        while worst:  # what holds it is no surroundings either
+            worst.marked = ""
+            worst = worst.parent and worst.parent.group
+
+
+def _scored(nodes: list[_Node], blocks: list) -> None:
+    """Points, characters and characters in links of all elements, from the leaves up in one pass.
+
+    A block's points go whole to its parent, by half to the next ancestor, by a sixth to the third, and by two thirds of that
+    which came last to each further one.
+    """
+    for node, whole, chars, linked in blocks:
+        node.chars += chars
+        node.linked += linked
+        node.flows[0] += _points(node, whole, chars, linked)
+    for node in reversed(nodes):
+        own, first, second, rest = node.flows
+        # the paragraph itself stands for its block
+        stands = node.tag in ("p", "li", "td", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6")
+        node.score = (0.0 if stands else own) + first + second / 2 + rest
+        if up := node.parent:
+            up.chars += node.chars
+            up.linked += node.linked
+            up.flows[1] += own
+            up.flows[2] += first
+            up.flows[3] += second / 6 + rest * 2 / 3
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: blocks joined by two line ends; empty for null or a page without text."""
-    blocks = _parse(page) if page else []
+    nodes, blocks = _parse(page) if page else ([], [])
+    blocks = _without_marked(nodes, blocks) if blocks else []
     if not blocks:
         return ""
-    nodes: dict[int, _Node] = {}
-    for node, whole, chars, linked in blocks:
-        points = (1 + whole.count(",") + min(chars / 100, 3)) * (1 - linked / chars) if node.tag in _PARAGRAPH or not node.tag else 0.0
-        up, step = node, 0
-        while up:
-            nodes[id(up)] = up
-            up.chars += chars
-            up.linked += linked
-            # the paragraph itself stands for its block; its parent gets all points, others ever less
-            if step:
-                up.score += points if step == 1 else points / (2 if step == 2 else 3 * (step - 1))
-            elif node.tag not in ("p", "li", "td", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6"):
-                up.score += points
-            up, step = up.parent, step + 1
+    _scored(nodes, blocks)
+
+    def plain(n: _Node) -> float:
+        return n.score * (1 - n.linked / n.chars)
 
     def weight(n: _Node) -> float:
-        bonus = 25 if n.tag in ("article", "main") else 0
-        return (n.score + bonus) * (1 - n.linked / n.chars)
+        return plain(n) + (25 if n.tag in ("article", "main") else 0) * (1 - n.linked / n.chars)
 
-    best = max(nodes.values(), key=lambda n: (weight(n), n.chars, -n.depth))
+    best = max((n for n in nodes if n.chars), key=lambda n: (weight(n), n.chars, -n.depth))
     top = weight(best)
     while best.parent and best.parent.tag not in ("", "html", "body") and (
         best.tag not in ("article", "main") and weight(best.parent) >= 0.5 * top
     ):
         best = best.parent
-    whole_best = best
+    stories = Counter(n.parent for n in nodes if n.tag == "article")
     up = best.parent
-    while up:
+    # of several articles side by side the best one is the page's
+    while up and not (best.tag == "article" and stories[best.parent] > 1):
         if up.tag in ("article", "main"):
-            whole_best = up
+            best = up
             break
         up = up.parent
-    best = whole_best
+    text_top = plain(best)
 
     def sibling(n: _Node) -> bool:
         if n is best:
             return True
         if n.parent is not best.parent or n.linked > 0.25 * n.chars:
             return False
-        return n.tag in ("p", "h1", "h2", "blockquote", "pre") or weight(n) >= 0.2 * top
-
-    parts = []
-    for node, *_ in blocks:
-        up = node
-        while up and up is not best and up.parent is not best.parent:
-            up = up.parent
-        parts.append(up)
+        # an article beside the best one is another story unless its own text says otherwise
+        return n.tag in ("p", "h1", "h2", "blockquote", "pre") or (weight(n) >= 0.2 * top and (n.tag not in ("article", "main") or plain(n) >= 0.2 * text_top))
+
+    for node in nodes:  # which part beside the best one, or the best one, holds a block
+        node.group = node if node is best or node.parent is not None and node.parent is best.parent else node.parent and node.parent.group
+    parts = [block[0].group for block in blocks]
     kept = [up is not None and (best.parent is None or sibling(up)) for up in parts]
     first, last = kept.index(True), len(kept) - kept[::-1].index(True)
     for i in range(first, last):
@@ -204,10 +281,11 @@ def extract_text(pages: DataFrame, text: str = "text") -> DataFrame:
 
     Blocks of text pass points for their length and commas to their ancestors, discounted by the share of text in links; the
     best container and its fitting siblings are kept, whole, in page order. Menus, headers, footers, sidebars, notices, adverts,
-    forms, scripts and comments are left out by element and by the words of class, id and role.
+    forms, scripts and comments are left out by element and by the words of class, id and role; the words only speak against an
+    element, and one that holds nearly all of the text is kept.
 
-    * null or empty html, or a page without text: the empty string; * unclosed elements end with what surrounds them; * very
-    long pages are read in one pass; * rows are independent, so repeated rows give repeated results; * a column that has
+    * null or empty html, or a page without text: the empty string; * unclosed elements end with what surrounds them, those
+    without text at the next block; * a page is read in one pass and its elements are scored in another, however long or deep; * rows are independent, so repeated rows give repeated results; * a column that has
     the name ``text`` already keeps it, and the text gets a free name.
     """
     ship_package(pages.sparkSession)

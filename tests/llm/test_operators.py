@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -122,6 +123,60 @@ def test_html_keeps_headings_lists_tables_and_formulas():
     assert html.main_text(inside) == "Let x=1 holda figure of x."
 
 
+STORY = "<p>" + "long, text, of, it " * 20 + "</p>"
+TEASER = "<article><p>Another story, in short</p></article>"
+
+
+@pytest.mark.parametrize("page, parts", [
+    (f'<div class="page share">{STORY * 3}</div>', 3), (f'<div class="social-policy">{STORY * 3}</div>', 3), (f'<div id=sidebar><div class="side ad">{STORY * 3}</div></div>', 3),
+    (f'<article><div class="reader-view">{STORY * 3}</div></article>', 3), (f'<article>{STORY * 2}<svg viewBox="0 0 1 1"/>{STORY}</article>', 3),
+    (f"<article>{STORY}<select name=x><option>no{STORY}</article>", 2), (f"<article>{STORY}<![CDATA[ x > y ]]>{STORY}</article>", 2),
+    (f"<main><article>{STORY * 3}</article>{TEASER}</main>", 3), (f"<body><article>{STORY * 3}</article>{TEASER}</body>", 3),
+    (f'<article>{STORY}<div class="related">{STORY * 3}</div></article>', 1), (f'<article>{STORY}<div class="comments">{STORY * 9}</div></article>', 1),
+])
+def test_html_of_odd_pages(page, parts):
+    assert html.main_text(page) == "\n\n".join([("long, text, of, it " * 20).strip()] * parts)
+
+
+def test_html_of_deep_and_broken_pages_takes_time_in_proportion():
+    def seconds(page):
+        start = time.perf_counter()
+        assert html.main_text(page)
+        return time.perf_counter() - start
+
+    for piece in ("<div>y", "<div>y</x></p>", "<p>a, b<select><option>x", "<p>x<svg", "<li>a<ul>"):
+        short, long = seconds(piece * 5000), seconds(piece * 50_000)
+        assert long < 40 * max(short, 0.02), piece
+    assert seconds("<div>y" * 200_000) < 60
+
+
+def plain_scores(nodes, blocks):
+    """Points by walking up from every block, as far as the root."""
+    out = {id(n): [0.0, 0, 0] for n in nodes}
+    for block in blocks:
+        points, share, up, step = html._points(*block), 1.0, block[0], 0
+        while up:
+            share = (0.0 if up.tag in ("p", "li", "td", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6") else 1.0) if step == 0 else {1: 1.0, 2: 1 / 2, 3: 1 / 6}.get(step, share * 2 / 3)
+            out[id(up)][0] += points * share
+            out[id(up)][1] += block[2]
+            out[id(up)][2] += block[3]
+            up, step = up.parent, step + 1
+    return out
+
+
+def test_html_scores_equal_a_plain_tree_scorer(spark, folder):
+    pages = [r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").select("html").collect()]
+    rng = random.Random(6)
+    for _ in range(40):
+        pages.append("".join(rng.choice(["<div>", "<p>", "</div>", "<article>", "</article>", "<a href=x>", "</a>", "<li>", "words, and, more ", "<section>"]) for _ in range(80)))
+    for page in pages:
+        nodes, blocks = html._parse(page)
+        html._scored(nodes, blocks)
+        want = plain_scores(nodes, blocks)
+        for n in nodes:
+            assert (n.score, n.chars, n.linked) == (pytest.approx(want[id(n)][0]), want[id(n)][1], want[id(n)][2])
+
+
 def test_html_frame_keeps_clashing_column(spark):
     pages = spark.createDataFrame([(1, "u", None, "mine"), (1, "u", "<p>x, y</p>", None)], "page_id long, url string, html string, text string")
     got = html.extract_text(pages)
