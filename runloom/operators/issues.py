@@ -167,14 +167,35 @@ def issue_judge_unreliable(samples: DataFrame, judged: DataFrame, calls: DataFra
     return _by_run(judge_unreliable_heads(judged, calls, key), samples, key)
 
 
+def _counted_heads(samples: DataFrame, specs: DataFrame, key: str, success=SUCCESS) -> DataFrame:
+    """Issues that counts of a workflow's runs decide, from one pass over the runs: none at all, failures, slow ones."""
+    limits = specs.select(key, F.col("max_failure_rate").alias("_rate_limit"), F.col("max_latency_seconds").alias("_limit"))
+    referenced = limits.withColumn("_referenced", F.lit(True))
+    slow = F.coalesce("duration_seconds", F.lit(0.0)) > F.col("_limit")
+    timed = samples.select(key, "status", "duration_seconds").join(limits.select(key, "_limit"), key, "left")
+    counts = timed.groupBy(key).agg(F.avg(_is_failed(success).cast("double")).alias("_rate"), F.count_if(slow).alias("_slow"))
+    every = counts.join(referenced, key, "full").withColumn("_most", F.coalesce("_rate_limit", F.lit(MAX_FAILURE_RATE)))
+    head = lambda *facts, **more: F.struct(*_head(*facts, **more))
+    branches = [
+        F.when(F.col("_rate").isNull() & F.col("_referenced"), head("insufficient_data", "low", "No execution samples available")),
+        F.when(
+            F.col("_rate") > F.col("_most"), head("high_failure_rate", "high", F.format_string("Failure rate %.2f exceeds threshold %.2f", "_rate", "_most"), FAILED)
+        ),
+        F.when(F.col("_slow") > 0, head("latency_exceeded", "medium", F.format_string("Latency exceeded %.1fs in %d runs", "_limit", "_slow"), SLOW)),
+    ]
+    return every.select(key, F.inline(F.array_compact(F.array(*branches))))
+
+
 def detect_heads(
     samples: DataFrame, specs: DataFrame, judged: DataFrame | None = None, calls: DataFrame | None = None, key: str = "workflow_id", similarity: bool = True
 ) -> DataFrame:
-    """All issues of all workflows, one row each. Each branch reads only the columns it needs."""
-    branches = [insufficient_data_heads(specs, samples, key), failure_rate_heads(samples, specs, key)]
+    """All issues of all workflows, one row each; ``specs`` has one row per key.
+
+    What counts of runs decide comes from one pass over them; texts are read for the constraints, and for the similarity.
+    """
+    branches = [_counted_heads(samples, specs, key), constraint_missing_heads(samples, specs, key)]
     if similarity:
         branches.append(low_similarity_heads(samples, specs, key))
-    branches += [constraint_missing_heads(samples, specs, key), latency_heads(samples, specs, key)]
     if judged is not None:
         branches.append(output_mismatch_heads(judged, key))
         if calls is not None:

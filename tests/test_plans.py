@@ -93,3 +93,15 @@ def scans(spark, job) -> int:
 @pytest.mark.parametrize("name, most", [("stats_global", 1), ("stats_by_workflow", 1), ("percentiles", 1), ("stats_by_dimensions", 1)])
 def test_statistics_read_their_runs_once(spark, folder, name, most):
     assert scans(spark, lambda: queries()[name](spark, folder).collect()) == most
+
+
+def test_issues_by_counts_read_the_runs_once(spark, folder):
+    from runloom.operators import issues
+    from runloom.sources import adapters
+
+    runs = adapters.text_runs(spark, folder)
+    alone = scans(spark, lambda: runs.select("workflow_id", "status", "duration_seconds").write.format("noop").mode("overwrite").save())
+    specs = adapters.reference_specs(spark, folder)
+    counted = scans(spark, lambda: issues._counted_heads(runs, specs, "workflow_id").collect())
+    # the references come from a file of their own, which is read for the limits and for what has no runs
+    assert counted <= alone + 2
