@@ -438,3 +438,21 @@ def test_pipeline_stages_equal_plain_versions(spark, tmp_path):
     assert mixed.columns == docs.columns
     found = Counter((r["doc_id"], r["source"], r["t"]) for r in mixed.withColumn("t", F.xxhash64("text")).collect())
     assert found == Counter({k: n for k, n in taken.items() if n})
+
+
+def test_repeated_passages_of_whole_tables_equal_brute_force(spark):
+    """Every 400-byte window of every text of sf0.01."""
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    seen = Counter(hash(raw[i : i + 400]) for _, raw in rows for i in range(len(raw) - 399))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in plans.QUERIES["op8_suffix_array_dedup"](spark, "/root/testdata/sf0.01").collect()}
+    for doc, raw in rows:
+        gone = np.zeros(len(raw) + 1, np.int64)
+        for i in range(len(raw) - 399):
+            if seen[hash(raw[i : i + 400])] > 1:
+                gone[i] += 1
+                gone[i + 400] -= 1
+        away = np.cumsum(gone[:-1]) > 0
+        kept = bytes(np.frombuffer(raw, np.uint8)[~away])
+        spans = int(away[:1].sum() + (away[1:] & ~away[:-1]).sum())
+        assert got[doc] == (len(raw), int(away.sum()), spans, hashlib.sha256(kept).hexdigest())
+    assert sum(v[1] for v in got.values()) > 100_000
