@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from runloom.functions import text as T
 from runloom.functions.payload import at
 from runloom.functions.prompts import render_state, restore_contract, schema_strength
-from runloom.operators.actions import action_headers, actions_from_issues, merge_actions, stage_filter
+from runloom.operators.actions import action_headers, actions_from_issues, merge_actions, normalize_heads, stage_filter
 from runloom.operators.history import (
     ACTION_BUDGET,
     MAX_CONSTRAINTS,
@@ -159,14 +159,18 @@ def apply_actions(
     max_constraints: int | None = None,
     max_strictness: int = MAX_STRICTNESS,
     schema_limit: int = SCHEMA_TIGHTEN_LIMIT,
+    normalize: bool = False,
 ) -> DataFrame:
     """Update the slots of every state by its actions, in order of priority and ``seq``.
 
-    With a ``budget`` only so many actions per state are taken, with ``max_constraints`` only the last so many
-    constraints stay. Rows without actions still become a new, structured version.
+    With ``normalize``, equal actions are merged first, by :func:`actions.normalize_actions`, from explicit rows or from heads with
+    ``evidence_count``. With a ``budget`` only so many actions per state are taken (of merged ones those with most evidence), with
+    ``max_constraints`` only the last so many constraints stay. Rows without actions still become a new, structured version.
     """
+    if normalize:
+        actions = normalize_heads(actions, key, budget)
     chosen = actions.select(key, "seq", "type", "target", "content")
-    if budget is not None:
+    if budget is not None and not normalize:
         chosen = limit_actions(chosen, [key], budget)
     tidy = [T.strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("type", "target", "content")]
     entry = F.struct(action_priority(F.col("type")).alias("prio"), "seq", *tidy)

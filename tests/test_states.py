@@ -197,3 +197,19 @@ def test_generated_variants_none_one_and_many(spark):
     assert found() == sorted([(0, 0, as_it_is), (1, 0, "v0"), *((2, i, f"v{i}") for i in range(5))])
     assert found(count=2) == sorted([(0, 0, as_it_is), (1, 0, "v0"), (2, 0, "v0"), (2, 1, "v1")])
     assert S.variant_states(states).count() == 9 and S.variant_states(states, 2).count() == 6
+
+
+def test_actions_are_merged_before_they_are_applied(spark):
+    rows = [
+        (1, 1, "add_checkpoint_rule", "tone", "calm", 1), (1, 2, "Add_Checkpoint_Rule", " tone ", "sharp", 2), (1, 2, "Add_Checkpoint_Rule", " tone ", "sharp", 3),
+        (1, 3, "add_global_constraint", None, "use en", 1), (1, 4, "add_global_constraint", None, " use en", 2), (1, 5, "increase_strictness", None, "a", 1), (1, 6, "increase_strictness", None, "b", 1),
+    ]
+    actions = spark.createDataFrame(rows, "node_id long, seq long, type string, target string, content string, evidence_run long")
+    states = state_of(spark, "plain")
+    level = states.first().state.strictness_level
+    for given in (actions, AC.action_headers(actions, "node_id")):
+        s = S.apply_actions(states, given, "node_id", normalize=True).first().state
+        assert [(r.key, r.value) for r in s.checkpoint_rules] == [("tone", "sharp")]
+        assert s.global_constraints == ["use en"] and s.strictness_level == min(5, level + 1)
+    one = S.apply_actions(states, actions, "node_id", budget=1, normalize=True).first().state
+    assert [r.value for r in one.checkpoint_rules] == ["sharp"] and one.global_constraints == [] and one.strictness_level == level
