@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from runloom.functions.text import draw_order
 from runloom.operators.ordering import with_position
+from runloom.session import checkpointed
 
 HIERARCHICAL_DIMS = 5  # fixed value: dimensions that the hierarchical mode pairs
 _BLOCK = 1000
@@ -234,27 +235,28 @@ def _least_prime(at_least: Column) -> Column:
     )
 
 
-def _array_rows(dims: DataFrame) -> DataFrame:
-    """Rows of the orthogonal array OA(p^2, p+1, p, 2) cut to each dimension's levels (Bush 1952).
+def _arrays(dims: DataFrame) -> DataFrame:
+    """Per dataset the levels of its dimensions, the prime ``_p`` and the number of rows of its orthogonal array."""
+    sized = dims.where(F.size("dims") > 0).withColumn("_sizes", F.transform("dims", lambda d: F.size(d["values"])))
+    p = _least_prime(F.greatest(F.array_max("_sizes"), F.size("dims") - 1, F.lit(2))).cast("long")
+    alone = F.element_at("_sizes", 1).cast("long")
+    return sized.withColumn("_p", p).withColumn("_total", F.when(F.size("dims") == 1, alone).otherwise(F.col("_p") * F.col("_p")))
+
+
+def _cells() -> Column:
+    """Levels in row ``case_no`` of the orthogonal array OA(p^2, p+1, p, 2), cut to each dimension's levels (Bush 1952).
 
     Row ``r = i * p + j`` has ``i`` in the first column and ``(i * (c - 1) + j) mod p`` in column ``c``.
     """
-    sizes = F.transform("dims", lambda d: F.size(d["values"]))
-    shaped = dims.where(F.size("dims") > 0).withColumn("_sizes", sizes)
-    p = _least_prime(F.greatest(F.array_max("_sizes"), F.size("dims") - 1, F.lit(2)))
-    shaped = shaped.withColumn("_p", p.cast("long"))
-    total = F.when(F.size("dims") == 1, F.element_at("_sizes", 1).cast("long")).otherwise(F.col("_p") * F.col("_p"))
-    numbered = _numbered(shaped, total)
     i, j = F.floor(F.col("case_no") / F.col("_p")), F.col("case_no") % F.col("_p")
-    single = F.size("dims") == 1
-    cells = F.transform(
+    single = F.size("_sizes") == 1
+    return F.transform(
         "_sizes",
         lambda n, c: F.when(single, F.col("case_no"))
         .when(c == 0, i % n)
         .otherwise(((i * (c - 1) + j) % F.col("_p")) % n)
         .cast("int"),
     )
-    return numbered.withColumn("cells", cells)
 
 
 def _cell_pairs(cells: Column) -> Column:
@@ -281,17 +283,22 @@ def cases_pairwise(dims: DataFrame) -> DataFrame:
 
     A row of the array is kept when it is the first to show some pair, so no pair is lost.
     """
-    rows = _array_rows(dims)
-    alone = rows.where(F.size("dims") == 1).select("dataset", "case_no")
-    pairs = rows.where(F.size("dims") > 1).select("dataset", "case_no", F.inline(_cell_pairs(F.col("cells"))))
+    arrays = _arrays(dims)
+    rows = _numbered(arrays.select("dataset", "_sizes", "_p", "_total"), F.col("_total"))
+    alone = rows.where(F.size("_sizes") == 1).select("dataset", "case_no")
+    pairs = rows.where(F.size("_sizes") > 1).select("dataset", "case_no", F.inline(_cell_pairs(_cells())))
     first = pairs.groupBy("dataset", "c1", "c2", "v1", "v2").agg(F.min("case_no").alias("case_no"))
     kept = first.select("dataset", "case_no").distinct().unionByName(alone)
     named = F.transform(
         F.arrays_zip("dims", "cells"),
         lambda z: F.struct(z["dims"]["param"], F.element_at(z["dims"]["values"], z["cells"] + 1)),
     )
-    return rows.join(kept, ["dataset", "case_no"], "left_semi").select(
-        "dataset", "case_no", F.map_from_entries(named).alias("parameters")
+    # a kept row is computed from its number, so the array is not made a second time
+    return (
+        kept.join(arrays, "dataset")
+        .where(F.col("case_no") < F.col("_total"))
+        .withColumn("cells", _cells())
+        .select("dataset", "case_no", F.map_from_entries(named).alias("parameters"))
     )
 
 
@@ -344,7 +351,11 @@ def limit_cases(cases: DataFrame, keys: Sequence[str], max_cases: int, seed: int
 
 def cases_from_flows(dims: DataFrame, flows: DataFrame) -> DataFrame:
     """One case per conversation flow with first-value parameters."""
-    return flows.join(dims, "dataset").select(
+    return _flow_cases(flows.join(dims, "dataset"))
+
+
+def _flow_cases(joined: DataFrame) -> DataFrame:
+    return joined.select(
         "dataset",
         F.col("flow_no").cast("long").alias("case_no"),
         first_values(F.col("dims")).alias("parameters"),
@@ -352,6 +363,20 @@ def cases_from_flows(dims: DataFrame, flows: DataFrame) -> DataFrame:
     )
 
 
+def _tagged(datasets: DataFrame, parameters: DataFrame, flows: DataFrame) -> DataFrame:
+    """Checkpointed ``dataset, dims, flow_no, title, kind``: what each dataset, or each of its flows, makes cases from.
+
+    ``kind`` is ``flow``, ``paired`` or ``bare``; parameters and flows are read once. A flow needs the first values only.
+    """
+    dims = dimensions(datasets.select("dataset"), parameters)
+    joined = dims.join(flows.select("dataset", "flow_no", "title", F.lit(True).alias("_flow")), "dataset", "left")
+    first = F.transform("dims", lambda d: d.withField("values", F.slice(d["values"], 1, 1)))
+    pairs = F.exists("dims", lambda d: d["pairwise"] & (F.size(d["values"]) > 0))
+    kind = F.when(F.col("_flow"), "flow").when(pairs, "paired").otherwise("bare")
+    lean = F.when(F.col("_flow"), first).otherwise(F.col("dims"))
+    return checkpointed(joined.select("dataset", lean.alias("dims"), "flow_no", "title", kind.alias("kind")))
+
+
 def generate_cases(
     plan: DataFrame,
     datasets: DataFrame,
@@ -367,23 +392,21 @@ def generate_cases(
     first-value case; any number of dimensions is paired. The hierarchical mode pairs only the first five. ``max_cases``
     limits the cases of a dataset only if given.
     """
-    dims = dimensions(datasets.select("dataset", "scenario"), parameters).drop("scenario")
-    with_flow = flows.select("dataset").distinct()
-    plain = dims.join(with_flow, "dataset", "left_anti")
+    if mode not in ("scenario_only", "cartesian", "pairwise", "hierarchical"):
+        raise ValueError(f"unknown mode {mode}")
+    tagged = _tagged(datasets, parameters, flows)
+    plain = tagged.where(F.col("kind") != "flow")
     if mode == "scenario_only":
         made = cases_scenario_only(plain)
     elif mode == "cartesian":
         made = cases_cartesian(plain, max_cases)
-    elif mode in ("pairwise", "hierarchical"):
-        paired = pairwise_dims(plain)
-        bare = plain.join(paired.where(F.size("dims") == 0).select("dataset"), "dataset", "left_semi")
+    else:
+        paired = pairwise_dims(plain.where(F.col("kind") == "paired")).select("dataset", "dims")
         made = cases_pairwise(paired) if mode == "pairwise" else cases_hierarchical(paired)
         if max_cases is not None:
             made = limit_cases(made, ["dataset"], max_cases, seed)
-        made = made.unionByName(cases_scenario_only(bare))
-    else:
-        raise ValueError(f"unknown mode {mode}")
-    cases = made.withColumn("flow", F.lit(None).cast("string")).unionByName(cases_from_flows(dims, flows))
+        made = made.unionByName(cases_scenario_only(plain.where(F.col("kind") == "bare")))
+    cases = made.withColumn("flow", F.lit(None).cast("string")).unionByName(_flow_cases(tagged.where(F.col("kind") == "flow")))
     enabled = plan.where(F.coalesce("enabled", F.lit(True)))
     return (
         variant_dataset_cross(enabled, datasets)

@@ -114,6 +114,18 @@ def test_modes_of_generate_cases(spark):
     assert sorted(ids) == sorted(r.task_id for r in X.build_tasks(made).collect())
 
 
+def test_kinds_of_generated_cases(spark):
+    plan = spark.createDataFrame([("w", True, ["d", "e", "f"], None)], "catalog_id string, enabled boolean, dataset_refs array<string>, variants array<string>")
+    datasets = spark.createDataFrame([("d", "s1"), ("e", "s2"), ("f", None)], "dataset string, scenario string")
+    rows = [("d", 0, "a", ["1", "2"], None, None, None, None, True), ("e", 0, "a", ["7", "8"], None, None, None, None, False), ("e", 1, "b", [], None, None, None, None, True), ("f", 0, "a", ["5", "6"], None, None, None, None, True)]
+    flows = spark.createDataFrame([("f", 0, "hi"), ("f", 1, None), ("g", 0, "no such dataset")], "dataset string, flow_no int, title string")
+    got = X.generate_cases(plan, datasets, spark.createDataFrame(rows, PARAMS), flows).collect()
+    assert sorted((r.dataset, r.case_no, str(r.scenario), str(sorted(r.parameters.items())), str(r.flow)) for r in got) == [
+        ("d", 0, "s1", "[('a', '1')]", "None"), ("d", 1, "s1", "[('a', '2')]", "None"), ("e", 0, "s2", "[('a', '7'), ('b', None)]", "None"),
+        ("f", 0, "None", "[('a', '5')]", "hi"), ("f", 1, "None", "[('a', '5')]", "None"),
+    ]
+
+
 def test_template_variables_are_literal(spark):
     df = spark.createDataFrame([("Hi {{ a.b }} {{c}} {{ d }}", {"a.b": "$1\\x", "c": "{{ d }}"})], "t string, v map<string,string>")
     assert df.select(X.render_template(F.col("t"), F.col("v"))).first()[0] == "Hi $1\\x {{ d }} {{ d }}"

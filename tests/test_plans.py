@@ -105,3 +105,14 @@ def test_issues_by_counts_read_the_runs_once(spark, folder):
     counted = scans(spark, lambda: issues._counted_heads(runs, specs, "workflow_id").collect())
     # the references come from a file of their own, which is read for the limits and for what has no runs
     assert counted <= alone + 2
+
+
+def test_generated_cases_read_each_input_once(spark, folder):
+    from runloom.plans import expand as plans
+    from runloom.sources import adapters as A
+
+    inputs = [A.plan(spark, folder), A.datasets(spark, folder), A.parameters(spark, folder), A.flows(spark, folder)]
+    alone = [scans(spark, lambda d=d: d.write.format("noop").mode("overwrite").save()) for d in inputs]
+    for mode in ("scenario_only", "cartesian", "pairwise", "hierarchical"):
+        # datasets are read for their parameters and for the plan
+        assert scans(spark, lambda m=mode: plans.plan_cases(spark, folder, m).collect()) <= sum(alone) + alone[1]
