@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 from runloom.llm.common import ship_package, stored
 
 #: Rows and queries of one cell of the search.
-CELL_ROWS, CELL_QUERIES = 1024, 256
+CELL_ROWS, CELL_QUERIES = 1024, 1024
+#: Rows that one task sends on to the parts of a part.
+SENT_ROWS = 16384
 
 
 class Router:
@@ -128,25 +132,120 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _routed(shared, counts, k: int):
-    """Each vector's part; with ``counts`` (rows of the parts), the most probable parts, until they hold over ``k`` rows."""
+def _choices(router: Router, odds: np.ndarray, sizes: np.ndarray | None, k: int) -> list[np.ndarray]:
+    """The most probable part of each row; with ``sizes`` (rows of the parts), as many as the router asks for and until they hold over ``k`` rows."""
+    if sizes is None:
+        return list(odds.argmax(axis=1)[:, None])
+    out = []
+    for order in np.argsort(-odds, axis=1, kind="stable"):
+        enough = int(np.searchsorted(np.cumsum(sizes[order]), k + 1)) + 1
+        out.append(order[: max(router.probes, enough)])
+    return out
+
+
+def _placed(rows, chosen: list[np.ndarray], up: int, base: int) -> pa.Table:
+    """A row per vector and chosen part; part ``i`` of part ``up`` has the number ``up * base + 1 + i``."""
+    at = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
+    part = up * base + 1 + np.concatenate([np.zeros(0, np.int64), *chosen]).astype(np.int64)
+    kept = pa.Table.from_arrays([rows.column("vec_id"), rows.column("vec")], ["vec_id", "vec"]).take(pa.array(at))
+    return kept.append_column("part", pa.array(part, pa.int64()))
+
 
+def _routed(shared, sizes: np.ndarray | None, k: int, base: int):
     def run(batches):
         router = shared.value
         for batch in batches:
-            odds = router.odds(_matrix(batch.column("vec")))
-            if counts is None:
-                lists = odds.argmax(axis=1)[:, None].tolist()
-            else:
-                lists = []
-                for order in np.argsort(-odds, axis=1, kind="stable"):
-                    enough = int(np.searchsorted(np.cumsum(counts[order]), k + 1)) + 1
-                    lists.append(order[: max(router.probes, enough)].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "vec", "parts"])
+            yield from _placed(batch, _choices(router, router.odds(_matrix(batch.column("vec"))), sizes, k), 0, base).to_batches()
+
+    return run
+
+
+def _learned(parts: int, k: int, recall: float):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        router = learn_router(_matrix(rows.column("vec").combine_chunks()), parts, k, recall)
+        kept = [router] if router.parts > 1 else []
+        return pa.table({"part": pa.array([key[0].as_py() for _ in kept], pa.int64()), "router": pa.array([pickle.dumps(r) for r in kept], pa.binary())})
 
     return run
 
 
+def _sent_on(k: int, base: int):
+    def run(key, rows: pa.Table, routers: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows.select(["vec_id", "vec", "part"])
+        router, held = pickle.loads(routers.column("router")[0].as_py()), routers.column("held")[0].as_py()
+        sizes = None
+        if held is not None:
+            sizes = np.zeros(router.parts, np.int64)
+            for part in held:
+                sizes[part["sub"]] = part["count"]
+        odds = router.odds(_matrix(rows.column("vec").combine_chunks()))
+        return _placed(rows, _choices(router, odds, sizes, k), key[0].as_py(), base)
+
+    return run
+
+
+def _send_on(rows: DataFrame, routers: DataFrame, k: int, base: int) -> DataFrame:
+    """Rows of the parts that have a router go to its parts, a bounded number of rows a task; the others stay where they are."""
+    blocks = rows.groupBy("part").count().join(routers.select("part"), "part").select("part", F.ceil(F.col("count") / SENT_ROWS).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "part").select("vec_id", "vec", "part", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"))
+    copies = routers.join(blocks, "part").select("part", "router", "held", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = dealt.groupBy("part", "block").cogroup(copies.groupBy("part", "block"))
+    sent = met.applyInArrow(_sent_on(k, base), f"vec_id long, vec {dict(rows.dtypes)['vec']}, part long")
+    return rows.join(routers.select("part"), "part", "left_anti").select("vec_id", "vec", "part").unionByName(sent)
+
+
+def _split(index: DataFrame, routed: DataFrame, k: int, parts: int, sample: int, recall: float, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Parts of over ``leaf`` rows are cut into parts of their own, each by a router learned on a bounded draw of it, until none is left to cut.
+
+    A level allows half the misses of the level above, so that all of them miss at most twice what the first may.
+    """
+    base, level = parts + 1, 0
+    while True:
+        big = index.groupBy("part").count().where(F.col("count") > leaf)
+        if big.isEmpty():
+            return index, routed
+        level += 1
+        draw = F.pmod(F.xxhash64(F.lit(3 + level), "vec_id"), F.lit(1 << 30)) < F.lit(float(sample)) / F.col("count") * float(1 << 30)
+        # copies of a vector teach nothing more
+        drawn = index.join(big, "part").where(draw).select("part", "vec").dropDuplicates()
+        learned = drawn.groupBy("part").applyInArrow(_learned(parts, k, 1 - (1 - recall) / 2**level), "part long, router binary")
+        routers = stored(learned, "neighbour-routers")
+        if routers.isEmpty():
+            # what cannot be cut are copies of few vectors
+            crowded = index.join(big.select("part"), "part", "left_semi").select(*index.columns)
+            return stored(index.join(big.select("part"), "part", "left_anti").select(*index.columns).unionByName(_least_copies(crowded, k)), "neighbour-index"), routed
+        nothing = F.lit(None).cast("array<struct<sub: int, count: bigint>>")
+        index = stored(_send_on(index, routers.withColumn("held", nothing), k, base), "neighbour-index")
+        child = index.groupBy("part").count().select(
+            F.expr(f"(part - 1) div {base}").alias("up"), F.struct(((F.col("part") - 1) % base).cast("int").alias("sub"), "count").alias("one")
+        )
+        held = child.groupBy("up").agg(F.collect_list("one").alias("held")).withColumnRenamed("up", "part")
+        routed = stored(_send_on(routed, routers.join(held, "part"), k, base), "neighbour-queries")
+
+
+def _least_copies(index: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors those that can be among the ``k`` nearest of anything: the ``k + 1`` smallest ids, of each ``k`` rows."""
+    again = F.row_number().over(Window.partitionBy("part", "vec", "vec_id").orderBy("vec_id"))
+    few = index.withColumn("_again", again).where(F.col("_again") <= k).drop("_again")
+    smallest = F.dense_rank().over(Window.partitionBy("part", "vec").orderBy("vec_id"))
+    return few.withColumn("_rank", smallest).where(F.col("_rank") <= k + 1).drop("_rank")
+
+
+def _cells(index: DataFrame, routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and rows of each part in cells, where every block of the one meets every block of the other."""
+    x = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("x"))
+    y = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("y"))
+    blocks = x.join(y, "part")
+
+    def cell(table: DataFrame, own: str, other: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return table.join(blocks, "part").select("vec_id", "vec", "part", mine.alias(f"{own}_"), every.alias(f"{other}_"))
+
+    return cell(routed, "y", "x"), cell(index, "x", "y")
+
+
 def _search(k: int):
     names = ["query_id", "vec_id", "score"]
 
@@ -187,14 +286,16 @@ def usable_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def nearest(
-    embeddings: DataFrame, queries: Column | None = None, k: int = 10, parts: int = 32, sample: int = 6000, recall: float = 0.97
+    embeddings: DataFrame, queries: Column | None = None, k: int = 10, parts: int = 32, sample: int = 6000, recall: float = 0.97,
+    leaf: int = 65536,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row of ``queries``, its own id apart.
 
     A draw of about ``sample`` vectors (the documented bound) makes a neighbour graph, cut into even parts; a small classifier
     learns the parts. It puts every row into its most probable part and sends a query to as many parts as an unseen share of the
-    draw needed for ``recall``. There, blocks of queries meet blocks of rows, so that a part of any size is spread out; distances
-    are exact on the original vectors, in double precision.
+    draw needed for ``recall``. A part of over ``leaf`` rows is cut and routed again in the same way, so the parts grow in number
+    and not in size, and what is shuffled stays in proportion to the rows. There, blocks of queries meet blocks of rows, so that a
+    part of any size is spread out; distances are exact on the original vectors, in double precision.
 
     * null vec_id, null vector, null, infinite or not-a-number components, only zeros, another length than most: no part taken;
     * fewer than ``k`` other rows: all of them; * ties: the smaller vec_id; * repeated vec_ids: a query is answered once, and each
@@ -208,27 +309,17 @@ def nearest(
     drawn = rows.where(draw).select("vec").toPandas()["vec"]
     router = learn_router(np.array(drawn.tolist(), np.float64), parts, k, recall) if len(drawn) else Router(1)
     shared = spark.sparkContext.broadcast(router)
-    kind = f"vec_id long, vec {dict(rows.dtypes)['vec']}, parts array<int>"
-    index = stored(rows.mapInArrow(_routed(shared, None, k), kind).select("vec_id", "vec", F.col("parts")[0].alias("part")), "neighbour-index")
-    counts = np.zeros(router.parts, np.int64)
+    kind, base = f"vec_id long, vec {dict(rows.dtypes)['vec']}, part long", parts + 1
+    index = stored(rows.mapInArrow(_routed(shared, None, k, base), kind), "neighbour-index")
+    sizes = np.zeros(router.parts, np.int64)
     for r in index.groupBy("part").count().collect():
-        counts[r["part"]] = r["count"]
+        sizes[r["part"] - 1] = r["count"]
     asked = rows.where(queries if queries is not None else F.col("vec_id") % 100 == 0).dropDuplicates(["vec_id"])
-    routed = stored(asked.mapInArrow(_routed(shared, counts, k), kind).select("vec_id", "vec", F.explode("parts").alias("part")), "neighbour-queries")
-    many = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
-    # cells of each part, both ways: a table of as many rows as there are parts
-    cells = spark.createDataFrame(
-        [(p, int(-(-max(1, counts[p]) // CELL_ROWS)), int(-(-many.get(p, 1) // CELL_QUERIES))) for p in range(router.parts)], "p int, x int, y int"
-    )
-
-    def cell(table: DataFrame, own: str, other: str) -> DataFrame:
-        placed = table.join(F.broadcast(cells), F.col("part") == F.col("p"))
-        mine = F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return placed.select("vec_id", "vec", "part", mine.alias(f"{own}_"), every.alias(f"{other}_"))
-
+    routed = stored(asked.mapInArrow(_routed(shared, sizes, k, base), kind), "neighbour-queries")
+    index, routed = _split(index, routed, k, parts, sample, recall, leaf)
     keys = ["part", "x_", "y_"]
-    met = cell(routed, "y", "x").groupBy(*keys).cogroup(cell(index, "x", "y").groupBy(*keys))
+    questions, candidates = _cells(index, routed)
+    met = questions.groupBy(*keys).cogroup(candidates.groupBy(*keys))
     found = met.applyInArrow(_search(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -383,6 +383,54 @@ def test_neighbours_recall_ties_and_unusable_vectors(spark):
     assert got[got["query_id"] == 0].sort_values("rank")["vec_id"].tolist() == list(range(1000, 1010))
 
 
+def plain_nearest(ids, x, query, k=10):
+    wide = x.astype(np.float64)
+    d = np.sqrt(((wide - wide[np.flatnonzero(ids == query)[0]]) ** 2).sum(axis=1))
+    order = [i for i in np.lexsort((ids, d)) if ids[i] != query][:k]
+    return ids[order].tolist(), d[order]
+
+
+def test_neighbours_in_parts_of_parts(spark):
+    """Three levels of parts; what is shuffled grows with the rows and not with their square."""
+    copies = {}
+    for n in (1500, 4500):
+        rng = np.random.default_rng(2)
+        x = (rng.normal(size=(40, 8))[rng.integers(0, 40, n)] * 3 + rng.normal(size=(n, 8))).astype(np.float32)
+        ids = np.arange(n)
+        vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = neighbours.nearest(vectors, parts=4, leaf=400).toPandas()
+        hits = 0
+        for query, found in got.groupby("query_id"):
+            want, _ = plain_nearest(ids, x, query)
+            assert sorted(found["rank"]) == list(range(1, 11)) and len(set(found["vec_id"])) == 10
+            wide = x.astype(np.float64)
+            assert found["score"].to_numpy() == pytest.approx(np.sqrt(((wide[found["vec_id"]] - wide[query]) ** 2).sum(axis=1)))
+            hits += len(set(want) & set(found["vec_id"]))
+        assert hits / (10 * n / 100) >= 0.9
+        routed = neighbours.usable_vectors(vectors).where("vec_id % 100 = 0").withColumn("part", F.lit(0).cast("long"))
+        index, asked = neighbours._split(neighbours.usable_vectors(vectors).withColumn("part", F.lit(0).cast("long")), routed, 10, 4, 6000, 0.97, 400)
+        sizes = index.groupBy("part").count().toPandas()
+        assert sizes["count"].max() <= 400 and sizes["count"].sum() == n
+        questions, candidates = neighbours._cells(index, asked)
+        copies[n] = (questions.count() / (n / 100), candidates.count() / n)
+    assert copies[4500][0] <= 2 * copies[1500][0] and copies[4500][1] <= 1.5 * copies[1500][1]
+
+
+def test_neighbours_of_many_copies(spark):
+    """A part that cannot be cut, since half of all rows are one vector and one id is there thousands of times."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1000, 4)).astype(np.float32)
+    x[:500] = x[0]
+    ids = np.concatenate([np.arange(1000), np.full(1500, 100)])
+    x = np.concatenate([x, np.repeat(x[:1], 1500, axis=0)])
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(vectors, parts=2, leaf=200).toPandas()
+    for query in (0, 100, 200, 300, 400):
+        found = got[got["query_id"] == query].sort_values("rank")
+        assert found["vec_id"].tolist() == plain_nearest(ids, x, query)[0] and (found["score"] == 0).all()
+    assert set(got["query_id"]) == set(range(0, 1000, 100)) and (got.groupby("query_id").size() == 10).all()
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
