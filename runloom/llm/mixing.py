@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from runloom.llm.common import WORD, fresh, stored
 
-#: Documents of a shard, on average, until a source has ``MAX_SHARDS`` shards; then shards grow.
+#: Documents of a shard, on average.
 SHARD_DOCS = 256
-MAX_SHARDS = 1 << 16
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
@@ -70,10 +69,11 @@ def mix_sources(
 ) -> DataFrame:
     """(doc_id, source, twin, size, source_size, target, quota_words, taken): the words that the mix takes of each document.
 
-    Documents of a source go by a seeded hash into shards of about ``SHARD_DOCS`` documents, in a seeded order. The blocks of
+    Documents of a source go by a seeded hash into shards of about ``SHARD_DOCS`` documents, in a seeded order; shards lie in
+    nests, about as many as a nest has shards, so that no task lists all shards of a source. The blocks of
     a shard are its words: a block of one word is the only one that every shard and the smallest source resolve, and the
     quotas cost the same for any number of blocks. They are allotted by highest quotients, first to sources by their
-    targets, then to a source's shards by their words. A shard's quota is met by whole passes and, for the rest, by a
+    targets, then to a source's nests and in each to its shards by their words. A shard's quota is met by whole passes and, for the rest, by a
     seeded run of words on the ring of its words; since the order is seeded, a run is a random draw. A document takes the
     words that it shares with them, so none exceeds ``most`` times its size, rounded up.
 
@@ -83,33 +83,41 @@ def mix_sources(
     own = sizes if sizes is not None else stored(document_sizes(docs), "mix-sizes")
     spot = F.xxhash64(F.lit(seed), "doc_id")
     per_source = own.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
-    shards = F.least(F.lit(MAX_SHARDS), F.ceil(F.col("docs") / SHARD_DOCS)).cast("long")
-    counts = per_source.select("source", shards.alias("shards"))
+    shards = F.ceil(F.col("docs") / SHARD_DOCS)
+    nests = F.ceil(F.sqrt(shards)).cast("long")
+    counts = per_source.select("source", nests.alias("nests"), F.ceil(shards / nests).cast("long").alias("shards"))
     targets = source_targets(per_source.select("source", "size"), weights, most)
     seats = F.round(F.sum("target").over(Window.partitionBy())).cast("long")
     named = targets.withColumn("all", F.lit(0)).withColumn("seats", seats).withColumn("name", F.struct(F.col("source").isNull().alias("none"), "source"))
     sources = sainte_lague(named, ["all"], "name", "target", "seats").select(
         F.col("name.source").alias("source"), F.col("size").alias("source_size"), "target", F.col("quota").alias("source_quota")
     )
-    plan = stored(sources.join(counts, sources["source"].eqNullSafe(counts["source"])).select(sources["*"], "shards"), "mix-plan")
+    plan = stored(sources.join(counts, sources["source"].eqNullSafe(counts["source"])).select(sources["*"], "nests", "shards"), "mix-plan")
     # one row a source: Spark broadcasts the written table if its size allows, else splits the hot source
     dealt = own.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(plan["source"])).drop("s")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")))
-    per_shard = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
-    quotas = sainte_lague(per_shard, ["source"], "shard", "words", "source_quota")
+    hashed = F.xxhash64(F.lit(seed + 1), "doc_id")
+    dealt = dealt.withColumn("nest", F.pmod(hashed, F.col("nests"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id"), F.col("shards")))
+    sized = dealt.groupBy("source", "nest", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
+    per_shard = stored(sized, "mix-shards")
+    per_nest = per_shard.groupBy("source", "nest").agg(F.sum("words").alias("words"), F.first("source_quota").alias("source_quota"))
+    nested = sainte_lague(per_nest, ["source"], "nest", "words", "source_quota").select(
+        F.col("source").alias("n_source"), F.col("nest").alias("n_nest"), F.col("quota").alias("nest_quota")
+    )
+    shared = per_shard.join(nested, F.col("source").eqNullSafe(F.col("n_source")) & (F.col("nest") == F.col("n_nest")))
+    quotas = sainte_lague(shared.select(*per_shard.columns, "nest_quota"), ["source", "nest"], "shard", "words", "nest_quota")
     quotas = quotas.withColumn("quota", F.least("quota", (F.col("words") * F.lit(most)).cast("long")))
     quotas = stored(
         quotas.select(
-            F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), F.col("words").alias("ring"),
+            F.col("source").alias("q_source"), F.col("nest").alias("q_nest"), F.col("shard").alias("q_shard"), F.col("words").alias("ring"),
             F.when(F.col("words") > 0, F.floor(F.col("quota") / F.col("words"))).otherwise(0).cast("long").alias("passes"),
             F.when(F.col("words") > 0, F.col("quota") % F.col("words")).otherwise(0).alias("rest"),
-            F.when(F.col("words") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("words"))).otherwise(0).alias("first"),
+            F.when(F.col("words") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source", "nest", "shard"), F.col("words"))).otherwise(0).alias("first"),
         ),
         "mix-quotas",
     )
-    on = dealt["source"].eqNullSafe(quotas["q_source"]) & (dealt["shard"] == quotas["q_shard"])
+    on = dealt["source"].eqNullSafe(quotas["q_source"]) & (dealt["nest"] == quotas["q_nest"]) & (dealt["shard"] == quotas["q_shard"])
     placed = dealt.join(quotas, on)
-    order = Window.partitionBy("source", "shard").orderBy(spot, "doc_id", "size", "twin")
+    order = Window.partitionBy("source", "nest", "shard").orderBy(spot, "doc_id", "size", "twin")
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     low, high = F.col("first"), F.col("first") + F.col("rest")
