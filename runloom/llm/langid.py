@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.llm.common import ship_package, stored
@@ -24,37 +24,32 @@ def held_out_fold(doc_id, folds: int = 5):
 
 
 class Model:
-    """Log frequencies by language of words and of n-grams, a bounded table that goes to every worker."""
+    """Log frequencies by language: by length (0: whole words) the keys and a matrix with a row for each. It goes to every worker."""
 
-    def __init__(self, languages: list[str], words: dict, grams: dict[int, dict]):
-        self.languages, self.words, self.grams = languages, words, grams
+    def __init__(self, languages: list[str], tables: dict[int, tuple[pa.Array, np.ndarray]]):
+        self.languages, self.tables = languages, tables
         self.rows: dict[str, int] = {}
         self.matrix = np.zeros((0, len(languages)))
-        tables = {n: list(t.values()) for n, t in grams.items()}
-        self.places = {n: dict(zip(t, range(len(t)))) for n, t in grams.items()}
-        self.weights = {n: np.array(t, np.float64).reshape(len(t), len(languages)) for n, t in tables.items()}
+        self.places: dict[int, dict[str, int]] | None = None
 
     def __getstate__(self):
-        return self.languages, self.words, self.grams
+        return self.languages, self.tables
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """The evidence of each word: its own if it is known, else the mean of its longest n-grams of which any is known."""
+        if self.places is None:
+            self.places = {n: dict(zip(keys.to_pylist(), range(len(keys)))) for n, (keys, _) in self.tables.items()}
         out = np.zeros((len(words), len(self.languages)))
-        rest = []
-        for i, word in enumerate(words):
-            known = self.words.get(word)
-            if known is None:
-                rest.append(i)
-            else:
-                out[i] = known
-        for n in sorted(self.grams, reverse=True):
+        rest = list(range(len(words)))
+        for n in sorted(self.places, key=lambda n: -n if n else -np.inf):
             place, found, counts, hit, missed = self.places[n], [], [], [], []
             for i in rest:
                 marked = f" {words[i]} "
-                own = [p for j in range(len(marked) - n + 1) if (p := place.get(marked[j : j + n])) is not None]
+                tried = [marked[j : j + n] for j in range(len(marked) - n + 1)] if n else [words[i]]
+                own = [p for key in tried if (p := place.get(key)) is not None]
                 if own:
                     found += own
                     counts.append(len(own))
@@ -63,7 +58,8 @@ class Model:
                     missed.append(i)
             if hit:
                 starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                out[hit] = np.add.reduceat(self.weights[n][found], starts) / np.array(counts)[:, None]
+                weights = self.tables[n][1][found].astype(np.float64)
+                out[hit] = np.add.reduceat(weights, starts) / np.array(counts)[:, None]
             rest = missed
         return out - out.max(axis=1, keepdims=True)
 
@@ -100,22 +96,23 @@ def _in_turn(model: Model, texts: list[str | None], size: int = 1 << 19) -> list
     return out + model.predict(run)
 
 
-def _log_table(rows, languages: list[str], least: int) -> dict:
-    """Key -> log frequencies by language, with half a count added; keys counted under ``least`` times are unknown."""
-    number = {language: i for i, language in enumerate(languages)}
-    counts: dict = {}
-    for language, key, n in rows:
-        counts.setdefault(key, np.zeros(len(languages)))[number[language]] += n
-    counts = {k: v for k, v in counts.items() if v.sum() >= least}
-    totals = np.sum(list(counts.values()), axis=0) if counts else 0
-    return {k: np.log((v + 0.5) / (totals + 0.5 * len(counts))).astype(np.float32) for k, v in counts.items()}
+def _log_table(rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Keys with their log frequencies by language, with half a count added."""
+    counts = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(np.float64)
+    totals = counts.sum(axis=0) + 0.5 * len(counts)
+    return rows.column("key").combine_chunks(), np.log((counts + 0.5) / totals).astype(np.float32)
 
 
-def learn(labelled: DataFrame, sample: int = 3000, max_words: int = 20000, max_grams: int = 8000, longest: int = 4) -> Model:
-    """Learn from (doc_id, text, lang): counts by Spark, the bounded table of the most frequent keys on the driver.
+def _gram(text: Column, n: int):
+    """The ``n`` characters of ``text`` from a place on; of one argument, since a second one would be given the index."""
+    return lambda place: F.substring(text, place, F.lit(n))
 
-    The documented bound: of each language a repeatable draw of about ``sample`` documents (all, if it has fewer), of which the
-    ``max_words`` most frequent words and the ``max_grams`` most frequent n-grams of each length up to ``longest`` are kept.
+
+def learn(labelled: DataFrame, sample: int = 3000, longest: int = 4) -> Model:
+    """Learn from (doc_id, text, lang): counts by Spark, a row for each key on the driver.
+
+    The documented bound: of each language a repeatable draw of about ``sample`` documents (all, if it has fewer). All words of
+    the draw and all n-grams of up to ``longest`` characters are kept, however rare.
     """
     usable = labelled.where("lang is not null and text is not null")
     cut = usable.groupBy("lang").count().select(F.col("lang").alias("l"), (F.lit(float(sample)) / F.col("count")).alias("share"))
@@ -128,19 +125,19 @@ def learn(labelled: DataFrame, sample: int = 3000, max_words: int = 20000, max_g
     for n in range(1, longest + 1):
         starts = F.sequence(F.lit(1), F.length(marked) - n + 1)
         grams = counted.where(F.length(marked) >= n).select(
-            "lang", F.explode(F.transform(starts, lambda i, n=n: F.substring(marked, i, F.lit(n)))).alias("key"), "count"
+            "lang", F.explode(F.transform(starts, _gram(marked, n))).alias("key"), "count"
         )
         tables.append(grams.where(F.trim("key") != "").groupBy("lang", "key").agg(F.sum("count").alias("count")).select("lang", F.lit(n).alias("size"), "key", "count"))
     every = tables[0]
     for more in tables[1:]:
         every = every.unionByName(more)
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.col("count").desc(), "key"))
-    top = every.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("size") == 0, max_words).otherwise(max_grams))
-    rows = top.select("lang", "size", "key", "count").toPandas()
-    languages = sorted(rows["lang"].unique().tolist())
-    by_size = {n: part[["lang", "key", "count"]].itertuples(index=False, name=None) for n, part in rows.groupby("size")}
-    words = _log_table(by_size.pop(0, ()), languages, 3)
-    return Model(languages, words, {n: _log_table(part, languages, 3) for n, part in by_size.items()})
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    by_language = [F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("count"))), F.lit(0)) for name in languages]
+    if not languages:
+        return Model([], {})
+    rows = every.groupBy("size", "key").agg(F.array(*by_language).alias("counts")).toArrow()
+    sizes = rows.column("size").to_numpy()
+    return Model(languages, {int(n): _log_table(rows.filter(pa.array(sizes == n))) for n in np.unique(sizes)})
 
 
 def _predictions(shared):

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -454,8 +455,29 @@ def test_packing_letters_that_end_in_a_mark():
     assert list(_Encoder.of(tokenizer_path()).encode(texts)) == [np.array(e.ids, "<u4").tobytes() for e in plain]
 
 
+def test_learned_keys_are_all_words_and_grams(spark):
+    rows = [(1, "Abc ab é abc", "x"), (2, "b abc", "y"), (3, None, "x"), (4, "zz", None)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counted = {n: Counter() for n in range(5)}
+    for _, text, lang in rows[:2]:
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            counted[0][word, lang] += 1
+            for n in range(1, 5):
+                for at in range(len(word) + 3 - n):
+                    if (key := f" {word} "[at : at + n]).strip():
+                        counted[n][key, lang] += 1
+    assert model.languages == ["x", "y"] and set(model.tables) == set(range(5))
+    for n, (keys, logs) in model.tables.items():
+        names = sorted({key for key, _ in counted[n]})
+        assert sorted(keys.to_pylist()) == names
+        for key, row in zip(keys.to_pylist(), logs):
+            for i, lang in enumerate("xy"):
+                total = sum(c for (_, own), c in counted[n].items() if own == lang)
+                assert row[i] == pytest.approx(np.log((counted[n][key, lang] + 0.5) / (total + 0.5 * len(names))), rel=1e-5)
+
+
 def test_only_letters_are_words():
-    model = langid.Model(["x", "y"], {"a": [0.0, -9.0]}, {})
+    model = langid.Model(["x", "y"], {0: (pa.array(["a"]), np.array([[0.0, -9.0]]))})
     assert [p[0] for p in model.predict(["½ 12 _ Ⅷ", "a²", None, ""])] == ["und", "x", "und", "und"]
 
 
