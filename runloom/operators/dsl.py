@@ -223,9 +223,6 @@ def apply_patches(leaves: DataFrame, patches: DataFrame, keys: Sequence[str]) ->
     )
 
 
-_PATCHES = "array<struct<parts:array<string>,new:string>>"
-
-
 def _json_text(value: Column) -> Column:
     return F.to_json(value.cast("variant"))
 
@@ -257,88 +254,84 @@ def _children(items: Column, entries: Column, patches: Column) -> Column:
     return F.when(items.isNull(), keyed).when(F.forall(steps, lambda i: i.isNotNull()), listed)
 
 
-def _opened() -> Column:
-    """What a row of the walk becomes: itself with its JSON, or its children if patches lie below it."""
-    below = F.filter("patches", lambda p: F.size(p["parts"]) > 0)
-    own = F.filter("patches", lambda p: F.size(p["parts"]) == 0)
+def _opened(row: Column) -> Column:
+    """What a piece of a walk becomes: itself, if it is text, or the text of a value, or the pieces of a container that patches lie below."""
+    below = F.filter(row["patches"], lambda p: F.size(p["parts"]) > 0)
+    own = F.filter(row["patches"], lambda p: F.size(p["parts"]) == 0)
 
-    def row(place: Column, names: Column, value: Column, patches: Column, text: Column) -> Column:
-        return F.struct(place.alias("place"), names.alias("names"), value.alias("value"), patches.alias("patches"), text.alias("text"))
+    def piece(value: Column, patches: Column, text: Column) -> Column:
+        return F.struct(value.alias("value"), patches.alias("patches"), text.cast("string").alias("text"))
 
-    def closed(text: Column) -> Column:
-        none = F.lit(None)
-        return F.array(row(F.col("place"), F.col("names"), none.cast("variant"), none.cast(_PATCHES), text.cast("string")))
+    def written(text: Column) -> Column:
+        none = F.array().cast("array<struct<parts:array<string>,new:string>>")
+        return piece(F.lit(None).cast("variant"), none, text)
 
     # what a patch has replaced is a text, so a deeper patch starts with a new object there
-    kept = F.when(F.size(own) == 0, F.col("value"))
+    kept = F.when(F.size(own) == 0, row["value"])
     parts = F.struct(_list(kept, "$").alias("items"), F.try_variant_get(kept, "$", "map<string,variant>").alias("entries"), below.alias("below"))
 
-    def children(found: Column) -> Column:
-        name = lambda c: F.array(F.when(found["items"].isNull(), c["name"]))
-        rows = T.let(
-            _children(found["items"], found["entries"], found["below"]),
-            lambda every: F.transform(
-                every, lambda c, i: row(F.concat("place", F.array(i)), F.concat("names", name(c)), c["value"], c["patches"], F.lit(None).cast("string"))
-            ),
-        )
-        return F.coalesce(rows, closed(F.lit(None)))
+    def opened(found: Column) -> Column:
+        listed = found["items"].isNotNull()
+
+        def child(c: Column, i: Column) -> Column:
+            name = F.when(~listed, F.concat(_json_text(c["name"]), F.lit(":"))).otherwise(F.lit(""))
+            lead = written(F.concat(F.when(i == 0, "").otherwise(","), name))
+            untouched = F.size(c["patches"]) == 0
+            whole = written(F.coalesce(F.to_json(c["value"]), F.lit("{}")))
+            return F.array(lead, F.when(untouched, whole).otherwise(piece(c["value"], c["patches"], F.lit(None))))
+
+        def between(every: Column) -> Column:
+            start, end = (F.array(written(F.when(listed, a).otherwise(b))) for a, b in (("[", "{"), ("]", "}")))
+            return F.concat(start, F.flatten(F.transform(every, child)), end)
+
+        return T.let(_children(found["items"], found["entries"], found["below"]), between)
 
     return (
-        F.when(F.col("patches").isNull(), closed(F.col("text")))
-        .when(F.size("patches") == 0, closed(F.coalesce(F.to_json("value"), F.lit("{}"))))
-        .when(F.size(below) == 0, closed(_json_text(F.get(own, F.lit(0))["new"])))
-        .otherwise(T.let(parts, children))
+        F.when(F.size(row["patches"]) == 0, F.array(row))
+        .when(F.size(below) == 0, F.array(written(_json_text(F.get(own, F.lit(0))["new"]))))
+        .otherwise(F.coalesce(T.let(parts, opened), F.array(written(F.lit(None)))))
     )
 
 
-def _joined(items: Column) -> Column:
-    """JSON of a container from its children in order; a list's have no names. NULL if one is."""
-    listed = F.get(items, F.lit(0))["name"].isNull()
-    texts = F.transform(items, lambda c: F.concat(F.when(listed, F.lit("")).otherwise(F.concat(_json_text(c["name"]), F.lit(":"))), c["text"]))
-    whole = F.when(F.forall(items, lambda c: c["text"].isNotNull()), F.array_join(texts, ","))
-    return F.concat(F.when(listed, F.lit("[")).otherwise(F.lit("{")), whole, F.when(listed, F.lit("]")).otherwise(F.lit("}")))
+def _last_patches(gathered: Column) -> Column:
+    """Of the gathered patches of each pointer the last, as the steps that lead there and the new text."""
+    steps = lambda p: F.filter(F.split(p["path"], "/"), lambda step: step != "")
+    entry = lambda p: F.struct(steps(p).alias("parts"), p["patch_no"].alias("patch_no"), F.when(p["patch_no"].isNotNull(), p["new"]).alias("new"))
+
+    def last(ranked: Column) -> Column:
+        kept = F.filter(ranked, lambda p, i: ~F.coalesce(F.get(ranked, i + 1)["parts"] == p["parts"], F.lit(False)))
+        return F.transform(kept, lambda p: F.struct(p["parts"].alias("parts"), p["new"].alias("new")))
 
+    return T.let(F.sort_array(F.transform(gathered, entry)), last)
 
-def patch_trees(trees: DataFrame, patches: DataFrame, keys: Sequence[str], tree: str, levels: int | None = None) -> DataFrame:
+
+def patch_trees(trees: DataFrame, patches: DataFrame, keys: Sequence[str], tree: str) -> DataFrame:
     """``trees`` with ``patched``: the whole definition as VARIANT after its patches; ``tree`` stays as it is.
 
     ``patches`` has the keys, which identify a definition, ``path``, ``patch_no`` and ``new``. The last patch of a pointer
     wins; one below another pointer that is patched wins over it. Steps that lead nowhere make objects, also if they are numbers;
     in a list that is there, a number is a position, and positions left out up to it are filled with empty objects. Paths
     without a leading slash change nothing. A step into a list that is no position, or a pointer without steps, gives no
-    patched definition (NULL).
+    patched definition (NULL). Rows of ``trees`` that share their keys are patched each on its own.
 
-    Only containers on a patched path are opened, a level at a time, into a row per child; subtrees without a patch are one
-    row of JSON. From the deepest level up, the rows of a container become one, until the root is left. The walk down
-    needs no shuffle, and the way up a single one, by the keys. ``levels`` is the number of steps of the longest
-    pointer, which a small job finds if it is not given.
+    A definition is one row and meets its patches in one join. It is written in pieces, in their order: only containers on a
+    patched path are opened, a level at a time, as many as the row's longest pointer has steps; subtrees without a
+    patch are one piece of JSON. The pieces joined are the patched definition, so that nothing is dealt out again.
     """
     keys = list(keys)
-    steps = F.filter(F.split("path", "/"), lambda p: p != "")
-    latest = patches.where(F.col("path").startswith("/")).groupBy(*keys, steps.alias("parts")).agg(F.max_by("new", "patch_no").alias("new"))
-    if levels is None:
-        levels = latest.agg(F.max(F.size("parts"))).first()[0] or 0
-    gathered = latest.groupBy(*keys).agg(F.collect_list(F.struct("parts", "new")).alias("patches"))
-    sound = F.forall("patches", lambda p: F.size(p["parts"]) > 0)
-    rows = trees.select(*keys, F.col(tree).alias("value")).join(gathered, keys).where(sound)
-    empty = F.array().cast("array<int>").alias("place"), F.array().cast("array<string>").alias("names")
-    rows = rows.select(*keys, *empty, "value", F.col("patches").cast(_PATCHES).alias("patches"), F.lit(None).cast("string").alias("text"))
-    for _ in range(levels + 1):
-        rows = rows.select(*keys, F.inline(_opened()))
-    rows = rows.select(*keys, "place", "names", "text").repartition(*keys)
-    for level in range(levels, 0, -1):
-        deep = F.size("place") == level
-        up = F.when(deep, F.slice("place", 1, level - 1)).otherwise(F.col("place"))
-        child = F.struct(F.get("place", F.lit(level - 1)).alias("position"), F.get("names", F.lit(level - 1)).alias("name"), "text")
-        grouped = rows.groupBy(*keys, up.alias("_up")).agg(
-            F.bool_and(deep).alias("_deep"), F.first(F.slice("names", 1, level - 1)).alias("_names"), F.sort_array(F.collect_list(child)).alias("_items")
-        )
-        text = F.when(F.col("_deep"), _joined(F.col("_items"))).otherwise(F.get("_items", F.lit(0))["text"])
-        rows = grouped.select(*keys, F.col("_up").alias("place"), F.col("_names").alias("names"), text.alias("text"))
-    texts = rows.select(*keys, F.col("text").alias("_text"))
-    asked = gathered.select(*keys, F.lit(True).alias("_asked"))
-    joined = trees.join(asked, keys, "left").join(texts, keys, "left")
-    patched = F.when(F.col("_asked"), F.parse_json("_text")).otherwise(F.col(tree))
+    entry = F.struct("path", "patch_no", "new")
+    gathered = patches.where(F.col("path").startswith("/")).groupBy(*keys).agg(F.collect_list(entry).alias("_entries"))
+    joined = trees.join(gathered, keys, "left")
+
+    def walked(last: Column) -> Column:
+        whole = F.array(F.struct(F.col(tree).alias("value"), last.alias("patches"), F.lit(None).cast("string").alias("text")))
+        levels = F.sequence(F.lit(0), F.array_max(F.transform(last, lambda p: F.size(p["parts"]))))
+        pieces = F.aggregate(levels, whole, lambda found, _: F.flatten(F.transform(found, _opened)))
+        text = T.let(pieces, lambda found: F.when(F.forall(found, lambda p: p["text"].isNotNull()), F.array_join(F.transform(found, lambda p: p["text"]), "")))
+        return F.when(F.forall(last, lambda p: F.size(p["parts"]) > 0), text)
+
+    text = T.let(_last_patches(F.col("_entries")), walked)
+    patched = F.when(F.col("_entries").isNotNull(), F.parse_json(text)).otherwise(F.col(tree))
     return joined.select(*trees.columns, patched.alias("patched"))
 
 

@@ -108,3 +108,14 @@ def test_patches_that_cannot_be_applied_give_no_tree(spark):
     assert got[0] is None and got[1] is None and json.loads(got[2])["list"][0]["n"] == "fine"
     assert json.loads(got[3]) == {"a": {"b": "x"}} and len(got) == 5
     assert D.patch_trees(frame, patches.limit(0), ["id"], "tree").where("patched is null").count() == 1
+
+
+def test_a_patched_tree_is_dealt_out_once_and_rows_that_share_their_keys_are_patched_each(spark):
+    frame = trees(spark, LONG, {"s": "other"}).withColumn("id", F.lit(1).cast("long"))
+    patches = spark.createDataFrame([(1, "/s", 1, "one"), (1, "/s", 2, "two"), (1, "/new/0/text", 1, "x")], "id long, path string, patch_no int, new string")
+    done = D.patch_trees(frame, patches, ["id"], "tree").select(F.to_json("patched").alias("p"))
+    got = sorted((json.loads(r.p) for r in done.collect()), key=len)
+    new = {"s": "two", "new": {"0": {"text": "x"}}}
+    assert got == [new, LONG | new]
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("Aggregate ") == 1 and "Generate" not in plan
