@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,20 @@ def test_merged_actions_equal_a_plain_version(spark):
     assert sorted((*k, tuple(sorted(x for x in v if x is not None))) for k, v in got.items()) == want
     normal = AC.normalize_actions(actions)
     assert sorted(map(str, AC.action_headers(normal).collect())) == sorted(map(str, AC.normalize_heads(actions).collect()))
+
+
+def test_merged_and_signalled_runs_are_rows_and_need_no_bitmaps(spark):
+    rows = [(f"t{i}", Decimal(0), "constraint_missing", "high", "Constraint not observed in outputs: c", 1) for i in range(3)] + [(None, Decimal(0), "latency_exceeded", "low", "m", 1)]
+    issues = spark.createDataFrame(rows, "trial_id string, issue_seq decimal(38,0), kind string, severity string, message string, evidence_run long")
+    specs = spark.createDataFrame([("t0", ["c", "d"]), ("t1", ["c"])], "trial_id string, constraints array<string>")
+    signal = AC.actions_from_signal(issues, specs, "trial_id")
+    found = {(r.trial_id, r.type, r.evidence_run) for r in signal.collect()}
+    assert ("t0", "add_global_constraint", 1) in found and ("t2", "add_checkpoint_rule", 1) in found
+    actions = spark.createDataFrame(
+        [("t0", 1, "Rewrite", None, "x", 1), ("t0", 2, "rewrite", None, "longer", 1), ("t0", 3, "rewrite", "a", "y", None), (None, 4, "rewrite", "a", "y", None)],
+        "trial_id string, seq long, type string, target string, content string, evidence_run long",
+    )
+    merged = AC.merge_actions(actions, "trial_id")
+    assert sorted(map(str, (tuple(r) for r in merged.collect()))) == sorted(map(str, [("t0", 1, "rewrite", None, "longer", 1), ("t0", 3, "rewrite", "a", "y", None), (None, 4, "rewrite", "a", "y", None)]))
+    for df in (signal, merged):
+        assert "bitmap" not in df._jdf.queryExecution().optimizedPlan().toString()
