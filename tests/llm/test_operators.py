@@ -526,3 +526,19 @@ def test_repeated_passages_of_whole_tables_equal_brute_force(spark):
         spans = int(away[:1].sum() + (away[1:] & ~away[:-1]).sum())
         assert got[doc] == (len(raw), int(away.sum()), spans, hashlib.sha256(kept).hexdigest())
     assert sum(v[1] for v in got.values()) > 100_000
+
+
+def test_answers_of_buckets_are_put_together_in_the_order_of_the_keys():
+    import numpy as np
+
+    from runloom.llm import suffixes
+
+    rng = np.random.default_rng(5)
+    for n, buckets in ((0, 3), (1, 1), (400, 7), (50, 90)):
+        keys = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        keys[n // 2 :] = keys[: n - n // 2]
+        tied = set(keys[::3].tolist())
+        rows = suffixes._bucketed(0, keys, buckets)
+        parts = [(b.as_py(), np.frombuffer(k.as_py(), np.uint64)) for b, k in zip(rows.column("bucket"), rows.column("keys"))]
+        marks = [(b, np.packbits([int(k) in tied for k in part]).tobytes()) for b, part in reversed(parts)]
+        assert suffixes._merged(keys, buckets, marks).tolist() == [int(k) in tied for k in keys]
