@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import difflib
 import json
+import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -15,7 +17,7 @@ from runloom.operators import dsl as D
 from runloom.operators import issues as I
 from runloom.operators import rounds as R
 from runloom.operators import states as S
-from runloom.session import checkpointed
+from runloom.session import checkpointed, shared_folder
 
 SPEC = "workflow_id string, expected_outputs array<string>, constraints array<string>, similarity_threshold double, max_failure_rate double, max_latency_seconds double"
 SAMPLES = "workflow_id string, index long, status string, output_text string, duration_seconds double"
@@ -166,6 +168,55 @@ def test_steps_add_the_missing_constraint(spark):
     assert row.stop_reason == "no_issues"
 
 
+def held_bytes(spark) -> int:
+    return sum(f.stat().st_size for f in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if f.is_file())
+
+
+def test_a_step_holds_few_copies_of_the_texts(spark):
+    """Shared folder after a step: the new nodes and the new beam, not every trial with its state, prompt and answer."""
+    specs = spark.createDataFrame([("w", [], ["Return JSON"], 0.72, 0.2, None)], SPEC)
+    drawn = random.Random(7)
+    texts = ["".join(drawn.choices("abcdefghijklmnopqrstuvwxyz0123456789+ACDEFGHIJKLMNOPQRSTUVWXYZ", k=40_000)) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node_id long, prompt string")
+    built = P.with_prompt_state(rows, "prompt", F.array().cast("array<string>"))
+    prompts = built.select("node_id", F.lit("w").alias("workflow_id"), F.lit("in").alias("workflow_input"), "state")
+    nodes, beam = S.start_nodes(prompts)
+    before = held_bytes(spark)
+    nodes, beam, timeline = S.optimize_step(nodes, beam, specs, echo, 0)
+    held = (held_bytes(spark) - before) / sum(map(len, texts))
+    assert (nodes.count(), beam.count(), timeline.count()) == (60, 60, 60)
+    assert held < 4, held
+
+
+def test_parts_of_a_step_change_nothing_and_evaluate_once(spark, tmp_path, monkeypatch):
+    """Equal prompts of different nodes, a node that comes twice and one without a reference."""
+    specs = spark.createDataFrame([("w", ["answer with care"], ["Return JSON", "Polite"], 0.72, 0.2, None), ("v", ["polite"], ["Polite"], 0.1, 0.2, None)], SPEC)
+    rows = [(i, ("w", "v", None)[i % 3], f"TASK:\nanswer the question {i % 4} of the user{', polite' if i % 5 else ''}\nSTRICTNESS LEVEL:\n{1 + i % 2}\n") for i in range(12)]
+    rows += [(3, "w", rows[3][2]), (4, "w", rows[4][2])]
+    built = P.with_prompt_state(spark.createDataFrame(rows, "node_id long, workflow_id string, prompt string"), "prompt", F.array().cast("array<string>"))
+    prompts = built.select("node_id", "workflow_id", F.lit("in").alias("workflow_input"), "state")
+
+    def stepped(parts: int, name: str):
+        folder = tmp_path / name
+        folder.mkdir()
+
+        def answer(batch: pd.DataFrame) -> pd.DataFrame:
+            import uuid
+
+            (folder / uuid.uuid4().hex).write_text("\n".join(batch["prompt_hash"]))
+            return batch.assign(output_text=batch["prompt"] + " " + batch["workflow_input"], status="success")
+
+        nodes, beam = S.start_nodes(prompts)
+        nodes, beam, timeline = S.optimize_step(nodes, beam, specs, S.function_evaluator(answer), 0, S.StepOptions(beam_width=2, parts=parts))
+        called = [line for f in folder.iterdir() for line in f.read_text().splitlines()]
+        assert len(called) == len(set(called)) > 1
+        return sorted(called), *(sorted(map(str, df.collect())) for df in (nodes, beam, timeline))
+
+    whole = stepped(1, "whole")
+    monkeypatch.setattr(S, "PART_LENGTH", 100)
+    assert stepped(3, "parts") == whole and len(whole[1]) == 14  # of a node that comes twice each row advances
+
+
 def test_round_report(spark, samples, specs):
     tree = {"graph": {"nodes": [{"id": "n", "type": "llm", "data": {"prompt_template": [{"role": "system", "text": "Return JSON, polite expected answer {{x}}"}]}}]}}
     trees = spark.createDataFrame([(1, "w", json.dumps(tree))], "tree_id long, workflow_id string, t string").withColumn("tree", F.try_parse_json("t"))
